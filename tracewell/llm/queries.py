@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_classifier, quality_rules
+from . import decontaminate, language_id, minhash_dedup, quality_classifier, quality_rules
 from .tables import held_out
 
 
@@ -29,6 +29,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.where(~held_out(3, 1)))
@@ -37,7 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op6_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op6_decontaminate, op8_minhash_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
