@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, quality_classifier, quality_rules
+from . import decontaminate, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup
 from .tables import held_out
 
 
@@ -34,6 +34,11 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.where(~held_out(3, 1)))
@@ -42,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op6_decontaminate, op8_minhash_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op6_decontaminate, op8_minhash_dedup, op9_suffix_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
