@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
+from . import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
 from .tables import held_out
 
 
@@ -16,6 +16,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(read(spark, sf_dir, "documents"), ~held_out(10, 0))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = quality_classifier.classify(docs, labels, ~held_out(4, 2))
@@ -60,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
