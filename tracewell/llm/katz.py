@@ -49,7 +49,7 @@ LOW48 = U((1 << 48) - 1)
 class Katz:
     order: int = 2
     discounted: int = 5  # counts up to this are discounted
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 8 << 20
     bucket_grams: int = 1_000_000
     heavy: int = 200_000
     most_heavy: int = 65_536
@@ -243,7 +243,9 @@ def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
     b, place = rows[0]["bucket"], 0
     for r, a, m in zip(rows, names, length):
         which = np.searchsorted(h[own], a)
-        out.append(("answer", b, r["chunk"], None, None, None, squeeze(total[gram[place : place + m.sum()]]), squeeze(sums[:, which].ravel()), squeeze(seen[which])))
+        c = total[gram[place : place + m.sum()]]
+        back = backs_off(c, np.cumsum(m) - m)
+        out.append(("answer", b, r["chunk"], None, None, None, squeeze(c), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
         place += m.sum()
     known = total > 0
     if known.any():
@@ -260,6 +262,11 @@ def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in COUNTED.split(", ")])
 
 
+def backs_off(c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether a history has a continuation that was never seen; only such ones need the sum of the seen ones."""
+    return np.logical_or.reduceat(c == 0, own)
+
+
 def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token its probability at this level, and its n-gram's count."""
     chunk.grams(level)
@@ -271,7 +278,8 @@ def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.nda
         own = runs(h[i:j])
         run = np.diff(np.append(own, j - i))
         c = expand(by[b]["counts"]).astype(np.int64)
-        sums, seen = expand(by[b]["sums"]).astype(np.int64).reshape(k + 1, -1), expand(by[b]["lower"]).copy()
+        sums, seen = expand(by[b]["sums"]).astype(np.int64).reshape(k + 1, -1), np.zeros(len(own))
+        seen[backs_off(c, own)] = expand(by[b]["lower"])
         if len(level.heavy):
             name = h[i:j][own]
             at = np.minimum(np.searchsorted(level.heavy, name), len(level.heavy) - 1)
@@ -352,14 +360,13 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         levels.append(level)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if done:
-                        chunk, p, _ = walk(row, done, row["answers"])
-                    else:
-                        chunk = Chunk(row)
-                        p = np.zeros(len(chunk.tokens))
-                    yield request(row["chunk"], chunk, level, p)
+            for row in rows_of(batches):
+                if done:
+                    chunk, p, _ = walk(row, done, row["answers"])
+                else:
+                    chunk = Chunk(row)
+                    p = np.zeros(len(chunk.tokens))
+                yield request(row["chunk"], chunk, level, p)
 
         requests = joined(held, answers, parts).mapInArrow(ask, REQUESTS)
         k = how.discounted
@@ -388,16 +395,15 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         answers = said if answers is None else answers.unionByName(said)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk, p, c = walk(row, levels, row["answers"])
-                base = np.log10((c + 0.1) / (n_train + 0.1 * (levels[0].types + 1)))
-                sums = [np.add.reduceat(x, chunk.first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
-                n = len(chunk.first)
-                yield pa.record_batch(
-                    [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.size), pa.array(sums[0]), pa.array(np.full(n, n_train)), pa.array(sums[1]), pa.array(sums[2])],
-                    [x.split()[0] for x in SCORES.split(", ")],
-                )
+        for row in rows_of(batches):
+            chunk, p, c = walk(row, levels, row["answers"])
+            base = np.log10((c + 0.1) / (n_train + 0.1 * (levels[0].types + 1)))
+            sums = [np.add.reduceat(x, chunk.first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+            n = len(chunk.first)
+            yield pa.record_batch(
+                [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.size), pa.array(sums[0]), pa.array(np.full(n, n_train)), pa.array(sums[1]), pa.array(sums[2])],
+                [x.split()[0] for x in SCORES.split(", ")],
+            )
 
     model = tables[0]
     for t in tables[1:]:
@@ -405,6 +411,12 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     return joined(held, answers, parts).mapInArrow(score, SCORES), model, levels
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
 def joined(held: DataFrame, answers: DataFrame | None, parts: int) -> DataFrame:
     """Chunks with the answers that they have got; no more than a chunk's own."""
     if answers is None:
