@@ -11,6 +11,7 @@ to one.  A word that was never seen is one more event of the shortest, empty his
   level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
   writes its part of the model table, and answers every chunk with counts and with the sums
   that the backoff weights are made of.  Discounts are known when all buckets have counted.
+  Single words are given short numbers, which name them from then on.
 * Each chunk works out the probabilities of its tokens from the answers, recursively from
   the empty history up.
 
@@ -42,15 +43,14 @@ from .tables import shared_folder, store
 
 U = np.uint64
 END, ROOT, STRIDE = U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D1)
-LOW48 = U((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
 class Katz:
     order: int = 2
     discounted: int = 5  # counts up to this are discounted
-    chunk_bytes: int = 8 << 20
-    bucket_grams: int = 1_000_000
+    chunk_bytes: int = 6 << 20
+    bucket_grams: int = 600_000
     heavy: int = 200_000
     most_heavy: int = 65_536
 
@@ -59,28 +59,14 @@ def squeeze(x: np.ndarray) -> bytes:
     """An array of non-negative integers in the least type that holds them, or of floats, compressed."""
     if x.dtype.kind in "ui":
         x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T  # bytes of one weight together
+    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def expand(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), b[:1].decode())
-
-
-def narrow(words: np.ndarray, level: int) -> np.ndarray:
-    """A word's name among the continuations of a history; 48 bits will do beyond single words."""
-    return words if level == 1 else words & LOW48
-
-
-def pack_words(words: np.ndarray, level: int) -> bytes:
-    return words.tobytes() if level == 1 else words.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack_words(b: bytes, level: int) -> np.ndarray:
-    if level == 1:
-        return np.frombuffer(b, U)
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(U).ravel()
+    kind = np.dtype(b[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 CHUNKS = "chunk bigint, docs array<bigint>, held array<boolean>, sizes binary, words binary, tokens binary, n_tokens bigint, train_tokens bigint, train_docs bigint"
@@ -166,27 +152,33 @@ class Chunk:
         self.first = np.cumsum(self.size) - self.size
         self.train = np.repeat(~np.array(row["held"], bool), self.size)
         self.history = np.full(len(self.tokens), ROOT)
+        self.names = self.words  # of the words, at the level at hand
 
     def grams(self, level: Level) -> None:
         """The distinct n-grams, sorted by bucket, history and word."""
         names, which = np.unique(self.history, return_inverse=True)
         n = len(self.words)
         keys, self.at, self.inverse = np.unique(which * n + self.tokens, return_index=True, return_inverse=True)
-        self.h, self.w = names[keys // n], narrow(self.words[keys % n], level.number)
+        self.h, self.w = names[keys // n], self.names[keys % n]
         bucket = level.deal(self.h, self.w)
         self.order = np.argsort(bucket, kind="stable")
         self.bucket = bucket[self.order]
 
     def go_on(self, level: int) -> None:
         """Histories of the next level: each token's n-gram is the next token's history."""
-        gram = bt.mix(self.history * STRIDE + narrow(self.words[self.tokens], level))
+        gram = follow(self.history, self.names[self.tokens], level)
         self.history = np.concatenate([gram[:1], gram[:-1]])
         self.history[self.first] = start(level + 1)
 
 
+def follow(history: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
+    """Names of n-grams as histories; a single word has a number of its own, the least for the commonest."""
+    return word if level == 1 else bt.mix(history * STRIDE + word)
+
+
 def start(level: int) -> np.uint64:
-    """The history of a text's first token."""
-    return bt.mix(np.array([level], U) + ROOT)[0]
+    """The history of a text's first token; no word has the number 0."""
+    return U(0) if level == 2 else bt.mix(np.array([level], U) + ROOT)[0]
 
 
 def slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -208,9 +200,9 @@ def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray) -> pa.Re
     h, w, low = chunk.h[chunk.order], chunk.w[chunk.order], lower[chunk.at][chunk.order]
     out = []
     for b, i, j in slices(chunk.bucket):
-        own = runs(h[i:j])
+        own = runs(h[i:j])  # ascending
         values, which = np.unique(low[i:j], return_inverse=True)
-        out.append((b, number, h[i:j][own].tobytes(), squeeze(np.diff(np.append(own, j - i))), pack_words(w[i:j], level.number), squeeze(count[i:j]), squeeze(values), squeeze(which)))
+        out.append((b, number, squeeze(np.diff(h[i:j][own], prepend=U(0))), squeeze(np.diff(np.append(own, j - i))), squeeze(w[i:j]), squeeze(count[i:j]), squeeze(values), squeeze(which)))
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in REQUESTS.split(", ")])
 
@@ -222,9 +214,9 @@ def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
     """One bucket: its part of the model, an answer to every request, counts of counts, and what is heavy."""
     rows = table.to_pylist()
     length = [expand(r["runs"]).astype(np.int64) for r in rows]
-    names = [np.frombuffer(r["histories"], U) for r in rows]
+    names = [np.cumsum(expand(r["histories"]), dtype=U) for r in rows]
     h = np.concatenate([np.repeat(a, b) for a, b in zip(names, length)])
-    w = np.concatenate([unpack_words(r["words"], level.number) for r in rows])
+    w = np.concatenate([expand(r["words"]).astype(U) for r in rows])
     n = np.concatenate([expand(r["counts"]).astype(np.int64) for r in rows])
     low = np.concatenate([expand(r["values"])[expand(r["lower"])] for r in rows])
     order = np.lexsort((w, h))
@@ -241,27 +233,36 @@ def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
     seen = np.add.reduceat(np.where(total > 0, low, 0.0), own)
     out = []
     b, place = rows[0]["bucket"], 0
+    names_of = numbers(total, b, level) if level.number == 1 else w
     for r, a, m in zip(rows, names, length):
         which = np.searchsorted(h[own], a)
         c = total[gram[place : place + m.sum()]]
         back = backs_off(c, np.cumsum(m) - m)
-        out.append(("answer", b, r["chunk"], None, None, None, squeeze(c), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
+        given = squeeze(names_of[gram[place : place + m.sum()]]) if level.number == 1 else None
+        out.append(("answer", b, r["chunk"], None, None, given, squeeze(c), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
         place += m.sum()
     known = total > 0
     if known.any():
         lead = runs(h[known])
         mine = np.searchsorted(h[own], h[known][lead])
-        out.append(("model", b, None, h[known][lead].tobytes(), squeeze(np.diff(np.append(lead, known.sum()))), pack_words(w[known], level.number), squeeze(total[known]), squeeze(sums[:, mine].ravel()), squeeze(seen[mine])))
+        out.append(("model", b, None, squeeze(np.diff(h[known][lead], prepend=U(0))), squeeze(np.diff(np.append(lead, known.sum()))), squeeze(w[known]), squeeze(total[known]), squeeze(sums[:, mine].ravel()), squeeze(seen[mine])))
     census = np.array([(total == r).sum() for r in range(1, k + 2)] + [known.sum()])
     out.append(("census", b, None, None, None, None, squeeze(census), None, None))
     if (big := total > limit).any():
-        out.append(("heavy", b, None, bt.mix(h[big] * STRIDE + w[big]).tobytes(), None, None, squeeze(total[big]), None, None))
+        out.append(("heavy", b, None, follow(h[big], names_of[big], level.number).tobytes(), None, None, squeeze(total[big]), None, None))
     if (salted := np.isin(h[own], level.heavy)).any():
         out.append(("salted", b, None, h[own][salted].tobytes(), None, None, None, squeeze(sums[:, salted].ravel()), squeeze(seen[salted])))
     kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
     return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in COUNTED.split(", ")])
 
 
+def numbers(total: np.ndarray, bucket: int, level: Level) -> np.ndarray:
+    """A number for each word of a bucket, no other word's, from 1: the commoner the word, the less."""
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    return (rank * level.buckets + bucket + 1).astype(U)
+
+
 def backs_off(c: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Whether a history has a continuation that was never seen; only such ones need the sum of the seen ones."""
     return np.logical_or.reduceat(c == 0, own)
@@ -274,6 +275,7 @@ def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.nda
     k = len(level.discounts) - 1
     h, low = chunk.h[chunk.order], lower[chunk.at][chunk.order]
     p, counts = np.empty(len(h)), np.empty(len(h), np.int64)
+    given = np.empty(len(h), U)
     for b, i, j in slices(chunk.bucket):
         own = runs(h[i:j])
         run = np.diff(np.append(own, j - i))
@@ -290,6 +292,11 @@ def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.nda
         whole = np.repeat(whole, run)
         p[i:j] = np.where(c > 0, d * c / np.maximum(whole, 1), np.repeat(alpha, run) * low[i:j])
         counts[i:j] = c
+        if level.number == 1:
+            given[i:j] = expand(by[b]["words"])
+    if level.number == 1:  # each word is one n-gram here
+        chunk.names = np.empty(len(chunk.words), U)
+        chunk.names[chunk.tokens[chunk.at[chunk.order]]] = given
     back = np.empty(len(h), np.int64)
     back[chunk.order] = np.arange(len(h))
     token = back[chunk.inverse]
@@ -391,7 +398,7 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         if (whole["docs"] or 0) > limit:
             heavy, totals = np.append(heavy, start(number + 1)), np.append(totals, whole["docs"])
         tables.append(table.where("kind = 'model'").select(F.lit(number).alias("level"), "bucket", "histories", "runs", "words", "counts", "sums", "lower"))
-        said = table.where("kind = 'answer'").select(F.lit(number).alias("level"), "bucket", "chunk", "counts", "sums", "lower")
+        said = table.where("kind = 'answer'").select(F.lit(number).alias("level"), "bucket", "chunk", "words", "counts", "sums", "lower")
         answers = said if answers is None else answers.unionByName(said)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,5 +428,5 @@ def joined(held: DataFrame, answers: DataFrame | None, parts: int) -> DataFrame:
     """Chunks with the answers that they have got; no more than a chunk's own."""
     if answers is None:
         return held.select("chunk", "held", "sizes", "words", "tokens")
-    own = answers.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "counts", "sums", "lower")).alias("answers"))
+    own = answers.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "words", "counts", "sums", "lower")).alias("answers"))
     return held.select("chunk", "docs", "held", "sizes", "words", "tokens").join(own.hint("shuffle_hash"), "chunk")
