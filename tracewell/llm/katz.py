@@ -7,8 +7,8 @@ to one.  A word that was never seen is one more event of the shortest, empty his
 
 * Texts are read once, into chunks: a chunk holds its texts' words as numbers into its own
   list of distinct fingerprints.
-* Level by level, each chunk sends its distinct n-grams, with counts and with the next lower
-  level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
+* Level by level, each chunk sends its distinct n-grams, with counts and with what tells
+  the next lower level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
   writes its part of the model table, and answers every chunk with counts and with the sums
   that the backoff weights are made of.  Discounts are known when all buckets have counted.
   Single words are given short numbers, which name them from then on.
@@ -190,27 +190,26 @@ def runs(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
 
-REQUESTS = "bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, values binary, lower binary"
+REQUESTS = "bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, lower binary"
 
 
 def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray) -> pa.RecordBatch:
-    """The chunk's n-grams for each bucket; lower: probabilities of its tokens at the level below."""
+    """The chunk's n-grams for each bucket; lower: for its tokens what tells their probability at the level below."""
     chunk.grams(level)
     count = np.bincount(chunk.inverse, chunk.train, len(chunk.at)).astype(np.int64)[chunk.order]
     h, w, low = chunk.h[chunk.order], chunk.w[chunk.order], lower[chunk.at][chunk.order]
     out = []
     for b, i, j in slices(chunk.bucket):
         own = runs(h[i:j])  # ascending
-        values, which = np.unique(low[i:j], return_inverse=True)
-        out.append((b, number, squeeze(np.diff(h[i:j][own], prepend=U(0))), squeeze(np.diff(np.append(own, j - i))), squeeze(w[i:j]), squeeze(count[i:j]), squeeze(values), squeeze(which)))
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        out.append((b, number, squeeze(np.diff(h[i:j][own], prepend=U(0))), squeeze(np.diff(np.append(own, j - i))), squeeze(w[i:j]), squeeze(count[i:j]), squeeze(low[i:j])))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in REQUESTS.split(", ")])
 
 
 COUNTED = "kind string, bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, sums binary, lower binary"
 
 
-def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
+def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int) -> pa.Table:
     """One bucket: its part of the model, an answer to every request, counts of counts, and what is heavy."""
     rows = table.to_pylist()
     length = [expand(r["runs"]).astype(np.int64) for r in rows]
@@ -218,7 +217,9 @@ def count(table: pa.Table, level: Level, k: int, limit: int) -> pa.Table:
     h = np.concatenate([np.repeat(a, b) for a, b in zip(names, length)])
     w = np.concatenate([expand(r["words"]).astype(U) for r in rows])
     n = np.concatenate([expand(r["counts"]).astype(np.int64) for r in rows])
-    low = np.concatenate([expand(r["values"])[expand(r["lower"])] for r in rows])
+    low = np.concatenate([expand(r["lower"]) for r in rows])
+    if level.number == 2:  # counts of single words, which are short
+        low = below.discounts[np.where(low <= k, low, 0)] * low / backoff(below.sums, below.lower, below)[1][0]
     order = np.lexsort((w, h))
     h, w = h[order], w[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
@@ -369,17 +370,17 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 if done:
-                    chunk, p, _ = walk(row, done, row["answers"])
+                    chunk, p, single = walk(row, done, row["answers"])
+                    yield request(row["chunk"], chunk, level, single if level.number == 2 else p)
                 else:
                     chunk = Chunk(row)
-                    p = np.zeros(len(chunk.tokens))
-                yield request(row["chunk"], chunk, level, p)
+                    yield request(row["chunk"], chunk, level, np.zeros(len(chunk.tokens), np.int64))
 
         requests = joined(held, answers, parts).mapInArrow(ask, REQUESTS)
         k = how.discounted
 
         def add(table: pa.Table) -> pa.Table:
-            return count(table, levels[-1], k, limit)
+            return count(table, levels[-1], levels[-2] if len(levels) > 1 else None, k, limit)
 
         table = store(requests.groupBy("bucket").applyInArrow(add, COUNTED), f"katz-level{number}", "kind")
         small = table.where(F.col("kind").isin("census", "heavy", "salted")).select("kind", "histories", "counts", "sums", "lower").toArrow().to_pylist()  # counts of counts by bucket, and heavy histories
