@@ -20,6 +20,7 @@ two pieces of equal length gets which place is decided by bucket, id and piece n
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,59 +40,110 @@ class Packing:
     end: int = 0
     steps: int = 300  # of the least-squares fit
     bucket_rows: int = 200_000
-    cache_words: int = 200_000  # distinct words whose ids a task remembers
+    slice_bytes: int = 4 << 20  # of text, that are encoded at once
+    cache_words: int = 400_000  # distinct words whose ids a worker remembers
 
 
 class WordTokens:
     """Token ids of texts, word by word.
 
-    The tokenizer drops white space and never joins what white space parts, so each distinct
-    word is encoded once.
+    The tokenizer drops white space and never joins what white space parts, and it cuts
+    full stops and commas off a letter before them, so each distinct word is encoded once
+    without them, in lower case.  A worker keeps the first words that it meets for its later
+    tasks, up to a limit; the commonest are among them.
     """
 
-    SPACE = " \t\n\v\f\r"
-
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids."""
+        sizes, ids = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
+        letters = sum(map(str.isalpha, words))  # these come first
+        for at, to in [*((i, min(i + 4096, letters)) for i in range(0, letters, 4096)), *((i, min(i + 4096, len(words))) for i in range(letters, len(words), 4096))]:
+            part = words[at:to]
+            code = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            whole = np.array(code.word_ids, np.int64)
+            if at >= letters or whole.max() + 1 != len(part):  # a word is not always one of the tokenizer's
+                code = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                whole = np.array(code.word_ids, np.int64)
+            sizes[at : at + len(part)] = np.bincount(whole, minlength=len(part))
+            ids.append(np.array(code.ids, np.uint32))
+        return sizes, np.concatenate(ids)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and sizes of the words' ids, and the ids that they are in."""
+        which = np.array([self.known.get(x, -1) for x in words], np.int64)
+        new = np.flatnonzero(which < 0)
+        new = new[np.argsort([not words[i].isalpha() for i in new], kind="stable")]
+        names = [words[i] for i in new]
+        sizes, ids = self.encode(names)
+        start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        flat = np.concatenate([self.flat, ids])
+        which[new] = len(self.start) - 1 + np.arange(len(new))
+        if len(self.known) + len(new) <= self.limit:
+            self.known.update(zip(names, which[new].tolist()))
+            self.start, self.flat = start, flat
+        return start[which], start[which + 1] - start[which], flat
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts in them."""
-        parts = pc.split_pattern_regex(pc.fill_null(texts, ""), "[\\x20\\x09-\\x0D]+")
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         held = pc.dictionary_encode(parts.flatten())
-        names = held.dictionary.to_pylist()
-        if len(self.known) + len(names) > self.limit:
-            self.known, self.ids = {}, []
-        new = [x for x in names if x not in self.known]
-        for name, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[name] = len(self.ids)
-            self.ids.append(np.array(code.ids, np.uint32))
-        own = [self.ids[self.known[x]] for x in names]
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        which = held.indices.to_numpy()
-        first, count = (np.cumsum(size) - size)[which], size[which]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first - (ends - count), count) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-        return ids, bounds
+        low = pc.ascii_lower(held.dictionary)
+        cores = pc.dictionary_encode(pc.replace_substring_regex(low, "([a-z])[.,]+$", "\\1"))
+        core = cores.indices.to_numpy()
+        names = cores.dictionary.to_pylist()
+        tail = np.full(len(low), len(names))
+        cut = np.flatnonzero(pc.binary_length(low).to_numpy() > pc.binary_length(cores.dictionary).to_numpy()[core]) if len(low) else np.zeros(0, np.int64)
+        tails, at = np.unique([x[len(names[c]) :] for x, c in zip(low.take(pa.array(cut)).to_pylist(), core[cut])], return_inverse=True) if len(cut) else ([], [])
+        tail[cut] = len(names) + 1 + np.asarray(at, np.int64)
+        start, size, flat = self.look_up([*names, "", *map(str, tails)])
+
+        # ids of the distinct words with what follows them, then of all words
+        two = np.stack([core, tail], 1).ravel()
+        own = flat[ranges(start[two], size[two])]
+        length = size[two].reshape(-1, 2).sum(1)
+        word = held.indices.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(length[word])])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return own[ranges((np.cumsum(length) - length)[word], length[word])], bounds
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, count of each."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+_workers: dict[str, WordTokens] = {}
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
+def slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with texts of limit bytes or little more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)) + 1
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pieces(docs: DataFrame, tokenizer: str, how: Packing = Packing(), keep_ids: bool = True, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every row; ids are little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer, how.cache_words)
+        if tokenizer not in _workers:
+            _workers[tokenizer] = WordTokens(tokenizer, how.cache_words)
+        tokens = _workers[tokenizer]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, how.slice_bytes):
                 ids, bounds = tokens.of(part.column(1).cast(pa.large_string()))
                 out = []
                 for name, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
