@@ -41,7 +41,7 @@ class Packing:
     steps: int = 300  # of the least-squares fit
     bucket_rows: int = 200_000
     slice_bytes: int = 4 << 20  # of text, that are encoded at once
-    cache_words: int = 400_000  # distinct words whose ids a worker remembers
+    cache_words: int = 1_000_000  # distinct words whose ids a worker remembers
 
 
 class WordTokens:
