@@ -122,6 +122,13 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 _workers: dict[str, WordTokens] = {}
 
 
+def worker_tokens(path: str, limit: int) -> WordTokens:
+    """What this worker has for a tokenizer, from earlier tasks too."""
+    if path not in _workers:
+        _workers[path] = WordTokens(path, limit)
+    return _workers[path]
+
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
@@ -139,9 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, how: Packing = Packing(), keep_ids:
     """The pieces of every row; ids are little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _workers:
-            _workers[tokenizer] = WordTokens(tokenizer, how.cache_words)
-        tokens = _workers[tokenizer]
+        tokens = worker_tokens(tokenizer, how.cache_words)
         for batch in batches:
             for part in slices(batch, how.slice_bytes):
                 ids, bounds = tokens.of(part.column(1).cast(pa.large_string()))
