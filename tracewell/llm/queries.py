@@ -67,5 +67,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id)}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
+
+DECONTAMINATE = f"""
+with items as (select item_id, w, least(10, len(w)) as k from (select item_id, {ALNUM} as w from benchmark) where len(w) > 0),
+tests as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s from items),
+docs as (select doc_id, {ALNUM} as w from documents),
+places as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct k from tests)),
+found as (select doc_id, places.k, i, item_id from places join tests on places.k = tests.k and array_to_string(w[i:i + places.k - 1], ' ') = s),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + k)) as place from found) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from found) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)
+"""
+
+NEAR_DUPLICATES = f"""
+with recursive docs as (select doc_id, {SPACED} as w from documents),
+sets as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from docs),
+sizes as (select doc_id, count(*) as n from sets group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+reached(a, b) as (select doc_id, doc_id from docs union select reached.a, links.b from reached join links on reached.b = links.a),
+least as (select a as doc_id, min(b) as component_id from reached group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from docs left join sizes using (doc_id) join least using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES}
