@@ -51,8 +51,8 @@ def blocks(texts: DataFrame, key: list[str], text: str, header: str) -> DataFram
     head, body (an array of lines) and n_lines.
     """
     every = texts.select(*key, F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: x != "").alias("lines"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.element_at(F.col("lines"), i + 1).rlike(header))
-    every = every.where(F.size("lines") > 0).withColumn("starts", starts).where(F.size("starts") > 0)
+    starts = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(header), i)))
+    every = every.withColumn("starts", starts).where(F.size("starts") > 0)
     every = every.select("*", F.posexplode("starts").alias("block", "at"))
     end = F.coalesce(F.try_element_at("starts", F.col("block") + 2), F.size("lines"))
     return every.select(
