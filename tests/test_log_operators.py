@@ -100,3 +100,38 @@ def test_identity(spark):
     assert clusters == [(1, 7, [1, 2], [11]), (4, None, [], [12])]
     lives = [(r["at"], r["record"], r["event"], r["c"], r["d"]) for r in identity.lifecycles(frame, "run", "at", "message", ["c", "d", "x"], {"new"}, {"release"}).orderBy("at").collect()]
     assert lives == [(1, 0, "changed", None, 1), (2, 0, "changed", 7, 1), (3, 0, "changed", 7, 2), (4, 1, "changed", None, None), (5, 0, "released", 7, 2), (6, 2, "changed", 7, None)]
+
+
+def walk_with_unknown_times(a, b, tolerance):
+    """Both sides as (t or None, id), those without a time last."""
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    a, b, i, j, out = sorted(a, key=key), sorted(b, key=key), 0, 0, []
+    while i < len(a) and j < len(b):
+        s, t = a[i][0], b[j][0]
+        if s is None or t is None or abs(s - t) <= tolerance:
+            out.append((a[i][1], b[j][1]))
+            i, j = i + 1, j + 1
+        elif s < t:
+            out.append((a[i][1], None))
+            i += 1
+        else:
+            out.append((None, b[j][1]))
+            j += 1
+    return out + [(x, None) for _, x in a[i:]] + [(None, x) for _, x in b[j:]]
+
+
+def test_pairing_with_unknown_times(spark):
+    r = random.Random(11)
+    rows, expected, n = ([], []), [], 0
+    for key in range(400):
+        own = ([], [])
+        for side in (0, 1):
+            for _ in range(r.randint(0, 6)):
+                n += 1
+                own[side].append((r.choice([None, *range(0, 40)]) if key % 2 else r.randint(0, 40), n))
+            rows[side].extend((key, *x) for x in own[side])
+        expected += [(key, *p) for p in walk_with_unknown_times(*own, 5)]
+    a, b = (spark.createDataFrame(x, "k int, t bigint, id bigint") for x in rows)
+    got = [(x.k, x.a_id, x.b_id) for x in pairing.pair(a, b, ["k"], 5).collect()]
+    order = lambda x: [(v is None, v or 0) for v in x]
+    assert sorted(got, key=order) == sorted(expected, key=order)

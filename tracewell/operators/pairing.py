@@ -5,6 +5,10 @@ tolerance apart they are a pair, else the earlier one stays alone.  No pair can
 of more than the tolerance, so a key's events are cut into islands there.  An island with
 one event of each side is a pair, one with a single side has none; only the others are
 walked, as a fold over the island's sorted events.
+
+An event without a time comes after all of its side that have one.  Once one side's times
+are used up, what is left of both sides is paired by position as long as one of the two has
+no time.
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int) -> DataFram
     """key, a_id, b_id, a_t and b_t: pairs, and rows with one side null for events that stay alone.
 
     Both sides have the key, t (integer) and id.  Keys that are null are a key like others.
-    Events without t pair in order of their id with those of the other side.
+    Events of a side with equal times go by their id, as do those without a time.
     """
-    timed = a.where("t is not null").select(*key, "t", F.lit(0).alias("side"), "id").unionByName(b.where("t is not null").select(*key, "t", F.lit(1).alias("side"), "id"))
-    w = Window.partitionBy(*key).orderBy("t", "side", "id")
+    events = a.select(*key, "t", F.lit(0).alias("side"), "id").unionByName(b.select(*key, "t", F.lit(1).alias("side"), "id"))
+    w = Window.partitionBy(*key).orderBy(F.col("t").asc_nulls_last(), "side", "id")
     gap = F.col("t") - F.lag("t").over(w)
-    islands = timed.withColumn("island", F.sum(F.coalesce((gap > tolerance).cast("bigint"), F.lit(0))).over(w))
+    cut = F.when(F.col("t").isNull() | (gap > tolerance), 1).otherwise(0)  # one without a time is an island
+    islands = events.withColumn("island", F.sum(cut).over(w))
     held = islands.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("t", "side", "id"))).alias("events"))
 
     event = "struct<t:bigint,side:int,id:bigint>"
@@ -51,7 +56,27 @@ def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int) -> DataFram
     quick = F.when(sides == 1, F.transform("events", alone)).when(F.size("events") == 2, F.array(both(F.get("events", F.lit(0)), F.get("events", F.lit(1)))))
     pairs = held.select(*key, F.explode(F.coalesce(quick, folded)).alias("p"))
     columns = [F.col("p.a.id").alias("a_id"), F.col("p.b.id").alias("b_id"), F.col("p.a.t").alias("a_t"), F.col("p.b.t").alias("b_t")]
-    return pairs.select(*key, *columns)
+    return untimed(pairs.select(*key, *columns), key, tolerance)
+
+
+def untimed(pairs: DataFrame, key: list[str], tolerance: int) -> DataFrame:
+    """Pairs, where events without a time stand alone, with those paired by position with what the walk in time left over.
+
+    The walk ends when one side's times are used up; what it has not reached of the other
+    side is all that lies no more than the tolerance before that side's last time.
+    """
+    whole, has_a, has_b = Window.partitionBy(*key), F.col("a_id").isNotNull(), F.col("b_id").isNotNull()
+    lone_a, lone_b = has_a & ~has_b, has_b & ~has_a
+    known = pairs.withColumn("last_a", F.max("a_t").over(whole)).withColumn("last_b", F.max("b_t").over(whole)).withColumn("open", F.bool_or((has_a & F.col("a_t").isNull()) | (has_b & F.col("b_t").isNull())).over(whole))
+
+    def reached_not(lone: Column, t: Column, last: Column) -> Column:
+        return lone & (t.isNull() | last.isNull() | (t >= last - tolerance))
+
+    rest = F.col("open") & (reached_not(lone_a, F.col("a_t"), F.col("last_b")) | reached_not(lone_b, F.col("b_t"), F.col("last_a")))
+    side = F.when(~rest, 2).when(lone_a, 0).otherwise(1)
+    place = Window.partitionBy(*key, "side").orderBy(F.coalesce("a_t", "b_t").asc_nulls_last(), F.coalesce("a_id", "b_id"))
+    placed = known.withColumn("side", side).withColumn("place", F.when(F.col("side") == 2, -F.row_number().over(place)).otherwise(F.row_number().over(place)))
+    return placed.groupBy(*key, "place").agg(*(F.max(c).alias(c) for c in ("a_id", "b_id", "a_t", "b_t"))).drop("place")
 
 
 def near(alone: DataFrame, others: DataFrame, key: list[str], tolerance: int) -> DataFrame:

@@ -91,3 +91,41 @@ def steps(frame: DataFrame, key: list[str], label: str, order: str, expected: li
     sequence = F.array(*map(F.lit, expected))
     reached = F.aggregate("rows", F.expr("0"), lambda k, r: F.when(F.try_element_at(sequence, k + 1).eqNullSafe(r[label]), k + 1).otherwise(k))
     return rows.select(*key, reached.alias("reached")).select(*key, "reached", F.get(sequence, F.col("reached") - 1).alias("last_step"), F.get(sequence, F.col("reached")).alias("missing"))
+
+
+def before_events(frame: DataFrame, key: list[str], event: Column, span: int, label: str, order: str) -> DataFrame:
+    """For each event the rows of its key in the span before it, itself excluded: how many, and the last one's label.
+
+    frame has t; rows at the event's own time count if they come before it in order.
+    """
+    w = Window.partitionBy(*key).orderBy("t").rangeBetween(-span, 0)
+    at = Window.partitionBy(*key, "t").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    last = F.lag(label).over(Window.partitionBy(*key).orderBy("t", order))
+    held = frame.withColumn("n_before", F.count("*").over(w) - F.count("*").over(at)).withColumn("last_before", F.when(F.col("n_before") > 0, last))
+    return held.where(event)
+
+
+def loops(frame: DataFrame, key: list[str], start: Column, order: list[str]) -> DataFrame:
+    """Rows with the number of the loop that they belong to, from 1; rows before the first start are of loop 0."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return frame.withColumn("loop", F.sum(F.coalesce(start, F.lit(False)).cast("bigint")).over(w))
+
+
+def moves(frame: DataFrame, key: list[str], begin: Column, end: Column, place: str, order: str) -> DataFrame:
+    """Begun moves whose next row that ends one is in another place: key, order, place and place_after."""
+    held = frame.withColumn("_begin", F.coalesce(begin, F.lit(False))).where(F.col("_begin") | F.coalesce(end, F.lit(False)))
+    w = Window.partitionBy(*key).orderBy(order)
+    after = held.withColumn("place_after", F.when(~F.lead("_begin").over(w), F.lead(place).over(w)))
+    return after.where(F.col("_begin") & F.col("place_after").isNotNull() & (F.col("place_after") != F.col(place))).select(*key, order, place, "place_after")
+
+
+def bins(frame: DataFrame, key: list[str], histogram: str, order: str) -> DataFrame:
+    """Sums of a histogram's bins, and by how much each bin grew from the first to the last record."""
+    long = frame.select(*key, order, F.posexplode(histogram).alias("bin", "n"))
+    return long.groupBy(*key, "bin").agg(F.sum("n").alias("total"), (F.max_by("n", order) - F.min_by("n", order)).alias("growth"))
+
+
+def in_order_of_appearance(frame: DataFrame, key: list[str], label: str, order: str) -> DataFrame:
+    """Distinct labels of each key, numbered as they first appear."""
+    first = frame.where(F.col(label).isNotNull()).groupBy(*key, label).agg(F.min(order).alias("seen"))
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("seen")))
