@@ -78,7 +78,8 @@ def radio_summary(lines: DataFrame, key: list[str], order: str, value: str = "va
     answered = (layer == "NGAP") & any_of(m, ("NGSetupResponse", "NGSetupFailure"))
     connected = (layer == "CU-CP") & m.contains("Connection to AMF") & m.contains("established")
     cell = (layer == "SCHED") & m.contains("Cell creation idx=")
-    numbers = {"ues": F.col("ue").try_cast("bigint"), "rntis": fn.hex_id(F.col("rnti")), "pcis": F.when(cell, F.col("pci").try_cast("bigint"))}
+    created = radio_tests()["created"]
+    numbers = {"ues": F.when(created, F.col("ue").try_cast("bigint")), "rntis": F.when(created, fn.hex_id(F.col("rnti"))), "pcis": F.when(cell, F.col("pci").try_cast("bigint"))}
     return p.groupBy(*key).agg(
         F.count("*").alias("lines"), F.min_by("ts", order).alias("first_ts"), F.max_by("ts", order).alias("last_ts"),
         *(F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in radio_tests().items()),

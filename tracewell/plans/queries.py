@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import identity, pairing, rules, search, timeline
-from ..sources import logs
+from ..operators import clocks, identity, pairing, procedures, rules, search, summary, timeline
+from ..sources import captures, consoles, logs, runs
 
 HOUR = 3_600_000_000
 SQL: dict[str, str] = {}
@@ -333,3 +333,187 @@ def q39_tail(spark, sf_dir):
 @query("select event_type, cast(json_extract(props,'$.k') as bigint)%10 k, count(*) n from events group by 1,2")
 def q40_label_counts(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type", "k")
+
+
+# Events as frames of captures: the type is a message, k a procedure code or a cell, the user an entity.
+K = "cast(json_extract(props,'$.k') as bigint)"
+
+
+def with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+@query(f"select event_id, user_id, cast(props as varchar) props from {E} where t between 1704456000000000-{HOUR} and 1704456000000000+{HOUR}")
+def q15_centred_window(spark, sf_dir):
+    return events(spark, sf_dir).where(F.col("t").between(1704456000000000 - HOUR, 1704456000000000 + HOUR)).select("event_id", "user_id", "props")
+
+
+@query(
+    f"with c as (select user_id, t, event_id id from {E} where event_type='click'), p as (select user_id, t, event_id id from {E} where event_type='purchase') "
+    f"select c.user_id, c.t, c.id, arg_min(p.t, (p.t-c.t)*1000000+p.id) other_t, arg_min(p.id, (p.t-c.t)*1000000+p.id) other_id from c left join p on p.user_id=c.user_id and p.t between c.t and c.t+{12 * HOUR} group by 1,2,3"
+)
+def q22_nearest(spark, sf_dir):
+    frame = events(spark, sf_dir).select("user_id", "t", F.col("event_id").alias("id"), "event_type")
+    return procedures.nearest(frame.where("event_type='click'"), frame.where("event_type='purchase'"), ["user_id"], 12 * HOUR)
+
+
+@query(
+    "select l_returnflag, count(distinct l_orderkey) records, sum(case when l_linenumber%3=0 then 0 else cast(l_quantity as bigint) end)::bigint late_dl_harqs, max(cast(l_linenumber as double)) max_dl_brate, max(case when l_linenumber%2=0 then cast(l_linenumber as double) end) max_latency from lineitem group by 1"
+)
+def q27_metrics_rollup(spark, sf_dir):
+    q = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("bigint"))
+    cell = F.struct(
+        F.struct(q.alias("late_dl_harqs"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("double")).alias("max_latency")).alias("cell_metrics"), F.array(F.struct(F.col("l_linenumber").cast("double").alias("dl_brate"))).alias("ue_list")
+    )
+    texts = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.collect_list(cell).alias("cells"))
+    texts = texts.select("l_returnflag", F.to_json(F.array(F.struct(F.lit("now").alias("timestamp"), "cells"))).alias("text"))
+    rolled = logs.metrics_rollup(logs.metrics(texts, ["l_returnflag"], "text"), ["l_returnflag"])
+    return rolled.select("l_returnflag", "records", "late_dl_harqs", "max_dl_brate", "max_latency")
+
+
+@query("select s_nationkey n, count(*) nodes, '10.0.0.' || s_nationkey address, min(4000+s_suppkey) port_from, max(4000+s_suppkey) port_to from supplier group by 1")
+def q30_addresses(spark, sf_dir):
+    node = F.concat(F.lit("'ue"), F.col("s_suppkey").cast("string"), F.lit("': NodeInfo(name='x', address='10.0.0."), F.col("s_nationkey").cast("string"), F.lit("', port="), (F.col("s_suppkey") + 4000).cast("string"), F.lit(")"))
+    texts = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(node), ", ").alias("text"))
+    nodes = logs.addresses(texts, ["s_nationkey"], "text")
+    found = runs.with_addresses(texts.select("s_nationkey", F.lit("ue").alias("role")), nodes, ["s_nationkey"])
+    return found.select(F.col("s_nationkey").alias("n"), "nodes", "address", F.col("port_from").cast("bigint").alias("port_from"), F.col("port_to").cast("bigint").alias("port_to"))
+
+
+@query(f"select event_type proto, count(*) packets, min(t) \"first\", max(t) \"last\", max(t)-min(t) duration, count(*) filter (value>50) failures from {E} group by 1")
+def q41_overview(spark, sf_dir):
+    return procedures.overview(events(spark, sf_dir).withColumn("proto", F.col("event_type")), ["proto"], F.col("value") > 50)
+
+
+@query(f"select event_type, label, count(distinct id) ids from (select event_type, 'user' label, user_id id from events union all select event_type, 'k', case when value<20 then {K} end from events) where id is not null group by 1,2")
+def q42_ids_by_label(spark, sf_dir):
+    frame = with_k(spark, sf_dir).select("event_type", F.col("user_id").alias("user"), F.expr("case when value<20 then k end").alias("k"))
+    return procedures.ids_by_label(frame, ["event_type"], ["user", "k"])
+
+
+def _codes(proto: str) -> str:
+    return " ".join(f"when {c} then '{n}'" for p, c, n in captures.PROCEDURES if p == proto)
+
+
+@query(f"select proc, count(*) n from (select case when code is null then '?' else coalesce(case code {_codes('ngap')} end, 'proc-' || code) end as proc from (select case when event_type<>'view' then {K} end code from events)) group by 1")
+def q43_procedure_names(spark, sf_dir):
+    frame = with_k(spark, sf_dir).select(F.lit("ngap").alias("proto"), F.when(F.col("event_type") != "view", F.col("k")).alias("code"))
+    return captures.named(frame).groupBy(F.col("procedure").alias("proc")).agg(F.count("*").alias("n"))
+
+
+@query("select user_id, count(*) filter (event_type='signup') begun, count(*) filter (event_type='error') ended, count(*) filter (event_type='signup')<>count(*) filter (event_type='error') unbalanced from events group by 1")
+def q44_balance(spark, sf_dir):
+    return procedures.balance(read(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "signup", F.col("event_type") == "error")
+
+
+@query(f"select user_id, event_type, {K}%5 sn, count(*) n, min(t) \"first\", max(t) \"last\" from {E} where value>10 group by 1,2,3 having count(*)>=4")
+def q45_storms(spark, sf_dir):
+    frame = with_k(spark, sf_dir).withColumn("sn", F.col("k") % 5)
+    return procedures.storms(frame, ["user_id", "event_type", "sn"], F.col("value") > 10, 4)
+
+
+@query("select user_id, event_id from (select *, lead(event_type) over (partition by user_id order by event_id) follows from events where event_type in ('click','purchase')) where event_type='click' and follows is distinct from 'purchase'")
+def q46_without_answer(spark, sf_dir):
+    return procedures.without_answer(read(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "purchase").select("user_id", "event_id")
+
+
+@query(
+    "with a as (select o_custkey k, count(*) n from orders group by 1), b as (select c_custkey k, 10 n from customer) select k, coalesce(a.n,0)::bigint orders, coalesce(b.n,0)::bigint expected, coalesce(a.n,0)=coalesce(b.n,0) agree from a full join b using (k)"
+)
+def q47_reconcile(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    expected = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(10).alias("n"))
+    return procedures.reconcile({"orders": orders, "expected": expected}, ["k"])
+
+
+@query(f"select e.event_id, count(b.event_id) n_before, arg_max(b.event_type, b.t::hugeint*10000000+b.event_id) last_before from {E} e left join {E} b on b.user_id=e.user_id and b.t between e.t-{2 * HOUR} and e.t and (b.t<e.t or b.event_id<e.event_id) where e.event_type='error' group by 1")
+def q48_before_errors(spark, sf_dir):
+    return timeline.before_events(events(spark, sf_dir), ["user_id"], F.col("event_type") == "error", 2 * HOUR, "event_type", "event_id").select("event_id", "n_before", "last_before")
+
+
+@query(
+    "with l as (select user_id, value, event_type, sum((event_type='signup')::bigint) over (partition by user_id order by event_id) loop from events) select user_id, loop, count(*) filter (event_type='view') sent, count(*) filter (event_type='click') received, "
+    "round(case when count(*) filter (event_type='view')=0 then 0 else 100.0*(count(*) filter (event_type='view')-count(*) filter (event_type='click'))/count(*) filter (event_type='view') end, 6)::double loss from l group by 1,2"
+)
+def q49_loss_by_loop(spark, sf_dir):
+    looped = timeline.loops(read(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "signup", ["event_id"])
+    sums = looped.groupBy("user_id", "loop").agg(F.count_if(F.col("event_type") == "view").alias("sent"), F.count_if(F.col("event_type") == "click").alias("received"))
+    return sums.withColumn("loss", F.round(fn.percent_lost(F.col("sent"), F.col("received")), 6))
+
+
+@query(
+    f"select user_id, event_id, k, after place_after from (select *, lead(k) over w after, lead(event_type) over w then_type from (select *, {K} k from events where event_type in ('view','click')) window w as (partition by user_id order by event_id)) where event_type='view' and then_type='click' and after<>k"
+)
+def q50_moves(spark, sf_dir):
+    return timeline.moves(with_k(spark, sf_dir), ["user_id"], F.col("event_type") == "view", F.col("event_type") == "click", "k", "event_id")
+
+
+@query(
+    "with r as (select l_returnflag f, l_orderkey o, l_linenumber bin, cast(l_quantity as bigint) n from lineitem where l_linenumber<=4), s as (select f, o*10+bin o, unnest([0,1]) bin, unnest([n, bin]) n from r) "
+    "select f, bin, sum(n)::bigint total, arg_max(n, o)-arg_min(n, o) growth from s group by 1,2"
+)
+def q51_histogram_bins(spark, sf_dir):
+    frame = read(spark, sf_dir, "lineitem").where("l_linenumber<=4").select(F.col("l_returnflag").alias("f"), F.expr("l_orderkey*10+l_linenumber").alias("o"), F.expr("array(cast(l_quantity as bigint), cast(l_linenumber as bigint))").alias("h"))
+    return timeline.bins(frame, ["f"], "h", "o").select("f", F.col("bin").cast("bigint").alias("bin"), "total", "growth")
+
+
+@query("select user_id, event_type, min(event_id) seen, row_number() over (partition by user_id order by min(event_id)) nth from events group by 1,2")
+def q52_appearance(spark, sf_dir):
+    return timeline.in_order_of_appearance(read(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id").withColumn("nth", F.col("nth").cast("bigint"))
+
+
+def radio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a radio-node log, a day a file."""
+    user, k, level = F.col("user_id").cast("string"), F.col("k").cast("string"), F.expr(LEVEL)
+    layer = F.expr("case event_type when 'view' then 'PHY' when 'click' then 'SCHED' when 'purchase' then 'CU-CP' when 'signup' then 'NGAP' else 'RRC' end")
+    said = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("[   "), k, F.lit(".3] PUSCH: rnti=0x46"), F.lpad(F.col("user_id") % 100, 2, "0"), F.lit(" crc="), F.when(F.col("value") > 30, "KO").otherwise("OK"), F.lit(" sinr="), F.when(F.col("value") > 60, "infdB").otherwise("12.5dB")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("prach(ra-rnti=0x1 preamble="), k, F.lit(")")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("ue="), user, F.lit(" c-rnti=0x4601: UE created")))
+        .when(F.col("event_type") == "signup", F.when(F.col("k") % 2 == 0, "NGSetupResponse").otherwise("NGSetupFailure"))
+        .otherwise(F.lit("rrcReestablishmentRequest"))
+    )
+    line = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(" ["), F.rpad(layer, 8, " "), F.lit("] ["), level, F.lit("] "), said)
+    return with_k(spark, sf_dir).select(F.to_date("ts").alias("day"), "event_id", line.alias("value"))
+
+
+@query(
+    f"select cast(ts as date) \"day\", count(*) \"lines\", count(*) filter ({LEVEL}='E') errors, count(*) filter ({LEVEL}='W') warnings, count(*) filter (event_type='click') random_accesses, count(*) filter (event_type='view' and value>30) crc_fails, count(*) filter (event_type='purchase') created, "
+    f"count(*) filter (event_type='error') reestablishments, arg_max(case when {K}%2=0 then 'success' else 'failure' end, event_id) filter (event_type='signup') core_setup, count(distinct user_id) filter (event_type='purchase') n_ues from events group by 1"
+)
+def q53_radio_summary(spark, sf_dir):
+    got = summary.radio_summary(radio_log(spark, sf_dir), ["day"], "event_id")
+    return got.select("day", "lines", "errors", "warnings", "random_accesses", "crc_fails", "created", "reestablishments", "core_setup", F.size("ues").cast("bigint").alias("n_ues"))
+
+
+@query(f"select event_id, {K} || '.3' slot, cast(('0x46' || lpad(cast(user_id%100 as varchar),2,'0')) as bigint) rnti, case when value>30 then 'KO' else 'OK' end crc, value>60 silent from events where event_type='view'")
+def q54_radio_phy(spark, sf_dir):
+    return summary.radio_phy(radio_log(spark, sf_dir), ["event_id"]).select("event_id", "slot", "rnti", "crc", "silent")
+
+
+@query("select distinct user_id, e.k, c_nationkey nation, n_name from (select user_id, " + K + " k from events where event_type='purchase') e left join customer on c_custkey=e.k left join nation on n_nationkey=c_nationkey")
+def q55_identity_chain(spark, sf_dir):
+    first = with_k(spark, sf_dir).where("event_type='purchase'").select("user_id", "k")
+    second = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    return procedures.identity_chain(first, second, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name"))
+
+
+@query(
+    "with j as (select conv_id, turn, regexp_replace(text, chr(27) || '\\[[0-9;]*[A-Za-z]', '', 'g') line from (select conv_id, turn, chr(27) || '[31m' || turn || ' passed, ' || length(text) || ' failed' || chr(27) || '[0m' as text from conversations)) "
+    "select conv_id, sum(turn)::bigint passed, sum(cast(regexp_extract(line, '(\\d+) failed', 1) as bigint))::bigint failed from j where turn<3 group by 1"
+)
+def q56_job_counts(spark, sf_dir):
+    line = F.concat(F.lit("\x1b[31m"), F.col("turn").cast("string"), F.lit(" passed, "), F.length("text").cast("string"), F.lit(" failed\x1b[0m"), F.when(F.col("turn") == 3, " section_start:1:after_script").otherwise(""))
+    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("value"))
+    return consoles.job_counts(consoles.job_lines(lines, ["conv_id"], "turn"), ["conv_id"]).select("conv_id", "passed", "failed")
+
+
+@query(
+    f"with u as (select user_id, t, event_id, row_number() over (partition by user_id order by event_id) n, min(cast(ts as date)) over (partition by user_id) d0 from {E} where event_id%3=0), r as (select * from u), "
+    "x as (select *, t%86400000000 tod, lag(t%86400000000) over (partition by user_id order by event_id) pre from r) select user_id, event_id, epoch_us(d0::timestamp) + sum(case when pre-tod>43200000000 then 86400000000 else 0 end) over (partition by user_id order by event_id) + (tod//1000)*1000 t from x"
+)
+def q57_dated_times(spark, sf_dir):
+    frame = read(spark, sf_dir, "events").where("event_id%3=0")
+    anchors = frame.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("date"))
+    times = frame.select("user_id", "event_id", F.date_format(F.col("ts").cast("timestamp_ntz"), "HH:mm:ss.SSS").alias("ts"))
+    return clocks.dated(times, anchors, ["user_id"], "event_id").select("user_id", "event_id", F.col("t").cast("bigint").alias("t"))

@@ -81,7 +81,7 @@ def settings(frame: DataFrame, file: list[str], order: str, value: str = "value"
 
 def addresses(frame: DataFrame, key: list[str], text: str) -> DataFrame:
     """name, address and port of the nodes in a printed mapping of nodes."""
-    pattern = r"'([\w.-]+)', NodeInfo\([^)]*?address='([^']*)'[^)]*?port=(\d+)"
+    pattern = r"'([\w.-]+)'\s*[,:]?\s*NodeInfo\([^)]*?address='([^']*)'[^)]*?port=(\d+)"
     found = F.arrays_zip(*(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "address"), (3, "port"))))
     return frame.select(*key, F.explode(found).alias("x")).select(*key, "x.name", "x.address", F.col("x.port").cast("int").alias("port"))
 
