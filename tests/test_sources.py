@@ -6,8 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import clocks, procedures, summary, timeline
-from tracewell.sources import captures, consoles, logs, runs
+from tracewell.operators import clocks, procedures, search, sequences, summary, timeline
+from tracewell.sources import captures, configs, consoles, logs, runs
 from tracewell.streaming import live
 
 
@@ -158,3 +158,42 @@ def test_moves_and_loops(spark):
     rows = spark.createDataFrame([("u", 1, "begin", 1), ("u", 2, "end", 2), ("u", 3, "begin", 2), ("u", 4, "begin", 2), ("u", 5, "end", 2)], "k string, o int, what string, cell int")
     assert [(r.o, r.cell, r.place_after) for r in timeline.moves(rows, ["k"], F.col("what") == "begin", F.col("what") == "end", "cell", "o").collect()] == [(1, 1, 2)]
     assert [r.loop for r in timeline.loops(rows, ["k"], F.col("what") == "begin", ["o"]).orderBy("o").collect()] == [1, 1, 2, 3, 3]
+
+
+def test_sequences(spark):
+    said = [("a", 1, "SCTP-GW", "N2: Bind to 1 address(es) was successful"), ("a", 2, "SCTP-GW", "N2: Successfully connected to 1 address(es)"), ("a", 3, "SCTP-GW", "N2: SCTP connection to AMF established."),
+            ("a", 4, "NGAP", "Tx PDU: NGSetupRequest"), ("a", 5, "NGAP", "Rx PDU: NGSetupFailure"), ("b", 1, "PHY", "x")]
+    parsed = spark.createDataFrame(said, "k string, i int, layer string, message string")
+    assert [tuple(r) for r in sequences.reached(parsed, ["k"], "i", "core setup").collect()] == [("a", 3, 3, 4, [1, 2, 3, 5])]
+    assert [(r.i, r.meaning) for r in sequences.markers(parsed, ["k", "i"]).collect()] == [(5, "refused by the core network")]
+
+
+def test_steps_in_chunks_equal_one_walk(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, i, r.choice("abcx")) for k in range(40) for i in range(r.randint(1, 60))]
+    expected, want = ["a", "b", "a", "c", "b", "a", "c", "c"], {}
+    for k, _, x in rows:
+        at = want.setdefault(k, 0)
+        want[k] = at + (at < len(expected) and expected[at] == x)
+    frame = spark.createDataFrame(rows, "k int, i int, x string")
+    for chunk in (1, 7, 1000):
+        assert {x.k: x.reached for x in timeline.steps(frame, ["k"], "x", "i", expected, chunk).collect()} == want
+
+
+def test_configs(spark):
+    text = 'cells:\n  pci: 1 # one\n  pci: 2\n  duplex: tdd\ncu_cp:\n  amf:\n    addrs: "10.0.0.9"\n    port: 38412\n    bind_addrs: 10.0.0.1\n  port: 5\nrrc_level: warning\nother: 3'
+    whole = spark.createDataFrame([("a", text)], "k string, text string")
+    (r,) = configs.radio_network(whole, ["k"], "text").collect()
+    assert tuple(r) == ("a", True, ["10.0.0.9"], ["10.0.0.1"], 38412)
+    got = {r.name: (r.setting, r.level_of) for r in configs.radio_settings(frame_of(spark, text), ["k"], "i").collect()}
+    assert got == {"pci": ("2", None), "rrc_level": ("warning", "rrc")}
+    device = '{ // note\n// band: 9,\n args: "tcp://*:31000", rf_port: 0,\n /* band: 8 */ band: 78, bandwidth: 20,\n rf_port: 1, imsi: "00101", ue_count: 4,\n event: "power_on", event: "cbr", event: "power_on" }'
+    (d,) = configs.device_config(spark.createDataFrame([("a", device), ("b", None)], "k string, text string"), ["k"], "text").where("k = 'a'").collect()
+    assert tuple(d) == ("a", 4, [78], [20.0], 2, "00101", ["power_on", "cbr"])
+
+
+def test_config_echo(spark):
+    heads = spark.createDataFrame([("2025-01-02T03:04:05.000001 [CONFIG  ] [D] Input configuration (all values):",), ("2025-01-02T03:04:05.000001 [CONFIG  ] [I] Input configuration",)], "head string")
+    assert [r.echo for r in heads.select(search.is_config_echo().alias("echo")).collect()] == [True, False]

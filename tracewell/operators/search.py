@@ -41,6 +41,11 @@ def matches(*, layer: str | None = None, level: str | None = None, tokens: dict[
     return out
 
 
+def is_config_echo(head: str = "head") -> Column:
+    """Whether a block's first line begins the printout of all settings, which searches leave out."""
+    return F.col(head).rlike(r"^\S+ \[CONFIG\s*\] \[D\] ") & F.col(head).contains("Input configuration")
+
+
 def within_budget(frame: DataFrame, lines: str, cap: int, order: list[str], key: list[str] = ()) -> DataFrame:
     """The first rows whose lines together stay within cap, and the first in any case, by key.
 

@@ -82,15 +82,24 @@ def epochs(frame: DataFrame, key: list[str], release: Column, order: list[str])
     return frame.withColumn("epoch", F.sum(ended).over(w) - ended)
 
 
-def steps(frame: DataFrame, key: list[str], label: str, order: str, expected: list[str]) -> DataFrame:
+def steps(frame: DataFrame, key: list[str], label: str, order: str, expected: list, chunk: int = 100_000) -> DataFrame:
     """How far each key came in an expected sequence: steps reached in order, the last one and the first that is missing.
 
-    A step counts at its first row after the step before it.
+    A step counts at its first row after the step before it; order is a whole number.  A
+    chunk of a key's rows tells where one ends up from each step, and only that is put
+    together for the key, so a key with many rows is walked in many tasks.
     """
-    rows = frame.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, label))).alias("rows"))  # one entity's events
     sequence = F.array(*map(F.lit, expected))
-    reached = F.aggregate("rows", F.expr("0"), lambda k, r: F.when(F.try_element_at(sequence, k + 1).eqNullSafe(r[label]), k + 1).otherwise(k))
-    return rows.select(*key, reached.alias("reached")).select(*key, "reached", F.get(sequence, F.col("reached") - 1).alias("last_step"), F.get(sequence, F.col("reached")).alias("missing"))
+    row = F.when(F.col(label).isin(*expected), F.struct(F.col(order), F.col(label)))
+    parts = frame.groupBy(*key, F.floor(F.col(order) / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def onward(start: Column) -> Column:
+        return F.aggregate("rows", start, lambda k, r: F.when(F.get(sequence, k).eqNullSafe(r[label]), k + 1).otherwise(k))
+
+    walked = parts.select(*key, "chunk", F.transform(F.sequence(F.lit(0), F.lit(len(expected))), onward).alias("to"))
+    whole = walked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "to"))).alias("chunks"))
+    reached = F.aggregate("chunks", F.lit(0), lambda k, c: F.get(c["to"], k))
+    return whole.select(*key, reached.alias("reached")).select(*key, "reached", F.get(sequence, F.col("reached") - 1).alias("last_step"), F.get(sequence, F.col("reached")).alias("missing"))
 
 
 def before_events(frame: DataFrame, key: list[str], event: Column, span: int, label: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import clocks, identity, pairing, procedures, rules, search, summary, timeline
+from ..operators import clocks, identity, pairing, procedures, rules, search, sequences, summary, timeline
 from ..sources import captures, consoles, logs, runs
 
 HOUR = 3_600_000_000
@@ -517,3 +517,15 @@ def q57_dated_times(spark, sf_dir):
     anchors = frame.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("date"))
     times = frame.select("user_id", "event_id", F.date_format(F.col("ts").cast("timestamp_ntz"), "HH:mm:ss.SSS").alias("ts"))
     return clocks.dated(times, anchors, ["user_id"], "event_id").select("user_id", "event_id", F.col("t").cast("bigint").alias("t"))
+
+
+@query(
+    f"with l as (select user_id, event_id, case event_type when 'signup' then case when {K}%2=0 then 2 end when 'click' then 1 when 'purchase' then 3 end step from events), a as (select u.user_id, min(event_id) s1 from (select distinct user_id from l where step is not null) u left join l on l.user_id=u.user_id and step=1 group by 1), "
+    "b as (select a.user_id, s1, min(event_id) s2 from a left join l on l.user_id=a.user_id and step=2 and event_id>s1 group by 1,2), c as (select b.user_id, s1, s2, min(event_id) s3 from b left join l on l.user_id=b.user_id and step=3 and event_id>s2 group by 1,2,3), "
+    "seen as (select user_id, array_to_string(list_sort(list(distinct step)), ',') seen from l where step is not null group by 1) select user_id, (s1 is not null)::int+(s2 is not null)::int+(s3 is not null)::int reached, seen from c join seen using (user_id)"
+)
+def q58_procedure_steps(spark, sf_dir):
+    users = events(spark, sf_dir).select("event_id", "user_id")
+    parsed = logs.parse_radio(radio_log(spark, sf_dir)).join(users, "event_id")
+    found = sequences.reached(parsed, ["user_id"], "event_id", expected=(("SCHED", r"prach\("), ("NGAP", "NGSetupResponse"), ("CU-CP", ": UE created")))
+    return found.select("user_id", "reached", F.array_join(F.col("seen").cast("array<string>"), ",").alias("seen"))
