@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc: str = "doc_i
     buckets = dealt.groupBy("bucket").agg(F.count("*").alias("held"), F.max(F.struct("copies", "class", "n")).alias("pivot")).where("held > 1")
     members = store(dealt.join(buckets, "bucket").select("bucket", "class", "n", "held", F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
     active = members.select("class").distinct().join(classes.select("class", "row"), "class")
-    sets = store(full_sets(rows.join(active, "row").select("class", "text"), how), "sets")
+    texts = rows.join(active, "row").dropDuplicates(["row"])  # repeated rows share a key
+    sets = store(full_sets(texts.select("class", "text"), how), "sets")
 
     pairs = members.where("class <> pivot").where(f"100 * least(n, pivot_n) >= {how.percent} * greatest(n, pivot_n)").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     one = sets.select(F.col("class").alias("a"), F.col("signature").alias("s"), F.col("members").alias("x"))
