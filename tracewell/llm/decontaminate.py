@@ -157,7 +157,7 @@ def search(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 200_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """How many words of each document lie in windows of benchmark items, and of how many items."""
+    """How many words of each document lie in windows of benchmark items, and of how many items; row is the row's key."""
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
     tests = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -184,5 +184,5 @@ def decontaminate(
     names = F.array_join(F.sort_array("items"), ",")
     n_hit = F.size("hits").cast("bigint")
     return parts.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "row", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .quality_rules import SYMBOLS, measures
-from .tables import map_batches, store
+from .tables import map_batches, row_key, store
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "symbols", "digits", "points", "marks", "dup_lines", "repeat_words",
@@ -197,17 +197,17 @@ def fit(x: np.ndarray, y: np.ndarray, how: Training = Training()) -> Additive:
     return model
 
 
-MEASURES = "doc_id bigint, features array<double>"
+MEASURES = "doc_id bigint, row bigint, features array<double>"
 
 
 def measure(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and features of every text."""
+    """doc_id, the row's key and features of every text."""
 
     def step(batch: pa.RecordBatch) -> pa.Table:
-        parts = [features(data, offsets) for _, data, offsets in bt.chunks(batch.column(1))]
-        return pa.table([batch.column(0), pa.array(list(np.concatenate(parts)), pa.list_(pa.float64()))], ["doc_id", "features"])
+        parts = [features(data, offsets) for _, data, offsets in bt.chunks(batch.column(2))]
+        return pa.table([batch.column(0), batch.column(1), pa.array(list(np.concatenate(parts)), pa.list_(pa.float64()))], ["doc_id", "row", "features"])
 
-    return map_batches(docs.selectExpr(f"cast({doc} as bigint) doc_id", text), step, MEASURES)
+    return map_batches(docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), text), step, MEASURES)
 
 
 def train(measured: DataFrame, labels: DataFrame, how: Training = Training(), doc: str = "doc_id", label: str = "quality") -> Additive:
@@ -219,15 +219,15 @@ def train(measured: DataFrame, labels: DataFrame, how: Training = Training(), do
     return fit(x, held.column(1).to_numpy(), how)
 
 
-SCORES = "doc_id bigint, score double"
+SCORES = "doc_id bigint, row bigint, score double"
 
 
 def score(measured: DataFrame, model: Additive) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.Table:
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-        return pa.table([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+        x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
+        return pa.table([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "row", "score"])
 
-    return map_batches(measured.select("doc_id", "features"), step, SCORES)
+    return map_batches(measured.select("doc_id", "row", "features"), step, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from, how: Training = Training()) -> DataFrame:

@@ -213,12 +213,12 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row its removed byte ranges, the hash of the bytes kept, and the text that is left.
+def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every row its removed byte ranges, the hash of the bytes kept, the text that is left, and columns to carry along.
 
     kept_text keeps a character of which a range covers only some bytes; the hash does not.
     """
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
     found = repeated_spans(rows.select("row", "text").where(F.octet_length("text") >= how.length), how)
     spans = found.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
@@ -239,6 +239,7 @@ def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_
             out.append((doc_id, row, len(raw), sum(b - a for a, b in ranges), len(ranges), [{"start": a, "end": b} for a, b in ranges], kept.hexdigest(), b"".join(chars).decode()))
         kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
         names = ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"]
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
+        return pa.table([*(pa.array(list(c), k) for c, k in zip(zip(*out), kinds)), *map(batch.column, carry)], [*names, *carry])
 
-    return map_batches(rows.join(spans, "row", "left"), step, CUTS)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_batches(rows.join(spans, "row", "left"), step, CUTS + carried)
