@@ -12,36 +12,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, minhash_dedup, packing, quality_classifier, suffix_dedup
-from tracewell.llm.tables import held_out, shared_folder
+from tracewell.llm.tables import held_out, row_key, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).withColumn("row", row_key())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    Each row is judged by its own text: null texts as empty ones, rows without or with equal ids each.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    accepted = quality_classifier.classify(docs, labels, ~held_out(4, 2)).where("score >= 0.7").select("doc_id").distinct()
-    return docs.join(accepted, "doc_id", "left_semi").select(*COLUMNS)
+    accepted = quality_classifier.classify(docs, labels, ~held_out(4, 2)).where("score >= 0.7").select("row")
+    return keyed(docs).join(accepted, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies, that with the least id; of repeated rows, one.
+
+    Rows with equal ids but texts that are linked both stay where theirs is the least id, as do
+    linked rows that all lack an id.  Texts without words are linked with nothing and stay.
+    """
+    kept = minhash_dedup.near_duplicates(docs).where("kept").select("row")
+    return keyed(docs).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that occur elsewhere too; what is empty then goes."""
-    left = suffix_dedup.remove_repeats(docs).select("doc_id", "kept_text", "n_removed").withColumnRenamed("doc_id", "id")
-    joined = docs.join(left, docs["doc_id"].eqNullSafe(left["id"])).where("n_removed = 0 or trim(kept_text) <> ''")
-    return joined.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+    """Documents without the strings that occur elsewhere too; what is empty then goes, what was empty stays.
+
+    Null texts become empty ones.  Repeated rows repeat each other.
+    """
+    left = suffix_dedup.remove_repeats(docs, carry=("lang", "source")).where("n_removed = 0 or trim(kept_text) <> ''")
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; each row is judged by its own text, null ones have none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontaminate.decontaminate(docs, benchmark).where("not contaminated").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi").select(*COLUMNS)
+    clean = decontaminate.decontaminate(docs, benchmark).where("not contaminated").select("row")
+    return keyed(docs).join(clean, "row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
