@@ -58,3 +58,22 @@ def test_one_row_for_each_document(spark, name):
     ids = sorted({r["doc_id"] for r in df.select("doc_id").collect()})
     assert ids == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
     assert name == "op7_packing" or df.count() == len(ids)
+
+
+def test_stages_on_null_ids_and_repeated_rows(spark):
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").where("length(text) > 300").select("text").orderBy("doc_id").limit(4).collect()]
+    rows = [(None, good[0], "en", "a", 1), (1, good[1], "en", "a", 1), (1, good[1], "en", "a", 1), (2, None, None, None, None), (2, "", "en", "b", 0), (3, good[2], None, "a", 1), (3, good[3], "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [texts_of(stage(spark, docs, SF)) for _, stage in corpus_pipeline.STAGES[:4]]
+    ids = lambda held: sorted((d is None, d or 0) for d, _ in held)
+    assert {t for d, t in kept[0] if d != 2} == set(good) and len([d for d, _ in kept[0] if d == 1]) == 2
+    assert ids(kept[1]) == ids([(d, t) for d, t, *_ in rows if d != 1] + [(1, "")])
+    assert [d for d, _ in kept[2] if d == 1] == [] and len([d for d, _ in kept[2] if d == 2]) == 2
+    assert all((d, t or "") in {(d, t or "") for d, t, *_ in rows} for d, t in kept[3])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def texts_of(df):
+    assert list(df.columns) == list(corpus_pipeline.COLUMNS)
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
