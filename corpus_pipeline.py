@@ -16,6 +16,10 @@ from tracewell.llm.tables import held_out, row_key, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Texts are near copies from a Jaccard of 0.8 of their word shingles; a pair at 0.8 shares no
+#: bucket with probability 4e-7, and its signatures' estimate has a standard deviation of 0.03.
+NEAR = minhash_dedup.MinHash(percent=80, bands=37)
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("row", row_key())
@@ -32,12 +36,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id; of repeated rows, one.
+    """One document of each group of near copies (NEAR), that with the least id; of repeated rows, one.
 
     Rows with equal ids but texts that are linked both stay where theirs is the least id, as do
     linked rows that all lack an id.  Texts without words are linked with nothing and stay.
     """
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("row")
+    kept = minhash_dedup.near_duplicates(docs, NEAR).where("kept").select("row")
     return keyed(docs).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 

@@ -1,5 +1,7 @@
 """The registered queries and the pipeline's stages on the smallest tables."""
 
+import random
+
 import brute
 import numpy as np
 import public_tokenizers
@@ -74,6 +76,18 @@ def test_stages_on_null_ids_and_repeated_rows(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    texts, r = [], random.Random(8)
+    for n in range(40, 75):  # n shingles; a word changed in the middle leaves n - 5 of n + 5, which is 0.8 at 45
+        words = [f"w{n}x{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join("other" if i == n // 2 else w for i, w in enumerate(words))]
+    rows = list(zip(r.sample(range(1000), len(texts)), texts))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(texts_of(corpus_pipeline.near_duplicates(spark, docs, SF)))
+    ids = {d for d, _, least in brute.components(rows, 80) if d == least}
+    assert kept == sorted((d, t) for d, t in rows if d in ids) and len(rows) - len(ids) == 30
+
+
 def texts_of(df):
     assert list(df.columns) == list(corpus_pipeline.COLUMNS)
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
