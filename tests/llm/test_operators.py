@@ -116,6 +116,19 @@ def test_license_scan(docs, none, spark):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_two_notices(spark):
+    pairs = [(a, b) for a in license_scan.TEMPLATES for b in license_scan.TEMPLATES if a != b]
+    texts = [f"{a[1]}. And then {b[1]}." for a, b in pairs]
+    every = " ".join(p for _, p, _ in license_scan.TEMPLATES)  # no word is rarer than another
+    for others in ([], ["plain text"] * 300, [every] * 3):
+        frame = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+        got = license_scan.scan(frame).where(F.col("doc_id") < len(texts)).orderBy("doc_id").collect()
+        assert [p for p, r in zip(pairs, got, strict=True) if not {p[0][0], p[1][0]} <= set(r["labels"].split(","))] == []
+    alone = spark.createDataFrame([(k, p) for k, (_, p, _) in enumerate(license_scan.TEMPLATES)] + [(20 + k, every) for k in range(200)], "doc_id long, text string")
+    for r in license_scan.scan(alone).where("doc_id < 20").collect():
+        assert license_scan.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == pytest.approx(1)
+
+
 def test_line_dedup(docs, none, spark):
     line = "this is a line of eight whole words"
     texts = [f"Own first text.\n{line}\nmore of it", f"{line.upper()}  \nan other text\n{line}", None, "", f"Here it is. {line} too. This is  A line of eight whole words! End", "short one\nshort one"]

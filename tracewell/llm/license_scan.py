@@ -1,10 +1,12 @@
 """License scans with a positional rare-token index, in DataFrame functions alone.
 
 The index holds postings: for each word of a licence template its template and place.  A
-file looks up its highest-IDF licence words; each posting that it meets votes for the place
-where the template would have to begin, so postings are intersected by relative position.
-Where enough of the template's weight agrees on one place, the template's mandatory key
-phrases are looked for at their own places from there, and only then its label is given.
+file looks up each template's highest-IDF words, as many as a place with enough agreement
+cannot do without; each posting that it meets names the place where the template would have
+to begin.  The template's mandatory key phrases are looked for at their own places from
+there, and where they are, all of its words are: postings are intersected by relative
+position.  Only where enough of the template's weight agrees is its label given, whatever
+else the file holds.
 Base phrases are always found, wherever their words stand consecutively.
 
 Texts are read once.  Only words of the index are kept, and only of files that hold one of
@@ -12,7 +14,7 @@ the anchor words; document frequencies are counted over all files.  Nothing that
 shuffled is as large as a text, and groups are single places in single texts.
 
 Null and empty texts have no words, no labels and score 0.  Equal texts get equal results,
-as do repeated rows.  Ties in IDF are broken by the word.  The result has one row for each
+as do repeated rows.  Ties in IDF are broken by the word and place.  The result has one row for each
 row of the input.
 """
 
@@ -61,7 +63,6 @@ ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistri
 
 @dataclass(frozen=True)
 class Scan:
-    top_words: int = 16  # of a file, by IDF, that are looked up
     agree: float = 0.7  # share of a template's weight that must agree on one place
 
 
@@ -85,6 +86,18 @@ def postings() -> tuple[list[tuple], list[tuple], list[tuple]]:
     return by_phrase, by_template, needs
 
 
+def rarest(own: list[tuple[float, str, int]], agree: float) -> list[tuple[str, int]]:
+    """The words (IDF, word, place) of a template by IDF, until those left over could not agree enough alone."""
+    left, out = sum(x for x, _, _ in own), []
+    least = agree * left * (1 - 1e-9)
+    for x, w, k in sorted(own, key=lambda o: (-o[0], *o[1:])):
+        if left < least:
+            break
+        out.append((w, k))
+        left -= x
+    return out
+
+
 def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """n_words, base places, labels and score of every row."""
     spark = docs.sparkSession
@@ -102,14 +115,7 @@ def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "
     held = files.select(F.explode("present").alias("word")).groupBy("word").count().collect()
     total, df = files.count(), {r["word"]: r["count"] for r in held}
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1e-3 for w in vocabulary}
-    weight = F.create_map(*chain.from_iterable((F.lit(w), F.lit(x)) for w, x in idf.items()))
-
-    best = F.slice(F.array_sort(F.transform("present", lambda w: F.named_struct(F.lit("low"), -weight[w], F.lit("word"), w))), 1, how.top_words)
-    found = (
-        files.where("hits is not null")
-        .select("key", F.transform(best, lambda x: x["word"]).alias("best"), F.explode("hits").alias("hit"))
-        .select("key", "hit.at", "hit.word", F.array_contains("best", F.col("hit.word")).alias("rare"))
-    )
+    found = files.where("hits is not null").select("key", F.explode("hits").alias("hit")).select("key", "hit.at", "hit.word")
 
     phrase_index = F.broadcast(spark.createDataFrame(by_phrase, "phrase string, word string, off bigint, length bigint"))
     places = (
@@ -121,27 +127,30 @@ def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "
     )
     places = store(places, "licence-places")
 
-    # a template's weight, as far as its words are rare ones of this file, need not be all of it
-    template_index = F.broadcast(spark.createDataFrame([(t, w, k, idf[w]) for t, w, k in by_template], "template int, word string, off bigint, idf double"))
-    whole = {t: sum(idf[w] for u, w, _ in by_template if u == t) for t in range(len(TEMPLATES))}
-    share = F.create_map(*chain.from_iterable((F.lit(t), F.lit(x)) for t, x in whole.items()))
-    voted = (
-        found.where("rare")
-        .join(template_index, "word")
-        .groupBy("key", "template", (F.col("at") - F.col("off")).alias("start"))
-        .agg(F.collect_set(F.struct("off", "idf")).alias("votes"))  # a template's words at most
-        .withColumn("agreed", F.aggregate(F.array_sort("votes"), F.lit(0.0), lambda a, x: a + x["idf"]) / share[F.col("template")])
-        .where(F.col("agreed") >= how.agree)
-    )
+    own = [[(idf[w], w, k) for u, w, k in by_template if u == t] for t in range(len(TEMPLATES))]
+    rare_index = F.broadcast(spark.createDataFrame([(t, w, k) for t, x in enumerate(own) for w, k in rarest(x, how.agree)], "template int, word string, off bigint"))
+    begun = found.join(rare_index, "word").select("key", "template", (F.col("at") - F.col("off")).alias("start")).distinct()
     need = F.broadcast(spark.createDataFrame([(t, p, k, sum(u == t for u, _, _ in needs)) for t, p, k in needs], "template int, phrase string, off bigint, needed int"))
     name = F.create_map(*chain.from_iterable((F.lit(t), F.lit(x[0])) for t, x in enumerate(TEMPLATES)))
-    verified = (
-        voted.join(need, "template")
+    phrased = (
+        begun.join(need, "template")
         .withColumn("at", F.col("start") + F.col("off"))
         .join(places.withColumnRenamed("start", "at"), ["key", "phrase", "at"])
-        .groupBy("key", "template", "start", "needed", "agreed")
+        .groupBy("key", "template", "start", "needed")
         .agg(F.count("*").alias("there"))
         .where("there = needed")
+        .select("key", "template", "start")
+    )
+    template_index = F.broadcast(spark.createDataFrame([(t, w, k, idf[w]) for t, w, k in by_template], "template int, word string, off bigint, idf double"))
+    share = F.create_map(*chain.from_iterable((F.lit(t), F.lit(sum(x for x, _, _ in o))) for t, o in enumerate(own)))
+    verified = (
+        phrased.join(template_index, "template")
+        .withColumn("at", F.col("start") + F.col("off"))
+        .join(found.distinct(), ["key", "at", "word"])
+        .groupBy("key", "template", "start")
+        .agg(F.collect_set(F.struct("off", "idf")).alias("votes"))  # a template's words at most
+        .withColumn("agreed", F.aggregate(F.array_sort("votes"), F.lit(0.0), lambda a, x: a + x["idf"]) / share[F.col("template")])
+        .where(F.col("agreed") >= how.agree)
         .select("key", name[F.col("template")].alias("label"), F.least("agreed", F.lit(1.0)).alias("score"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("length"))
     )
     base = F.create_map(*chain.from_iterable((F.lit(p), F.lit(label)) for p, label in BASE))
