@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
+from tracewell.llm import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup
 from tracewell.llm.tables import held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, words string, found string"
@@ -81,6 +81,14 @@ def test_katz(docs, none, order, heavy):
     assert {r["score"] for r in katz.katz_scores(docs, F.lit(False), how).collect()} == {0.0}
 
 
+def test_registered_katz_is_a_trigram_model(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = brute.Katz([brute.Katz.tokens(t) for d, t in ROWS if brute.crc(d) % 10], 3)
+    got = queries.op1_katz_scores(spark, str(tmp_path)).collect()
+    for r, (_, x) in zip(sorted(got, key=lambda r: (r["doc_id"], r["score"])), sorted((d, model.score(t)) for d, t in ROWS), strict=True):
+        assert r["score"] == pytest.approx(x, rel=1e-9, abs=1e-9)
+
+
 def test_katz_sums_to_one(docs):
     words = sorted({w for _, t in ROWS for w in brute.Katz.tokens(t) if w})[:60]
     model = brute.Katz([brute.Katz.tokens(" ".join(words[i:] + words[:9])) for i in range(0, 50, 3)], 2)

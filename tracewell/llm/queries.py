@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(read(spark, sf_dir, "documents"), ~held_out(10, 0))
+    return katz.katz_scores(read(spark, sf_dir, "documents"), ~held_out(10, 0), katz.Katz(order=3))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
