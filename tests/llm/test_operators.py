@@ -169,6 +169,15 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_quality_rules_see_the_end(spark):
+    r = random.Random(4)
+    prose = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if i % 7 else " " for i in range(4096))
+    texts = [prose[:2048] + "x" * 2047, prose[:4095], prose[:2048], prose[:2000]]
+    got = quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["kept"] for x in got] == [False, True, True, True] and got[0]["chunk_high"] > 3.2
+    assert [x["chunk_high"] is None for x in got] == [False, False, False, True]
+
+
 @pytest.mark.parametrize("block", [200_000, 12])
 def test_decontaminate(spark, docs, none, block):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")

@@ -117,7 +117,8 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), doc: str = "doc_id",
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 ratio = (b - a) / len(packer.compress(raw[a:b])) if b > a else 0.0
                 k = bands.chunk_bytes
-                each = [k / len(packer.compress(raw[i : i + k])) for i in range(a, b - k + 1, k)]
+                starts = [*range(a, b - k + 1, k), *([b - k] if b - a > k and (b - a) % k else [])]  # the last ends with the text
+                each = [k / len(packer.compress(raw[i : i + k])) for i in starts]
                 kept.append(bands.within(b - a, ratio, each))
                 ratios.append(ratio)
                 lows.append(min(each, default=None))
