@@ -16,16 +16,16 @@ def frame_of(spark, text, key="a"):
 
 
 def test_inventory_of_latest_runs(spark, tmp_path):
-    for name in ("ocudu-cu-cp-0/2025-01-01_00-00-00/cu.log", "ocudu-gnb-0/2025-01-01_00-00-00/gnb.log", "ocudu-gnb-0/2025-01-02_00-00-00/mac.pcap", "ocudu-gnb-0/2025-01-02_00-00-00/gnb.log",
-                 "ocudu-gnb-0/2025-01-02_00-00-00/ngap.pcap", "ocudu-gnb-0/2025-01-02_00-00-00/metrics.json", "amarisoft-ue-1/ue.log", "other/x.txt"):
+    for name in ("acme-cu-cp-0/2025-01-01_00-00-00/cu.log", "acme-gnb-0/2025-01-01_00-00-00/gnb.log", "acme-gnb-0/2025-01-02_00-00-00/mac.pcap", "acme-gnb-0/2025-01-02_00-00-00/gnb.log", "acme-gnb-0/2025-01-02_00-00-00/acme_gnb.yml",
+                 "acme-gnb-0/2025-01-02_00-00-00/ngap.pcap", "acme-gnb-0/2025-01-02_00-00-00/metrics.json", "other-ue-1/ue.log", "other/x.txt"):
         at = tmp_path / name
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_text("x")
     files = runs.parts(runs.listing(spark, str(tmp_path)))
     got = {r.component: r for r in runs.inventory(files).collect()}
-    assert {c: r.role for c, r in got.items()} == {"ocudu-cu-cp-0": "cu-cp", "ocudu-gnb-0": "gnb", "amarisoft-ue-1": "ue", "other": None}
-    assert (got["ocudu-gnb-0"].run, got["ocudu-gnb-0"].logs, got["ocudu-gnb-0"].captures, got["ocudu-gnb-0"].metrics) == ("2025-01-02_00-00-00", ["gnb.log"], ["ngap.pcap", "mac.pcap"], True)
-    assert (got["amarisoft-ue-1"].run, got["amarisoft-ue-1"].logs, got["amarisoft-ue-1"].metrics) == (None, ["ue.log"], False)
+    assert {c: r.role for c, r in got.items()} == {"acme-cu-cp-0": "cu-cp", "acme-gnb-0": "gnb", "other-ue-1": "ue", "other": None}
+    assert (got["acme-gnb-0"].run, got["acme-gnb-0"].logs, got["acme-gnb-0"].captures, got["acme-gnb-0"].metrics, got["acme-gnb-0"].configs) == ("2025-01-02_00-00-00", ["gnb.log"], ["ngap.pcap", "mac.pcap"], True, ["acme_gnb.yml"])
+    assert (got["other-ue-1"].run, got["other-ue-1"].logs, got["other-ue-1"].metrics) == (None, ["ue.log"], False)
     (folder,) = runs.capture_folders(files).collect()
     assert folder.folder.endswith("2025-01-02_00-00-00") and folder.captures == ["mac.pcap", "ngap.pcap"]
     (last,) = runs.latest_path(files, [], "gnb.log").collect()
@@ -68,7 +68,7 @@ def test_typed_fields_and_summaries(spark, tmp_path):
 
 
 def test_consoles(spark):
-    radio = frame_of(spark, "==== OCUDU gNB (commit abc123) ====\nCell pci=1, bw=20 MHz\nN2: Connection to AMF completed\n==== gNB started ===\n   1 4601 |  15 1.0  27  15M |  20\n pci rnti |\nStopping...\nLogfile stored in /tmp/gnb.log")
+    radio = frame_of(spark, "==== Acme gNB (commit abc123) ====\nCell pci=1, bw=20 MHz\nN2: Connection to AMF completed\n==== gNB started ===\n   1 4601 |  15 1.0  27  15M |  20\n pci rnti |\nStopping...\nLogfile stored in /tmp/gnb.log")
     (r,) = consoles.radio_console(radio, ["k"], "i").collect()
     assert (r.commit, r.cells, r.core, r.started, r.stopped, r.logfile, r.metrics_rows) == ("abc123", ["Cell pci=1, bw=20 MHz"], True, True, True, "/tmp/gnb.log", 1)
     (row,) = consoles.radio_table(radio, ["k"]).collect()

@@ -21,7 +21,7 @@ def radio_console(lines: DataFrame, key: list[str], order: str, value: str = "va
     """
     v, t = F.col(value), F.trim(value)
     kind = (
-        F.when(t.contains("OCUDU gNB (commit"), "banner").when(t.startswith("Cell pci="), "cell").when(t.startswith("N2:") & t.contains("completed"), "core")
+        F.when(t.contains("gNB (commit"), "banner").when(t.startswith("Cell pci="), "cell").when(t.startswith("N2:") & t.contains("completed"), "core")
         .when(t.startswith("==== gNB started ==="), "started").when(t.startswith("Stopping..."), "stopped").when(t.startswith("Logfile stored in"), "logfile").when(v.rlike(r"^\s*\d+\s+[0-9a-f]{4}\s+\|"), "row")
     )
     told = lines.select(*key, order, t.alias("line"), kind.alias("kind")).where("kind is not null")

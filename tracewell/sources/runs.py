@@ -10,25 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Beginnings of component folders and their roles; the first that fits counts.
-ROLES = (
-    ("ocudu-cu-cp", "cu-cp"),
-    ("ocudu-cu-up", "cu-up"),
-    ("ocudu-cu", "cu"),
-    ("ocudu-du", "du"),
-    ("ocudu-gnb", "gnb"),
-    ("ocudu-odu", "odu"),
-    ("ocudu-ocu", "ocu"),
-    ("amarisoft-ue", "ue"),
-    ("amarisoft-5gc", "5gc"),
-    ("amarisoft-mme", "5gc"),
-)
-#: Logs, configurations and captures of each family of roles, the preferred first.
+#: What follows a vendor's name in component folders, the first that fits counting, and roles of another name.
+ROLES = ("cu-cp", "cu-up", "cu", "du", "gnb", "odu", "ocu", "ue", "5gc", "mme")
+ROLE_NAMES = {"mme": "5gc"}
+#: Logs, configurations and captures of each family of roles, the preferred first;
+#: a configuration may have a vendor's name and an underscore before it.
 RADIO_LOGS = ("gnb.log", "du.log", "cu.log", "cu_cp.log", "cu_up.log")
-RADIO_CONFIGS = ("ocudu_gnb.yml", "ocudu_du.yml", "ocudu_cu.yml")
+RADIO_CONFIGS = ("gnb.yml", "du.yml", "cu.yml")
 CAPTURES = ("ngap.pcap", "f1ap.pcap", "e1ap.pcap", "mac.pcap", "rlc.pcap")
-DEVICE_LOGS, DEVICE_CONFIGS = ("ue.log",), ("amarisoft_ue.cfg",)
-CORE_LOGS, CORE_CONFIGS = ("mme.log", "amf.log", "open5gs.log"), ("amarisoft_mme.cfg", "amarisoft_amf.cfg")
+DEVICE_LOGS, DEVICE_CONFIGS = ("ue.log",), ("ue.cfg",)
+CORE_LOGS, CORE_CONFIGS = ("mme.log", "amf.log", "open5gs.log"), ("mme.cfg", "amf.cfg")
 RUN_NAME = r"^\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}$"
 
 
@@ -39,8 +30,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def role(component: Column) -> Column:
-    """The role of a component's folder, or null."""
-    return F.coalesce(*(F.when(component.startswith(start), name) for start, name in ROLES))
+    """The role of a component's folder, such as gnb of vendor-gnb-0, or null."""
+    after = F.when(component.rlike("^[A-Za-z0-9]+-"), F.regexp_replace(component, "^[A-Za-z0-9]+-", ""))
+    return F.coalesce(*(F.when(after.startswith(name), ROLE_NAMES.get(name, name)) for name in ROLES))
+
+
+def without_vendor(name: Column) -> Column:
+    """A configuration's name without the vendor's before it."""
+    return F.regexp_replace(name, r"^[A-Za-z0-9]+_(?=[a-z]+\.(?:yml|cfg)$)", "")
 
 
 def parts(files: DataFrame, path: str = "path") -> DataFrame:
@@ -66,12 +63,15 @@ def inventory(files: DataFrame, key: list[str] = ()) -> DataFrame:
     by = [*key, "component"]
     latest = files.groupBy(*by).agg(F.max("run").alias("latest"))
     own = files.join(latest, by).where(F.col("run").eqNullSafe(F.col("latest")))
-    held = own.groupBy(*by).agg(F.max("run").alias("run"), F.collect_set(F.when(F.col("name").isin(*_KNOWN), F.col("name"))).alias("names"))
+    held = own.groupBy(*by).agg(F.max("run").alias("run"), F.array_sort(F.collect_set(F.when(without_vendor(F.col("name")).isin(*_KNOWN), F.col("name")))).alias("names"))
     kind = role(F.col("component"))
 
     def found(radio: tuple, device: tuple, core: tuple) -> Column:
         def present(names: tuple) -> Column:
-            return F.filter(F.array(*map(F.lit, names)) if names else F.expr("cast(array() as array<string>)"), lambda n: F.array_contains("names", n))
+            def like(wanted: str) -> Column:
+                return F.filter("names", lambda own: without_vendor(own) == wanted)
+
+            return F.concat(*map(like, names)) if names else F.expr("cast(array() as array<string>)")
 
         return F.when(kind == "ue", present(device)).when(kind == "5gc", present(core)).when(kind.isNotNull(), present(radio)).otherwise(F.expr("cast(array() as array<string>)"))
 
