@@ -3,7 +3,8 @@
 A chunk of texts is one byte array with offsets, as Arrow stores it.  Words are
 found by the ASCII bytes that separate them, which is exact on UTF-8 because no
 byte of a multi-byte character is below 0x80.  A word, n-gram or byte range is
-known by a 64-bit fingerprint.
+known by a 64-bit fingerprint; where equal names alone decide, a second one over prime
+fields is added to it, which makes 126 bits, as strings with equal sums modulo 2**64 can be made.
 """
 
 from __future__ import annotations
@@ -60,10 +61,57 @@ class Fingerprints:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+LONG_WORD = 128
+
+
+def word_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of words; long ones, of which some with equal sums can be made, by both kinds of sum."""
+    out = Fingerprints(data).of(start, end)
+    long = np.flatnonzero(np.asarray(end) - np.asarray(start) >= LONG_WORD)
+    if len(long):
+        out[long] = mix(out[long] ^ FieldPrints(data).of(start[long], end[long]))
+    return out
+
+
+PRIMES = (2**31 - 1, 2**31 - 19)
+_fields = [np.random.default_rng(q).integers(1, q, 257).astype(np.uint64) for q in PRIMES]  # of the bytes, and the base
+_field_powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in PRIMES]
+
+
+def field_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both primes the powers of the base and of its inverse, n of each at least."""
+    for k, (q, values) in enumerate(zip(PRIMES, _fields)):
+        both = []
+        for have, base in zip(_field_powers[k], (int(values[256]), pow(int(values[256]), -1, q))):
+            while len(have) < n:
+                have = np.concatenate([have, have * np.uint64(pow(base, len(have), q)) % np.uint64(q)])
+            both.append(have)
+        _field_powers[k] = (both[0], both[1])
+    return _field_powers
+
+
+class FieldPrints:
+    """Fingerprints of 62 bits over two prime fields, of byte ranges of one chunk."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums, self.down = [], []
+        for q, values, (up, down) in zip(PRIMES, _fields, field_powers(n + 1)):
+            sums = np.zeros(n + 1, np.uint64)  # of up to 2**33 values below 2**31
+            np.cumsum(values[data] * up[:n] % np.uint64(q), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((s[end] - s[start]) % np.uint64(q) * d[start] % np.uint64(q) for q, s, d in zip(PRIMES, self.sums, self.down))
+        return (a << np.uint64(31)) | b
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
-    """(first row, data, offsets) for runs of rows of about limit bytes; null is empty."""
+    """(first row, data, offsets) for runs of rows of about limit bytes, of texts or bytes; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if raw else pa.large_string()), b"" if raw else "")
     if not len(column):
         return
     _, where, what = column.buffers()

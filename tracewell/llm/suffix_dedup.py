@@ -8,7 +8,7 @@ only those that can matter are refined:
   its string.  Equal strings have equal anchors at equal distance, so the anchor's q-gram is
   the start's initial bucket.  Starts that share an anchor are neighbours and stay one
   block, which keeps the array sparse: about one block for 185 bytes of prose.
-* Bucket pointers.  A block's identifier is the fingerprint of the bytes that its starts
+* Bucket pointers.  A block's identifier is the fingerprint (126 bits) of the bytes that its starts
   span.  Blocks with the same identifier hold the same strings at the same distances and
   are settled together: repeated if there are two or more, however many copies there are.
 * Refinement.  Where an initial bucket holds different identifiers, its blocks are cut by
@@ -17,11 +17,16 @@ only those that can matter are refined:
   its bucket is settled as unique.  One block of each identifier goes on, as identifiers
   already refined are used again for all its copies.  The last blocks hold one start.
 
-Only block rows are shuffled and counted, with partial sums before the shuffle.  Texts are
-shuffled twice, by row key: to read the bytes around unsettled anchors, and to cut.
+Only block rows are shuffled and counted, with partial sums before the shuffle.  Identifiers
+that are in very many blocks are known by a list of bounded size, and their blocks are marked
+without a shuffle.  Texts are shuffled twice, by row: to read the bytes around unsettled
+anchors, and to cut.
 
 Null texts are empty.  Repeated rows repeat each other.  Matches never cross texts, and
-texts shorter than `length` are left as they are.
+texts shorter than `length` are left as they are.  An empty table gives an empty result.
+Other columns of the input are not looked at, whatever their names; those to carry along
+must not have a name of the result.  A text of any length is one chunk, in a task's memory
+some forty times its size.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from . import bytetext as bt
 from .tables import map_batches, row_key, store
 
 U = np.uint64
+MOST_HOT = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,7 @@ class Suffixes:
     length: int = 400
     q: int = 32
     steps: tuple[int, ...] = (64, 16, 4, 1)  # distances in a block at each refinement
+    hot: int = 1000  # names in no more blocks than this are not hot, however few blocks there are
 
     @property
     def span(self) -> int:
@@ -93,95 +100,152 @@ def identifier(prints: bt.Fingerprints, anchor: np.ndarray, first: np.ndarray, l
     return bt.mix(name + bt.mix((anchor - first).astype(U) * U(65537) + (anchor - last).astype(U)))
 
 
-BLOCKS = "row bigint, bucket bigint, name bigint, anchor bigint, first bigint, last bigint"
+ROW = "row bigint, own bigint"  # a row's key and its id, as keys alone are not unique for ever
+PLACE = "anchor bigint, first bigint, last bigint"
+BLOCKS = f"{ROW}, bucket bigint, name bigint, check bigint, {PLACE}"
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def blocks(docs: DataFrame, how: Suffixes) -> DataFrame:
     """The blocks of all texts; places are bytes from the text's start."""
 
     def step(batch: pa.RecordBatch) -> pa.Table:
-        keys, parts = batch.column(0).to_numpy(), []
-        for base, data, offsets in bt.chunks(batch.column(1)):
+        keys, own, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+        for base, data, offsets in bt.chunks(batch.column(2)):
             prints = bt.Fingerprints(data)
             row, at, first, last = anchors(prints, offsets, how)
             bucket, name = prints.of(at, at + how.q), identifier(prints, at, first, last, how.length)
+            check = bt.FieldPrints(data).of(first, last + how.length)
             begin = offsets[row]
-            parts.append([keys[base + row], bucket.view(np.int64), name.view(np.int64), at - begin, first - begin, last - begin])
-        return pa.table([np.concatenate(x) for x in zip(*parts)], [x.split()[0] for x in BLOCKS.split(", ")])
+            parts.append([keys[base + row], own[base + row], bucket.view(np.int64), name.view(np.int64), check.view(np.int64), at - begin, first - begin, last - begin])
+        return pa.table([np.concatenate(x) for x in zip(*parts)], names_of(BLOCKS))
 
     return map_batches(docs, step, BLOCKS)
 
 
-PIECES = "row bigint, anchor bigint, first bigint, last bigint, settled boolean, bucket bigint, name bigint, bytes binary"
+PIECES = f"{ROW}, {PLACE}, settled boolean, bucket bigint, name bigint, check bigint, bytes binary"
 
 
-def cut(first: int, last: int, anchor: int, step: int) -> list[tuple[int, int, int]]:
-    """(number, first, last) of the parts of a block of starts, parted where the distance is a multiple of step."""
-    out = []
-    for k in range((anchor - last) // step, (anchor - first) // step + 1):
-        out.append((k, max(first, anchor - k * step - step + 1), min(last, anchor - k * step)))
-    return out
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges of data one after another, and where each begins."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)], offsets
+
+
+def refine(held: dict[str, np.ndarray], data: np.ndarray, begin: np.ndarray, how: Suffixes, step: int) -> pa.Table:
+    """Blocks, whose starts' bytes lie in data from begin on, in parts of step distances, with their buckets and names.
+
+    A part ends where the distance from the anchor is a multiple of step.
+    """
+    anchor, first, last = held["anchor"], held["first"], held["last"]
+    low, high = (anchor - last) // step, (anchor - first) // step
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n - low, n)
+    a, b = np.maximum(first[of], anchor[of] - k * step - step + 1), np.minimum(last[of], anchor[of] - k * step)
+    to_data = (begin - first)[of]
+    prints, fields = bt.Fingerprints(data), bt.FieldPrints(data)
+    # what every start at these distances has in common, whether or not all of them are here
+    core = prints.of(anchor[of] - k * step + to_data, anchor[of] - k * step - step + 1 + how.length + to_data)
+    names = identifier(prints, anchor[of] + to_data, a + to_data, b + to_data, how.length)
+    buckets = bt.mix(core + bt.mix(held["bucket"].view(U)[of] + k.astype(U) * U(1009)))
+    check = fields.of(a + to_data, b + to_data + how.length)
+    kept, offsets = gather(data, a + to_data, b + to_data + how.length)
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept)])
+    columns = [held["row"][of], held["own"][of], anchor[of], a, b, held["settled"][of], buckets.view(np.int64), names.view(np.int64), check.view(np.int64), raw.cast(pa.binary())]
+    return pa.table(columns, names_of(PIECES))
+
+
+HELD = ("row", "own", "anchor", "first", "last", "settled", "bucket")
+
+
+def refine_again(batch: pa.RecordBatch, how: Suffixes, step: int) -> pa.Table:
+    """Blocks that carry the bytes of their starts, in smaller parts."""
+    held = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in HELD}
+    _, data, begin = next(bt.chunks(batch.column("bytes"), 1 << 62), (0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    return refine(held, data, begin[:-1], how, step)
+
+
+def mark(table: DataFrame, names: DataFrame, by: list[str], how: Suffixes, blocks: int) -> DataFrame:
+    """row, own, first and last of the table's blocks whose name is there twice or more; names: by and n.
+
+    Blocks of names that are in more than a hundred-thousandth of all blocks are marked where
+    they lie, by a list of at most 100,000 such names, and joined with their neighbours: a
+    passage that fills a third of all texts is dealt to no one task.  The others are joined.
+    """
+    limit = max(how.hot, blocks // MOST_HOT)
+    hot = names.where(F.col("n") > limit).select(*by)
+    listed = hot.limit(MOST_HOT + 1).toPandas()
+    if len(listed) > MOST_HOT:
+        raise ValueError(f"more than {MOST_HOT} names in over {limit} of {blocks} blocks: the count of blocks is wrong")
+    some = names.where((F.col("n") > 1) & (F.col("n") <= limit)).select(*by)
+    if listed.empty:
+        return table.join(some, by, "left_semi").select("row", "own", "first", "last")
+    rest = table.join(F.broadcast(hot), by, "left_anti").join(some, by, "left_semi").select("row", "own", "first", "last")
+    keys = np.sort(np.rec.fromarrays([listed[c].to_numpy(np.int64) for c in by], names=by))
 
+    def step(batch: pa.RecordBatch) -> pa.Table:
+        own = np.rec.fromarrays([batch.column(c).to_numpy() for c in by], names=by)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        found = batch.filter(pa.array(keys[at] == own))
+        row, key, first, last = (found.column(c).to_numpy() for c in ("row", "own", "first", "last"))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (first[1:] < first[:-1]) | (first[1:] > last[:-1] + how.length)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
+        # starts in between are covered by the strings of both neighbours
+        return pa.table([row[begin], key[begin], first[begin], last[end]], ["row", "own", "first", "last"])
 
-def refine(table: pa.Table, how: Suffixes, step: int) -> pa.Table:
-    """Each block (with the bytes its starts span) in parts of step distances, with their buckets and names."""
-    out = {n: [] for n in ("row", "anchor", "first", "last", "settled", "bucket", "name", "bytes")}
-    c = {n: table.column(n).to_pylist() for n in table.column_names}
-    for row, anchor, first, last, settled, bucket, text in zip(*(c[n] for n in ("row", "anchor", "first", "last", "settled", "bucket", "bytes"))):
-        prints = bt.Fingerprints(np.frombuffer(text, np.uint8))
-        parts = np.array(cut(first, last, anchor, step))
-        k, a, b = parts.T
-        # what every start at these distances has in common, whether or not all of them are here
-        common_from, common_to = anchor - k * step, anchor - k * step - step + 1 + how.length
-        core = prints.of(common_from - first, common_to - first)
-        names = identifier(prints, np.full(len(k), anchor - first), a - first, b - first, how.length)
-        buckets = bt.mix(core + bt.mix(U(bucket & (2**64 - 1)) + k.astype(U) * U(1009)))
-        out["row"] += [row] * len(k)
-        out["anchor"] += [anchor] * len(k)
-        out["first"] += a.tolist()
-        out["last"] += b.tolist()
-        out["settled"] += [settled] * len(k)
-        out["bucket"] += buckets.view(np.int64).tolist()
-        out["name"] += names.view(np.int64).tolist()
-        out["bytes"] += [text[x - first : y - first + how.length] for x, y in zip(a.tolist(), b.tolist())]
-    kinds = {"settled": pa.bool_(), "bytes": pa.binary()}
-    return pa.table([pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()], list(out))
+    return rest.unionByName(map_batches(table.select("row", "own", "first", "last", *by), step, f"{ROW}, first bigint, last bigint", 1 << 16))
 
 
 def repeated_spans(rows: DataFrame, how: Suffixes) -> DataFrame:
-    """row, first, last: starts of strings that start elsewhere too."""
+    """row, own, first, last: starts of strings that start elsewhere too, or that such strings cover."""
+    name, where = ["name", "check"], ["row", "own", "anchor", "first", "last"]
     table = store(blocks(rows, how), "blocks")
-    names = table.groupBy("name").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct("row", "anchor", "first", "last")).alias("at"))
+    total = table.count()
+    names = table.groupBy(*name).agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct(*where)).alias("at"))
     names = store(names, "names")
-    found = [table.join(names.where("n > 1").select("name"), "name", "left_semi").select("row", "first", "last")]
+    found = [mark(table, names, name, how, total)]
     mixed = names.groupBy("bucket").agg(F.count("*").alias("names"), F.min("n").alias("least")).where("names > 1 and least = 1").select("bucket")
     open_ = names.join(mixed, "bucket", "left_semi").select("at.*", "bucket", (F.col("n") > 1).alias("settled"))
 
-    around = open_.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "bucket", "settled")).alias("blocks"))
+    around = open_.groupBy("row", "own").agg(F.collect_list(F.struct("anchor", "first", "last", "bucket", "settled")).alias("blocks"))
 
     def read(batch: pa.RecordBatch) -> pa.Table:
-        parts = []
-        for row, text, held in zip(*(batch.column(n).to_pylist() for n in ("row", "text", "blocks"))):
-            raw = text.encode()
-            b = pa.Table.from_pylist([x | {"row": row, "bytes": raw[x["first"] : x["last"] + how.length]} for x in held])
-            parts.append(refine(b, how, how.steps[0]))
-        return pa.concat_tables(parts)
-
-    level = map_batches(rows.join(around, "row"), read, PIECES)
+        texts, held = batch.column("text"), batch.column("blocks")
+        lists = held.value_lengths().to_numpy()
+        flat = held.flatten()
+        of = np.repeat(np.arange(len(lists)), lists)
+        out = []
+        for base, data, offsets in bt.chunks(texts):  # blocks of a text overlap, so they may have more bytes than it
+            own = np.flatnonzero((of >= base) & (of < base + len(offsets) - 1))
+            for part in np.array_split(own, max(1, -(-len(own) // 2048))):
+                if len(part):
+                    b = {n: flat.field(n).take(pa.array(part)).to_numpy(zero_copy_only=False) for n in ("anchor", "first", "last", "bucket", "settled")}
+                    b |= {n: batch.column(n).to_numpy()[of[part]] for n in ("row", "own")}
+                    begin = offsets[of[part] - base]
+                    raw, at = gather(data, begin + b["first"], begin + b["last"] + how.length)
+                    out.append(refine(b, raw, at[:-1], how, how.steps[0]))
+        return pa.concat_tables(out)
+
+    level = map_batches(rows.join(around, ["row", "own"]), read, PIECES, 128)
     for step in (*how.steps[1:], None):
         level = store(level, "level")
-        names = level.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min(F.struct("row", "anchor", "first", "last")).alias("at"))
+        names = level.groupBy("bucket", *name).agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min(F.struct(*where)).alias("at"))
         names = store(names, "parts")
-        found.append(level.where("not settled").join(names.where("n > 1").select("bucket", "name"), ["bucket", "name"], "left_semi").select("row", "first", "last"))
+        found.append(mark(level.where("not settled"), names, ["bucket", *name], how, total))
         if step is None:
             break
         done = (F.col("n") > 1) | F.col("settled")
         mixed = names.groupBy("bucket").agg(F.count("*").alias("names"), F.min(done).alias("done")).where("names > 1 and not done").select("bucket")
-        keep = names.join(mixed, "bucket", "left_semi").select("bucket", "name", "at.*", done.alias("done"))
-        following = level.drop("settled").join(keep, ["row", "anchor", "first", "last", "bucket", "name"]).withColumnRenamed("done", "settled")
-        level = map_batches(
-            following.select("row", "anchor", "first", "last", "settled", "bucket", "bytes"), lambda b, s=step: refine(pa.Table.from_batches([b]), how, s), PIECES
-        )
+        keep = names.join(mixed, "bucket", "left_semi").select("bucket", *name, "at.*", done.alias("done"))
+        following = level.drop("settled").join(keep, [*where, "bucket", *name]).withColumnRenamed("done", "settled")
+        level = map_batches(following.select(*HELD, "bytes"), lambda b, s=step: refine_again(b, how, s), PIECES)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -218,15 +282,16 @@ def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_
 
     kept_text keeps a character of which a range covers only some bytes; the hash does not.
     """
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
-    found = repeated_spans(rows.select("row", "text").where(F.octet_length("text") >= how.length), how)
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    ids = F.col(doc).cast("bigint")
+    rows = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(-(2**63))).alias("own"), row_key(doc, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
+    found = repeated_spans(rows.select("row", "own", "text").where(F.octet_length("text") >= how.length), how)
+    spans = found.groupBy("row", "own").agg(F.collect_set(F.struct("first", "last")).alias("found"))
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         out = []
-        for doc_id, row, text, own in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row", "text", "found"))):
+        for doc_id, row, text, held in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row", "text", "found"))):
             raw = text.encode()
-            ranges = merged(own or [], how.length)
+            ranges = merged(held or [], how.length)
             kept, chars, at, from_ = hashlib.sha256(), [], 0, 0
             for a, b in ranges:
                 kept.update(raw[at:a])
@@ -242,4 +307,4 @@ def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_
         return pa.table([*(pa.array(list(c), k) for c, k in zip(zip(*out), kinds)), *map(batch.column, carry)], [*names, *carry])
 
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return map_batches(rows.join(spans, "row", "left"), step, CUTS + carried)
+    return map_batches(rows.join(spans, ["row", "own"], "left"), step, CUTS + carried)

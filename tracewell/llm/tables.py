@@ -37,13 +37,13 @@ def row_key(doc: str = DOC, text: str = TEXT):
     return F.xxhash64(F.col(doc), F.col(text))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """step over Arrow batches; step gets no more than 512 rows at once."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, at_once: int = 512) -> DataFrame:
+    """step over Arrow batches; step gets no more than so many rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = step(batch.slice(at, 512))
+            for at in range(0, batch.num_rows, at_once):
+                out = step(batch.slice(at, at_once))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
