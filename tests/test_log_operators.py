@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as fn
-from tracewell.operators import identity, pairing
+from tracewell import shared
+from tracewell.operators import identity, pairing, rules
 from tracewell.sources import logs
 
 LOG = """2025-01-02T03:04:05.000001 [GNB     ] [I] Built in mode
@@ -44,8 +45,17 @@ def test_pairing_equals_two_cursors(spark):
             sides[side].extend((key if key else None, t, i) for t, i in own[-1])
         expected += [(key if key else None, *x) for x in two_cursors(*own, 5)]
     a, b = (spark.createDataFrame(s, "k long, t long, id long") for s in sides)
-    got = [tuple(x) for x in pairing.pair(a, b, ["k"], 5).select("k", "a_id", "b_id").collect()]
-    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    for chunk in (1, 3, 1024):
+        got = [tuple(x) for x in pairing.pair(a, b, ["k"], 5, chunk).select("k", "a_id", "b_id").collect()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_pairing_one_dense_key(spark):
+    r = random.Random(6)
+    sides = [[(t, 10**6 * side + k) for k, t in enumerate(sorted(r.randint(0, 3000) for _ in range(1500)))] for side in (0, 1)]
+    a, b = (spark.createDataFrame([("x", *e) for e in s], "k string, t long, id long") for s in sides)
+    got = [tuple(x) for x in pairing.pair(a, b, ["k"], 5, 4).select("a_id", "b_id").collect()]
+    assert sorted(got, key=repr) == sorted(two_cursors(*sides, 5), key=repr)
 
 
 def test_log_blocks_and_fields(spark, tmp_path):
@@ -135,3 +145,20 @@ def test_pairing_with_unknown_times(spark):
     got = [(x.k, x.a_id, x.b_id) for x in pairing.pair(a, b, ["k"], 5).collect()]
     order = lambda x: [(v is None, v or 0) for v in x]
     assert sorted(got, key=order) == sorted(expected, key=order)
+
+
+def test_issues_by_phrases_and_fragments(spark):
+    failures = spark.createDataFrame([(1, "UE context release failed"), (1, "sched"), (2, "no such thing here"), (3, "Timer"), (4, "ab"), (5, "ext release fai")], "failure int, phrase string")
+    issues = spark.createDataFrame([(10, "UE context release failed again", "late"), (11, "Other", "the scheduler: ue context  release"), (12, "timers", "x"), (13, None, "timer; and cab"), (14, "", None), (15, "Context Release Failed", "")], "issue int, title string, body string")
+    got = sorted((r.failure, r.issue, r.tier, r.nth) for r in rules.match_issues(failures, issues).collect())
+    assert got == [(1, 10, 1, 1), (1, 11, 2, 2), (3, 12, 1, 1), (3, 13, 2, 2), (4, 13, 2, 1), (5, 10, 1, 2), (5, 15, 1, 1)]
+    assert rules.match_issues(failures.where("false"), issues).count() == 0
+    texts = spark.createDataFrame([(1, "Short. A longer phrase here\nA longer phrase here! end"), (2, None)], "k int, text string")
+    assert [tuple(r) for r in rules.phrases(texts, "k", "text").collect()] == [(1, "a longer phrase here")]
+
+
+def test_shared_folder_on_a_cluster():
+    assert shared.local_folder("local[4]").startswith("file:///tmp/") and shared.local_folder("local")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.local_folder(master)

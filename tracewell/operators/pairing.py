@@ -1,10 +1,14 @@
 """One-to-one pairing of two event sources within a tolerance, and what becomes of each event.
 
 Per key, both sides are walked in time order: if the two next events are no more than the
-tolerance apart they are a pair, else the earlier one stays alone.  No pair can span a gap
-of more than the tolerance, so a key's events are cut into islands there.  An island with
-one event of each side is a pair, one with a single side has none; only the others are
-walked, as a fold over the island's sorted events.
+tolerance apart they are a pair, else the earlier one stays alone.  So the walk carries a
+queue of events of one side, none older than the tolerance.
+
+A key's time is cut into chunks many tolerances wide, which are walked apart from each
+other, event by event: a key with a third of all events is spread over its chunks.  What
+waits at a chunk's end goes to the next chunk, and the chunks to which something else comes
+than before are walked again, until none is.  As a queue is soon used up or outdated, that
+is a few chunks, and a few rounds.
 
 An event without a time comes after all of its side that have one.  Once one side's times
 are used up, what is left of both sides is paired by position as long as one of the two has
@@ -13,50 +17,122 @@ no time.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import store
+
+CHUNK = 1024  # tolerances in a chunk
+PLACES = ["a_id", "b_id", "a_t", "b_t"]
+
 
-def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int) -> DataFrame:
+def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int, chunk: int = CHUNK) -> DataFrame:
     """key, a_id, b_id, a_t and b_t: pairs, and rows with one side null for events that stay alone.
 
-    Both sides have the key, t (integer) and id.  Keys that are null are a key like others.
+    Both sides have the key, t and id (integers).  Keys that are null are a key like others.
     Events of a side with equal times go by their id, as do those without a time.
     """
     events = a.select(*key, "t", F.lit(0).alias("side"), "id").unionByName(b.select(*key, "t", F.lit(1).alias("side"), "id"))
-    w = Window.partitionBy(*key).orderBy(F.col("t").asc_nulls_last(), "side", "id")
-    gap = F.col("t") - F.lag("t").over(w)
-    cut = F.when(F.col("t").isNull() | (gap > tolerance), 1).otherwise(0)  # one without a time is an island
-    islands = events.withColumn("island", F.sum(cut).over(w))
-    held = islands.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("t", "side", "id"))).alias("events"))
-
-    event = "struct<t:bigint,side:int,id:bigint>"
-    start = F.expr(f"named_struct('queue', cast(array() as array<{event}>), 'pairs', cast(array() as array<struct<a:{event},b:{event}>>))")
-    none = F.lit(None).cast(event)
-
-    def alone(x: Column) -> Column:
-        return F.struct(F.when(x["side"] == 0, x).otherwise(none).alias("a"), F.when(x["side"] == 1, x).otherwise(none).alias("b"))
-
-    def both(x: Column, y: Column) -> Column:
-        return F.struct(F.when(x["side"] == 0, x).otherwise(y).alias("a"), F.when(x["side"] == 0, y).otherwise(x).alias("b"))
-
-    def step(state: Column, x: Column) -> Column:
-        old = F.filter(state["queue"], lambda q: x["t"] - q["t"] > tolerance)
-        near = F.filter(state["queue"], lambda q: x["t"] - q["t"] <= tolerance)
-        out = F.concat(state["pairs"], F.transform(old, alone))
-        head = F.get(near, F.lit(0))
-        meets = (F.size(near) > 0) & (head["side"] != x["side"])
-        return F.struct(
-            F.when(meets, F.slice(near, F.lit(2), F.greatest(F.size(near) - 1, F.lit(0)))).otherwise(F.concat(near, F.array(x))).alias("queue"),
-            F.when(meets, F.concat(out, F.array(both(head, x)))).otherwise(out).alias("pairs"),
-        )
-
-    folded = F.aggregate("events", start, step, lambda s: F.concat(s["pairs"], F.transform(s["queue"], alone)))
-    sides = F.size(F.array_distinct(F.transform("events", lambda x: x["side"])))
-    quick = F.when(sides == 1, F.transform("events", alone)).when(F.size("events") == 2, F.array(both(F.get("events", F.lit(0)), F.get("events", F.lit(1)))))
-    pairs = held.select(*key, F.explode(F.coalesce(quick, folded)).alias("p"))
-    columns = [F.col("p.a.id").alias("a_id"), F.col("p.b.id").alias("b_id"), F.col("p.a.t").alias("a_t"), F.col("p.b.t").alias("b_t")]
-    return untimed(pairs.select(*key, *columns), key, tolerance)
+    pairs = walked(events.where("t is not null"), key, tolerance, max(tolerance, 1) * chunk)
+    none = events.where("t is null")
+    if none.isEmpty():
+        return pairs
+    who = F.struct(*key).alias("who")  # structs of nulls are equal
+    keys = none.select(who).distinct()
+    lone = [F.when(F.col("side") == k, F.col("id")).alias(n) for k, n in enumerate(PLACES[:2])] + [F.lit(None).cast("bigint").alias(n) for n in PLACES[2:]]
+    known = pairs.withColumn("who", who)
+    some = known.join(keys, "who", "left_semi").drop("who").unionByName(none.select(*key, *lone))
+    return known.join(keys, "who", "left_anti").drop("who").unionByName(untimed(some, key, tolerance))
+
+
+def walked(events: DataFrame, key: list[str], tolerance: int, width: int) -> DataFrame:
+    """Pairs and lone events of events that have a time."""
+    at = ["who", "chunk"]
+    timed = events.select(F.struct(*key).alias("who"), F.floor(F.col("t") / width).alias("chunk"), F.col("t").cast("bigint").alias("t"), "side", F.col("id").cast("bigint").alias("id"))
+    said, came = store(walk(timed, tolerance, width), "pairs"), None
+    while True:
+        waits = said.where("waits").select("who", (F.col("chunk") + 1).alias("chunk"), F.coalesce("a_t", "b_t").alias("t"), F.when(F.col("a_id").isNotNull(), 0).otherwise(1).alias("side"), F.coalesce("a_id", "b_id").alias("id"))
+        now = waits.groupBy(*at).agg(F.sum(F.xxhash64("t", "side", "id").cast("decimal(38)")).alias("sum"), F.count("*").alias("n"))
+        if came is None:
+            anew = now.select(*at)
+        else:
+            was = came.withColumnRenamed("sum", "old").withColumnRenamed("n", "held")
+            anew = now.join(was, at, "full").where(~(F.col("sum").eqNullSafe(F.col("old")) & F.col("n").eqNullSafe(F.col("held")))).select(*at)
+        anew, came = store(anew, "anew"), store(now, "came")
+        if anew.isEmpty():
+            break
+        again = timed.join(anew, at, "left_semi").unionByName(waits.join(anew, at, "left_semi"))
+        said = store(said.join(anew, at, "left_anti").unionByName(walk(again, tolerance, width)), "pairs")
+    return said.where("not waits").select("who.*", *PLACES)
+
+
+def walk(events: DataFrame, tolerance: int, width: int) -> DataFrame:
+    """who, chunk, the pair's or lone event's ids and times, and whether an event waits for the next chunk."""
+    kinds = dict(events.dtypes)
+    order = ["who", "chunk", "t", "side", "id"]
+    dealt = events.select(*order).repartition("who", "chunk").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue: deque = deque()  # (t, side, id)
+        last = None  # the key and chunk of the row before, as arrays of one row
+
+        def end(number: int, rows: list, where: int) -> None:
+            for t, side, own in queue:
+                lone = (own, None, t, None) if side == 0 else (None, own, None, t)
+                rows.append((where, *lone, t >= (number + 1) * width - tolerance))
+            queue.clear()
+
+        def table(heads: tuple, rows: list) -> pa.RecordBatch:
+            where, *values, waits = zip(*rows) if rows else [()] * 6
+            index = pa.array(where, pa.int64())
+            return pa.record_batch([*(h.take(index) for h in heads), *(pa.array(v, pa.int64()) for v in values), pa.array(waits, pa.bool_())], ["who", "chunk", *PLACES, "waits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = batch.column("who"), batch.column("chunk")
+            if last is not None:
+                heads = tuple(pa.concat_arrays([x, y]) for x, y in zip(last, heads))
+            off = len(heads[1]) - batch.num_rows  # heads of the row before come first
+            chunk = heads[1].to_numpy()
+            new = np.concatenate([[True], changes(*heads)])[off:]
+            rows: list = []
+            for i, (begins, t, side, own) in enumerate(zip(new.tolist(), *(batch.column(n).to_pylist() for n in ("t", "side", "id")))):
+                if begins and queue:
+                    end(int(chunk[i + off - 1]), rows, i + off - 1)
+                while queue and t - queue[0][0] > tolerance:
+                    s, other, x = queue.popleft()
+                    rows.append((i + off, *((x, None, s, None) if other == 0 else (None, x, None, s)), False))
+                if queue and queue[0][1] != side:
+                    s, other, x = queue.popleft()
+                    rows.append((i + off, *((x, own, s, t) if other == 0 else (own, x, t, s)), False))
+                else:
+                    queue.append((t, side, own))
+            yield table(heads, rows)
+            last = tuple(h.slice(len(h) - 1) for h in heads)
+        if queue:
+            rows = []
+            end(last[1][0].as_py(), rows, 0)
+            yield table(last, rows)
+
+    return dealt.mapInArrow(run, f"who {kinds['who']}, chunk bigint, a_id bigint, b_id bigint, a_t bigint, b_t bigint, waits boolean")
+
+
+def changes(who: pa.StructArray, chunk: pa.Array) -> np.ndarray:
+    """Whether each row but the first has another key or chunk than the one before it."""
+    out = np.diff(chunk.to_numpy()) != 0
+    for column in who.flatten():
+        x, y = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.fill_null(pc.equal(x, y), False)
+        both = pc.and_(pc.is_null(x), pc.is_null(y))
+        out |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+    return out
 
 
 def untimed(pairs: DataFrame, key: list[str], tolerance: int) -> DataFrame:

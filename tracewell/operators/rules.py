@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scope, metric, least value that is too much (exclusive), message.
@@ -26,19 +26,51 @@ def fired(metrics: DataFrame, key: list[str], rules: DataFrame) -> DataFrame:
     return long.join(F.broadcast(rules), "metric").where("value > threshold").select(*key, "metric", "value", "threshold", "message")
 
 
+def phrases(texts: DataFrame, failure: str, text: str, least: int = 12) -> DataFrame:
+    """failure and its distinct phrases: what stands between full stops and line ends, in lower case, from so many characters on."""
+    parts = F.transform(F.split(F.lower(text), r"[.!?\n]+"), lambda x: F.trim(x))
+    long = F.filter(F.array_distinct(parts), lambda x: F.length(x) >= least)
+    return texts.select(F.col(failure).alias("failure"), F.explode(long).alias("phrase"))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The runs of n characters of a text."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
 def match_issues(failures: DataFrame, issues: DataFrame, top: int = 3) -> DataFrame:
-    """Best issues (issue, title, body) for failures (failure, word): the word in the title is tier 1, in the body tier 2.
+    """Best issues (issue, title, body) for failures (failure, phrase): a phrase in the title is tier 1, in the body tier 2.
 
-    Issues are cut into words, which are joined with the failures' words; ties go to the later issue.
+    Case is ignored, and phrases may begin and end within words.  A failure's ties go to the
+    later issue, the one of greater number.  Each different phrase is matched once: it meets
+    the issues that have the rarest of its inner words (the others may be cut off), or of its
+    runs of three characters where it has no inner word, and is then looked for in them.  What
+    is best for a failure is among the best of each of its phrases.
     """
-    def words(column: str, tier: int) -> DataFrame:
-        parts = F.array_distinct(F.split(F.lower(column), r"[^\p{L}\p{N}]+"))
-        return issues.select("issue", F.explode(parts).alias("word"), F.lit(tier).alias("tier"))
-
-    known = words("title", 1).unionByName(words("body", 2)).where("word <> ''")
-    found = failures.join(known, "word").groupBy("failure", "issue").agg(F.min("tier").alias("tier"))
-    nth = F.row_number().over(Window.partitionBy("failure").orderBy("tier", F.desc("issue")))
-    return found.withColumn("nth", nth).where(F.col("nth") <= top)
+    phrase = F.col("phrase")
+    held = failures.select("failure", F.lower("phrase").alias("phrase")).where("phrase <> ''").distinct()
+    texts = issues.select("issue", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
+    both = F.concat_ws("\n", "title", "body")
+    index = texts.select("issue", F.explode(F.array_distinct(F.concat(_words(both), *(_grams(both, n) for n in (1, 2, 3))))).alias("token"))
+    inner = F.slice(_words(phrase), F.lit(2), F.greatest(F.size(_words(phrase)) - 2, F.lit(0)))
+    short = F.when(F.length(phrase) < 3, F.array(phrase)).otherwise(_grams(phrase, 3))
+    tokens = held.select("phrase").distinct().select("phrase", F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(short)).alias("tokens"))
+    often = index.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = tokens.select("phrase", F.size("tokens").alias("all"), F.explode("tokens").alias("token")).join(often, "token")
+    rarest = rarest.groupBy("phrase", "all").agg(F.count("*").alias("known"), F.min(F.struct("n", "token")).alias("least")).where("known = all")
+    near = rarest.select("phrase", F.col("least.token").alias("token")).join(index, "token").join(texts, "issue")
+    tier = F.when(F.contains("title", "phrase"), 1).when(F.contains("body", "phrase"), 2)
+
+    def best(found: DataFrame, by: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(by).orderBy("tier", F.desc("issue")))
+        return found.withColumn("nth", nth).where(F.col("nth") <= top)
+
+    by_phrase = best(near.select("phrase", "issue", tier.alias("tier")).where("tier is not null"), "phrase").drop("nth")
+    return best(held.join(by_phrase, "phrase").groupBy("failure", "issue").agg(F.min("tier").alias("tier")), "failure")
 
 
 def group_by_issue(matched: DataFrame) -> DataFrame:
