@@ -1,35 +1,19 @@
-"""Tables in the shared folder, and maps over document batches."""
+"""Keys of rows and maps over document batches; tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Slice of a text column that one step of a task works on.
-TEXT, DOC = "text", "doc_id"
-
+from ..shared import shared_folder, store
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a local one for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["held_out", "map_batches", "row_key", "shared_folder", "store"]
 
-
-def store(df: DataFrame, name: str, *partitions: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: what follows survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Slice of a text column that one step of a task works on.
+TEXT, DOC = "text", "doc_id"
 
 
 def row_key(doc: str = DOC, text: str = TEXT):
