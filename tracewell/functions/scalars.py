@@ -59,3 +59,31 @@ def values(column: Column) -> Column:
 def percent_lost(sent: Column, received: Column) -> Column:
     """0 where nothing was sent; less than 0 where more came than was sent."""
     return F.when(sent == 0, F.lit(0.0)).otherwise(100.0 * (sent - received) / sent)
+
+
+def time_of_day(t: Column) -> Column:
+    """HH:MM:SS.mmm, in universal time, of microseconds since 1970; what is below a millisecond is cut off."""
+    of_day = F.pmod(F.floor(t / 1000), F.lit(86_400_000))
+    part = lambda x, n: F.lpad(F.floor(x).cast("string"), n, "0")
+    return F.concat(part(of_day / 3_600_000, 2), F.lit(":"), part(of_day / 60_000 % 60, 2), F.lit(":"), part(of_day / 1000 % 60, 2), F.lit("."), part(of_day % 1000, 3))
+
+
+def padded(column: Column, n: int) -> Column:
+    """Tab-separated fields as an array of n: cut, or filled with empty ones."""
+    parts = F.split(column, "\t")
+    return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
+
+
+def digest(column: Column) -> Column:
+    """The first 16 hexadecimal digits of a text's SHA-256."""
+    return F.substring(F.sha2(column, 256), 1, 16)
+
+
+def evidence(column: Column, n: int = 80) -> Column:
+    """A line cut to n characters."""
+    return F.substring(column, 1, n)
+
+
+def has_field(column: Column, name: str) -> Column:
+    """Whether a line gives a field name=..."""
+    return F.contains(column, F.lit(f"{name}="))

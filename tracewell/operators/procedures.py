@@ -100,3 +100,24 @@ def reconcile(counts: dict[str, DataFrame], key: list[str]) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     wide = rows.groupBy(*key).pivot("source", list(counts)).agg(F.sum("n")).na.fill(0, list(counts))
     return wide.withColumn("agree", F.greatest(*counts) == F.least(*counts) if len(counts) > 1 else F.lit(True))
+
+
+def random_access(preambles: DataFrame, answers: DataFrame, thirds: DataFrame, key: list[str], within: int) -> DataFrame:
+    """Preambles (key, t, id) with the answer that comes next and its temporary identity, and the third message that then uses it.
+
+    answers and thirds have rnti besides; each link is the nearest one not later than `within`
+    after what it follows.  A side's preamble numbers mean nothing to the other, so the
+    temporary identity is what joins them.  Missing links are null.
+    """
+    first = nearest(preambles, answers, key, within).select(*key, "t", "id", F.col("other_t").alias("answer_t"), F.col("other_id").alias("answer_id"))
+    known = first.join(answers.select(*key, F.col("t").alias("answer_t"), F.col("id").alias("answer_id"), "rnti"), [*key, "answer_t", "answer_id"], "left")
+    by = [*key, "rnti"]
+    asked = known.where("rnti is not null").select(*by, F.col("answer_t").alias("t"), F.col("answer_id").alias("id")).distinct()
+    last = nearest(asked, thirds, by, within).select(*by, F.col("t").alias("answer_t"), F.col("id").alias("answer_id"), F.col("other_t").alias("third_t"), F.col("other_id").alias("third_id"))
+    return known.join(last, [*by, "answer_t", "answer_id"], "left").select(*key, "t", "id", "answer_t", "answer_id", "rnti", "third_t", "third_id")
+
+
+def together(frame: DataFrame, one: str, other: str, order: str) -> DataFrame:
+    """For each id of one kind the first id of another kind that stood in a row with it, and in how many rows the two stood."""
+    both = frame.where(F.col(one).isNotNull() & F.col(other).isNotNull())
+    return both.groupBy(one).agg(F.min_by(other, order).alias(other), F.count("*").alias("n"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matches(*, layer: str | None = None, level: str | None = None, tokens: dict[str, object] | None = None, pattern: str | None = None, after: str | None = None, before: str | None = None,
+def matches(*, layer: str | None = None, level: str | None = None, tokens: dict[str, object] | None = None, rnti: int | None = None, pattern: str | None = None, after: str | None = None, before: str | None = None,
             ts: str = "ts", layer_col: str = "layer", level_col: str = "level", text: str = "text", prefix: bool = True) -> Column:
     """One condition, cheap tests first.
 
     level is a pattern for the whole level; tokens such as ue=5 stand between word bounds;
+    rnti is a radio identity in any of its spellings, such as c-rnti=0x4601;
     pattern is tried on the whole text, ignoring case, with ^ and $ at its lines.  A bound
     with a date is compared as a string.  A bound without one is compared with the time of
     day, as far as it is written out if prefix holds, else as a string.
@@ -33,6 +34,8 @@ def matches(*, layer: str | None = None, level: str | None = None, tokens: dict[
         tests.append(F.col(level_col).rlike(f"^(?:{level})$"))
     for name, value in (tokens or {}).items():
         tests.append(F.col(text).rlike(rf"\b{name}={value}\b"))
+    if rnti is not None:
+        tests.append(F.col(text).rlike(rf"(?i)rnti=0x0*{rnti:x}\b"))
     if pattern:
         tests.append(F.col(text).rlike(f"(?im){pattern}"))
     out = tests[0]

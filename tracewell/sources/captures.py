@@ -151,3 +151,13 @@ def of_entity(frame: DataFrame, entity: str, ids: str = "ue_ids", summary: str =
 def radio_identity(column: Column) -> Column:
     """An identity written as hexadecimal with 0x, or as a decimal number, as an integer."""
     return F.when(column.rlike("^0[xX]"), fn.hex_id(column)).otherwise(column.try_cast("bigint"))
+
+
+def rlc_kind(data: Column, polling: Column) -> Column:
+    """Whether a radio-link PDU is a status report, or data that asks for one, from its data/control and polling bits ('0' or '1')."""
+    return F.when(data == "0", "status").when((data == "1") & (polling == "1"), "data, polled").when(data == "1", "data")
+
+
+def random_access_response(rapid: Column) -> Column:
+    """Whether a frame is an answer to a preamble: it names one."""
+    return rapid.isNotNull() & (rapid != "")

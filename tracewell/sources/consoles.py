@@ -81,3 +81,13 @@ def job_counts(lines: DataFrame, job: list[str], value: str = "value") -> DataFr
         return F.coalesce(F.sum(F.aggregate(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))), F.lit(0)).alias(word)
 
     return lines.groupBy(*job).agg(*(total(w, rf"\b(\d{{1,12}}) {w}\b") for w in ("passed", "failed", "skipped")), *(total(w, rf"\bhas (\d{{1,12}}) {w}\b") for w in ("errors", "warnings")))
+
+
+def core_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines of a core network's log that tell of registrations, sessions, its interfaces or errors, and which of them."""
+    v = F.col(value)
+    kind = (
+        F.when(v.contains("[E]"), "error").when(v.contains("[NAS]") & F.lower(v).contains("registration"), "registration").when(v.contains("[NAS]") & F.lower(v).contains("session"), "session")
+        .when(v.contains("[NGAP]"), "ngap").when(v.contains("[GTPC]"), "gtpc")
+    )
+    return lines.withColumn("kind", kind).where("kind is not null")

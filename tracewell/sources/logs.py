@@ -44,13 +44,30 @@ def parse_device(frame: DataFrame, value: str = "value") -> DataFrame:
     return frame.where(F.col(value).rlike(DEVICE_HEADER)).select("*", *(F.regexp_extract(value, DEVICE_HEADER, k + 1).alias(n) for k, n in enumerate(names)))
 
 
-def blocks(texts: DataFrame, key: list[str], text: str, header: str) -> DataFrame:
+def device_places(value: Column) -> list[Column]:
+    """direction, ue and cell of a device's line by their places: the words after the first bracket; null where there are fewer."""
+    words = F.split(F.trim(F.regexp_extract(value, r"^[^\]]*\]\s*(.*)$", 1)), r"\s+")
+    return [F.nullif(F.get(words, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(("direction", "ue", "cell"))]
+
+
+def metrics_text(message: Column) -> list[Column]:
+    """fields, a map of the name=value pairs of a metrics line, and events, the entries of its list of events."""
+    listed = F.regexp_extract(message, r"events=\[(.*?)\]", 1)
+    pairs = r"([A-Za-z_]\w*)=([^\s\[\]{},]+)"
+    bare = F.regexp_replace(message, r"events=\[.*?\]", "")
+    found = F.arrays_zip(F.regexp_extract_all(bare, F.lit(pairs), F.lit(1)).alias("k"), F.regexp_extract_all(bare, F.lit(pairs), F.lit(2)).alias("v"))
+    once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["k"] == x["k"]))  # the last of a name wins
+    return [F.map_from_arrays(F.transform(once, lambda x: x["k"]), F.transform(once, lambda x: x["v"])).alias("fields"), F.regexp_extract_all(listed, F.lit(r"\{([^}]*)\}"), F.lit(1)).alias("events")]
+
+
+def blocks(texts: DataFrame, key: list[str], text: str, header: str, drop: str | None = None) -> DataFrame:
     """Blocks of whole texts: a line that matches header and those up to the next one.
 
-    Empty lines, and lines before the first header, are dropped.  Returns key, block (from 0),
+    Empty lines, lines that match drop, and lines before the first header, are dropped.  Returns key, block (from 0),
     head, body (an array of lines) and n_lines.
     """
-    every = texts.select(*key, F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: x != "").alias("lines"))
+    kept = lambda x: (x != "") & ~x.rlike(drop) if drop else x != ""
+    every = texts.select(*key, F.filter(F.split(text, r"\r\n|\n|\r"), kept).alias("lines"))
     starts = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(header), i)))
     every = every.withColumn("starts", starts).where(F.size("starts") > 0)
     every = every.select("*", F.posexplode("starts").alias("block", "at"))
@@ -113,3 +130,10 @@ def metrics_rollup(records: DataFrame, key: list[str]) -> DataFrame:
 
     latency = F.max(F.array_max(F.transform(cells, lambda c: c["cell_metrics"]["max_latency"]))).alias("max_latency")
     return records.groupBy(*key).agg(F.count("*").alias("records"), *map(total, names), peak("dl_brate"), peak("ul_brate"), latency)
+
+
+def cell_peaks(records: DataFrame, key: list[str], cell: str, down: str, up: str, good: str, bad: str) -> DataFrame:
+    """For each cell the greatest rates, the blocks received well and badly, and the share of bad ones; null where there were none."""
+    ok, nok = F.coalesce(F.sum(good), F.lit(0)), F.coalesce(F.sum(bad), F.lit(0))
+    held = records.groupBy(*key, cell).agg(F.max(down).alias("peak_down"), F.max(up).alias("peak_up"), ok.alias("good"), nok.alias("bad"))
+    return held.withColumn("error_rate", F.col("bad") / F.nullif(F.col("good") + F.col("bad"), F.lit(0)))
