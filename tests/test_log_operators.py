@@ -162,3 +162,68 @@ def test_shared_folder_on_a_cluster():
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared.local_folder(master)
+
+
+def clusters_by_lists(rows):
+    """Clusters of (order, central, distributed, radio) rows; the latest cluster that an id points to has it."""
+    clusters = []
+    for at, c, d, x in sorted(rows):
+        if (c, d, x) == (None, None, None):
+            continue
+        own = None
+        for name, v in (("c", c), ("d", d)):
+            if own is None and v is not None:
+                with_id = [k for k in clusters if v in k[name]]
+                own = max(with_id, key=lambda k: k[name][v], default=None)
+        if own is None:
+            own = {"first": at, "central": None, "c": {}, "d": {}, "x": set()}
+            clusters.append(own)
+        if own["central"] is None:
+            own["central"] = c
+        for name, v in (("c", c), ("d", d)):
+            if v is not None:
+                own[name][v] = at
+        if x is not None:
+            own["x"].add(x)
+    return [(k["first"], k["central"], sorted(k["d"]), sorted(k["x"])) for k in clusters]
+
+
+def lives_by_lists(rows, new, release):
+    active, out, number = [], [], 0
+    for at, message, *values in sorted(rows):
+        own = {n: v for n, v in enumerate(values) if v is not None}
+        if not own:
+            continue
+        found = None
+        for a in active:
+            if any(a[1].get(n) == v for n, v in own.items()):
+                found = a
+                break
+        if message == release:
+            if found:
+                active = [a for a in active if a is not found]
+                out.append((at, found[0], "released", *(found[1].get(n) for n in range(3))))
+            continue
+        if found is None or message == new:
+            found = (number, {})
+            number += 1
+            active.append(found)
+        if not all(found[1].get(n) == v for n, v in own.items()):
+            found[1].update(own)
+            out.append((at, found[0], "changed", *(found[1].get(n) for n in range(3))))
+    return out
+
+
+def test_identity_folds_by_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for run in ("a", "b", None):
+        for at in r.sample(range(10_000), 300):
+            rows.append((run, at, r.choice(["x", "x", "x", "new", "release"]), *(r.choice([None, r.randint(0, 12)]) for _ in range(3))))
+    frame = spark.createDataFrame(rows, "run string, at long, message string, c long, d long, x long").repartition(5)
+    clusters = [(k.run, k.first, k.central_id, k.distributed_ids, k.radio_ids) for k in identity.ordered_clusters(frame, "run", "at", "c", "d", "x").collect()]
+    lives = [tuple(k) for k in identity.lifecycles(frame, "run", "at", "message", ["c", "d", "x"], {"new"}, {"release"}).collect()]
+    for run in ("a", "b", None):
+        own = [x[1:] for x in rows if x[0] == run]
+        assert sorted((k[1:] for k in clusters if k[0] == run), key=repr) == sorted(clusters_by_lists([(at, *ids) for at, _, *ids in own]), key=repr)
+        assert sorted((k[1:] for k in lives if k[0] == run), key=repr) == sorted(lives_by_lists(own, "new", "release"), key=repr)

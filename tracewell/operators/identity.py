@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,25 +60,38 @@ def lifecycles(frame: DataFrame, run: str, order: str, message: str, ids: list[s
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        active, out = [], []
-        number = 0
+        active: dict[int, dict] = {}  # ids of the open records
+        holders: dict[tuple, list[int]] = defaultdict(list)  # heaps of the records that had an id
+        out, number = [], 0
+
+        def first(own: dict) -> int | None:
+            found = []
+            for n, v in own.items():
+                heap = holders[n, v]
+                while heap and active.get(heap[0], {}).get(n) != v:
+                    heapq.heappop(heap)  # closed, or has another id now
+                found += heap[:1]
+            return min(found, default=None)
+
         for r in rows.sort_values(order).to_dict("records"):
             own = {n: r[n] for n in ids if not pd.isna(r[n])}
             if not own:
                 continue
-            found = next((a for a in active if any(a["ids"].get(n) == v for n, v in own.items())), None)
+            at = first(own)
             if r[message] in release:
-                if found:
-                    active.remove(found)
-                    out.append((r[run], r[order], found["number"], "released", *(found["ids"].get(n) for n in ids)))
+                if at is not None:
+                    held = active.pop(at)
+                    out.append((r[run], r[order], at, "released", *(held.get(n) for n in ids)))
                 continue
-            if found is None or r[message] in new:
-                found = {"number": number, "ids": {}}
-                number += 1
-                active.append(found)
-            if any(found["ids"].get(n) != v for n, v in own.items()):
-                found["ids"].update(own)
-                out.append((r[run], r[order], found["number"], "changed", *(found["ids"].get(n) for n in ids)))
+            if at is None or r[message] in new:
+                at, number = number, number + 1
+                active[at] = {}
+            held = active[at]
+            if any(held.get(n) != v for n, v in own.items()):
+                held.update(own)
+                for item in own.items():
+                    heapq.heappush(holders[item], at)
+                out.append((r[run], r[order], at, "changed", *(held.get(n) for n in ids)))
         return pd.DataFrame(out, columns=["run", "at", "record", "event", *ids])
 
     kinds = dict(frame.dtypes)
