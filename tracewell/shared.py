@@ -33,7 +33,16 @@ def store(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     with shuffles_dropped(spark):
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(tables: list[DataFrame]) -> None:
+    """Empty stored tables from which nothing will be read any more, as what came of them has been stored."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.stored_at)
+    tables.clear()
 
 
 @contextmanager
