@@ -23,7 +23,7 @@ def fired(metrics: DataFrame, key: list[str], rules: DataFrame) -> DataFrame:
     """Rules (metric, threshold, message) that a row of metrics exceeds; missing metrics fire none."""
     names = [n for n in metrics.columns if n not in key]
     long = metrics.select(*key, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(key, names, "metric", "value")
-    return long.join(F.broadcast(rules), "metric").where("value > threshold").select(*key, "metric", "value", "threshold", "message")
+    return long.join(rules, "metric").where("value > threshold").select(*key, "metric", "value", "threshold", "message")
 
 
 def phrases(texts: DataFrame, failure: str, text: str, least: int = 12) -> DataFrame:
