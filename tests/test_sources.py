@@ -154,6 +154,25 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == [(s, 10, sum(x % 4 == 0 for x in range(s, s + 10))) for s in range(0, 60, 10)]
 
 
+def test_sessions_and_pairs_of_streams(spark, tmp_path):
+    folders = [tmp_path / x for x in ("one", "other")]
+    for k, folder in enumerate(folders):
+        folder.mkdir()
+        (folder / "a.log").write_text("".join(f"2025-01-02T03:{m:02}:{s + k:02}.000001 [PHY     ] [I] ue={u} x\n" for m, s, u in [(0, 0, 1), (0, 5, 1), (0, 40, 1), (0, 2, 2), (59, 0, 9)]))
+    streams = [live.events(live.log_lines(spark, str(f)), "1 second") for f in folders]
+
+    def run(frame, name):
+        query = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.table(name).collect()
+
+    got = run(live.sessions(streams[0], ["ue"], "20 seconds"), "live_sessions")
+    assert sorted((r.ue, r.start.second, r.last.second, r.n) for r in got) == [("1", 0, 5, 2), ("1", 40, 40, 1), ("2", 2, 2, 1)]
+    sides = [s.select("ue", F.concat("ue", F.lit("@"), F.col("ts").substr(15, 5)).alias("id"), "time") for s in streams]
+    pairs = sorted((r.ue, r.a_id, r.b_id) for r in run(live.close_pairs(*sides, ["ue"], "3 seconds"), "live_pairs"))
+    assert pairs == [("1", "1@00:00", "1@00:01"), ("1", "1@00:05", "1@00:06"), ("1", "1@00:40", "1@00:41"), ("2", "2@00:02", "2@00:03"), ("9", "9@59:00", "9@59:01")]
+
+
 def test_moves_and_loops(spark):
     rows = spark.createDataFrame([("u", 1, "begin", 1), ("u", 2, "end", 2), ("u", 3, "begin", 2), ("u", 4, "begin", 2), ("u", 5, "end", 2)], "k string, o int, what string, cell int")
     assert [(r.o, r.cell, r.place_after) for r in timeline.moves(rows, ["k"], F.col("what") == "begin", F.col("what") == "end", "cell", "o").collect()] == [(1, 1, 2)]
