@@ -7,11 +7,14 @@ to one.  A word that was never seen is one more event of the shortest, empty his
 
 * Texts are read once, into chunks: a chunk holds its texts' words as numbers into its own
   list of distinct fingerprints.
-* Level by level, each chunk sends its distinct n-grams, with counts and with what tells
-  the next lower level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
+* Level by level, each chunk sends its distinct n-grams, with counts and with the counts that
+  tell the next lower level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
   writes its part of the model table, and answers every chunk with counts and with the sums
   that the backoff weights are made of.  Discounts are known when all buckets have counted.
   Single words are given short numbers, which name them from then on.
+* A history that occurs once in training, and in no text that is only scored, is lonely: one
+  token has it, whose n-gram occurs once too.  Its chunk knows that from the level below and
+  asks nothing; such n-grams are counted, and stay in the chunks, which have them.
 * Each chunk works out the probabilities of its tokens from the answers, recursively from
   the empty history up.
 
@@ -21,8 +24,10 @@ limit grows with the corpus beyond that; they, the counts of counts and nothing
 the driver.
 
 A null text is empty and is one end token.  Equal texts score alike if they are all in
-training or all held out, and in any case by the same model.  Without training rows
-every probability is that of the one unknown word, 1.
+training or all held out, and in any case by the same model.  Repeated rows count each.
+Without training rows every probability is that of the one unknown word, 1.  An empty table
+gives an empty result.  Other columns of the input are not looked at, whatever their names.
+A text of any length is in one chunk, which one task holds.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .tables import shared_folder, store
+from .tables import shared_folder, shuffles_dropped, store
 
 U = np.uint64
 END, ROOT, STRIDE = U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D1)
@@ -60,7 +65,7 @@ def squeeze(x: np.ndarray) -> bytes:
     if x.dtype.kind in "ui":
         x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
     planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T  # bytes of one weight together
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def expand(b: bytes) -> np.ndarray:
@@ -79,7 +84,7 @@ def chunks(docs: DataFrame, how: Katz) -> DataFrame:
         size, words = np.concatenate(sizes), np.concatenate(tokens)
         names, which = np.unique(words, return_inverse=True)
         train = ~np.array(held, bool)
-        cells = [number, ids, held, squeeze(size), names.tobytes(), squeeze(which), len(words), int(size[train].sum()), int(train.sum())]
+        cells = [number, ids, held, squeeze(size), squeeze(np.diff(names, prepend=U(0))), squeeze(which), len(words), int(size[train].sum()), int(train.sum())]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3, *[pa.int64()] * 3]
         return pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds)], [x.split()[0] for x in CHUNKS.split(", ")])
 
@@ -95,7 +100,7 @@ def chunks(docs: DataFrame, how: Katz) -> DataFrame:
                 own = np.full(size.sum(), END)
                 place = np.ones(len(own), bool)
                 place[np.cumsum(size) - 1] = False
-                own[place] = bt.Fingerprints(low).of(start, end)
+                own[place] = bt.word_prints(low, start, end)
                 ids += batch.column(0).slice(base, n).to_pylist()
                 held += batch.column(1).slice(base, n).to_pylist()
                 sizes.append(size)
@@ -123,6 +128,7 @@ class Level:
     sums: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # of the salted histories
     lower: np.ndarray = field(default_factory=lambda: np.zeros(0))
     types: int = 0
+    packed: bool = False  # its n-grams, as histories, are named by two numbers of words side by side
 
     def deal(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
         salt = np.zeros(len(history), U)
@@ -148,37 +154,59 @@ class Chunk:
     """A chunk's tokens, and its distinct n-grams level by level."""
 
     def __init__(self, row: dict):
-        self.size, self.words, self.tokens = expand(row["sizes"]).astype(np.int64), np.frombuffer(row["words"], U), expand(row["tokens"]).astype(np.int64)
+        self.size, self.words, self.tokens = expand(row["sizes"]).astype(np.int64), np.cumsum(expand(row["words"]), dtype=U), expand(row["tokens"]).astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.train = np.repeat(~np.array(row["held"], bool), self.size)
         self.history = np.full(len(self.tokens), ROOT)
+        self.lonely = np.zeros(len(self.tokens), bool)  # whether a token's history occurs nowhere else
         self.names = self.words  # of the words, at the level at hand
 
     def grams(self, level: Level) -> None:
-        """The distinct n-grams, sorted by bucket, history and word."""
-        names, which = np.unique(self.history, return_inverse=True)
+        """The distinct n-grams, but for those of lonely histories, sorted by bucket, history and word."""
+        self.asks = np.flatnonzero(~self.lonely)
+        names, which = np.unique(self.history[self.asks], return_inverse=True)
         n = len(self.words)
-        keys, self.at, self.inverse = np.unique(which * n + self.tokens, return_index=True, return_inverse=True)
-        self.h, self.w = names[keys // n], self.names[keys % n]
+        by_name = np.argsort(self.names)
+        place = np.empty(n, np.int64)
+        place[by_name] = np.arange(n)
+        keys, at, self.inverse = np.unique(which * n + place[self.tokens[self.asks]], return_index=True, return_inverse=True)
+        self.at = self.asks[at]
+        self.h, self.w = names[keys // n], self.names[by_name[keys % n]]
         bucket = level.deal(self.h, self.w)
         self.order = np.argsort(bucket, kind="stable")
         self.bucket = bucket[self.order]
 
-    def go_on(self, level: int) -> None:
-        """Histories of the next level: each token's n-gram is the next token's history."""
+    def go_on(self, level: Level, alone: np.ndarray) -> None:
+        """Histories of the next level: each token's n-gram is the next token's history, lonely if the n-gram is alone."""
+        self.lonely = np.concatenate([alone[:1], alone[:-1]])
+        self.lonely[self.first] = False
         gram = follow(self.history, self.names[self.tokens], level)
         self.history = np.concatenate([gram[:1], gram[:-1]])
-        self.history[self.first] = start(level + 1)
+        self.history[self.first] = start(level)
 
 
-def follow(history: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
-    """Names of n-grams as histories; a single word has a number of its own, the least for the commonest."""
-    return word if level == 1 else bt.mix(history * STRIDE + word)
+def follow(history: np.ndarray, word: np.ndarray, level: Level) -> np.ndarray:
+    """Names of a level's n-grams as histories; a single word has a number of its own, the least for the commonest."""
+    if level.number == 1:
+        return word
+    return (history << U(32)) | word if level.packed else bt.mix(history * STRIDE + word)
 
 
-def start(level: int) -> np.uint64:
-    """The history of a text's first token; no word has the number 0."""
-    return U(0) if level == 2 else bt.mix(np.array([level], U) + ROOT)[0]
+def start(level: Level) -> np.uint64:
+    """The history of a text's first token after this level; no word has the number 0."""
+    return U(0) if level.number == 1 or level.packed else bt.mix(np.array([level.number + 1], U) + ROOT)[0]
+
+
+def steps(w: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """How far each word of a history, in order, is from the one before it; the first from 0."""
+    out = np.diff(w, prepend=U(0))
+    out[lead] = w[lead]
+    return out
+
+
+def unsteps(d: np.ndarray, lead: np.ndarray, run: np.ndarray) -> np.ndarray:
+    total = np.cumsum(d, dtype=U)
+    return total - np.repeat(total[lead] - d[lead], run)
 
 
 def slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -190,23 +218,26 @@ def runs(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
 
-REQUESTS = "bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, lower binary"
+REQUESTS = "bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, lower binary, whole binary, lonely bigint"
 
 
-def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray) -> pa.RecordBatch:
-    """The chunk's n-grams for each bucket; lower: for its tokens what tells their probability at the level below."""
+def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    """The chunk's n-grams for each bucket; lower and whole: the counts that tell its tokens' probabilities at the level below."""
     chunk.grams(level)
-    count = np.bincount(chunk.inverse, chunk.train, len(chunk.at)).astype(np.int64)[chunk.order]
-    h, w, low = chunk.h[chunk.order], chunk.w[chunk.order], lower[chunk.at][chunk.order]
+    train = chunk.train[chunk.asks]
+    count = np.bincount(chunk.inverse, train, len(chunk.at)).astype(np.int64) * 2
+    count[chunk.inverse[~train]] |= 1  # an n-gram of a text that is only scored
+    count, lonely = count[chunk.order], int(chunk.lonely.sum())
+    h, w, low, all_ = (x[chunk.order] for x in (chunk.h, chunk.w, lower[chunk.at], whole[chunk.at]))
     out = []
     for b, i, j in slices(chunk.bucket):
         own = runs(h[i:j])  # ascending
-        out.append((b, number, squeeze(np.diff(h[i:j][own], prepend=U(0))), squeeze(np.diff(np.append(own, j - i))), squeeze(w[i:j]), squeeze(count[i:j]), squeeze(low[i:j])))
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        out.append((b, number, squeeze(np.diff(h[i:j][own], prepend=U(0))), squeeze(np.diff(np.append(own, j - i))), squeeze(steps(w[i:j], own)), squeeze(count[i:j]), squeeze(low[i:j]), squeeze(all_[i:j][own]), 0 if out else lonely))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int64()]
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in REQUESTS.split(", ")])
 
 
-COUNTED = "kind string, bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, sums binary, lower binary"
+COUNTED = "kind string, bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, sums binary, lower binary, census array<bigint>"
 
 
 def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int) -> pa.Table:
@@ -215,16 +246,18 @@ def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int
     length = [expand(r["runs"]).astype(np.int64) for r in rows]
     names = [np.cumsum(expand(r["histories"]), dtype=U) for r in rows]
     h = np.concatenate([np.repeat(a, b) for a, b in zip(names, length)])
-    w = np.concatenate([expand(r["words"]).astype(U) for r in rows])
+    w = np.concatenate([unsteps(expand(r["words"]).astype(U), np.cumsum(m) - m, m) for r, m in zip(rows, length)])
     n = np.concatenate([expand(r["counts"]).astype(np.int64) for r in rows])
-    low = np.concatenate([expand(r["lower"]) for r in rows])
-    if level.number == 2:  # counts of single words, which are short
-        low = below.discounts[np.where(low <= k, low, 0)] * low / backoff(below.sums, below.lower, below)[1][0]
+    low = np.concatenate([expand(r["lower"]).astype(np.int64) for r in rows])
+    if below:  # only n-grams that were seen count, and what follows them was seen at the level below
+        of = np.concatenate([np.repeat(expand(r["whole"]).astype(np.int64), m) for r, m in zip(rows, length)])
+        low = below.discounts[np.where(low <= k, low, 0)] * low / np.maximum(of, 1)
     order = np.lexsort((w, h))
     h, w = h[order], w[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
     at = np.flatnonzero(new)
-    total = np.add.reduceat(n[order], at)
+    total = np.add.reduceat(n[order] >> 1, at)
+    alone = (total == 1) & ~np.bitwise_or.reduceat(n[order] & 1, at).astype(bool)
     h, w, low = h[at], w[at], low[order][at]
     gram = np.empty(len(order), np.int64)
     gram[order] = np.cumsum(new) - 1
@@ -240,20 +273,21 @@ def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int
         c = total[gram[place : place + m.sum()]]
         back = backs_off(c, np.cumsum(m) - m)
         given = squeeze(names_of[gram[place : place + m.sum()]]) if level.number == 1 else None
-        out.append(("answer", b, r["chunk"], None, None, given, squeeze(c), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
+        out.append(("answer", b, r["chunk"], None, None, given, squeeze(2 * c + alone[gram[place : place + m.sum()]]), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
         place += m.sum()
     known = total > 0
     if known.any():
         lead = runs(h[known])
         mine = np.searchsorted(h[own], h[known][lead])
-        out.append(("model", b, None, squeeze(np.diff(h[known][lead], prepend=U(0))), squeeze(np.diff(np.append(lead, known.sum()))), squeeze(w[known]), squeeze(total[known]), squeeze(sums[:, mine].ravel()), squeeze(seen[mine])))
-    census = np.array([(total == r).sum() for r in range(1, k + 2)] + [known.sum()])
-    out.append(("census", b, None, None, None, None, squeeze(census), None, None))
+        out.append(("model", b, None, squeeze(np.diff(h[known][lead], prepend=U(0))), squeeze(np.diff(np.append(lead, known.sum()))), squeeze(steps(w[known], lead)), squeeze(total[known]), squeeze(sums[:, mine].ravel()), squeeze(seen[mine])))
+    census = np.array([(total == r).sum() for r in range(1, k + 2)] + [known.sum(), len(total)])
+    census[[0, k + 1]] += sum(r["lonely"] for r in rows)  # what follows a lonely history is seen once
     if (big := total > limit).any():
-        out.append(("heavy", b, None, follow(h[big], names_of[big], level.number).tobytes(), None, None, squeeze(total[big]), None, None))
+        out.append(("heavy", b, None, follow(h[big], names_of[big], level).tobytes(), None, None, squeeze(total[big]), None, None))
     if (salted := np.isin(h[own], level.heavy)).any():
         out.append(("salted", b, None, h[own][salted].tobytes(), None, None, None, squeeze(sums[:, salted].ravel()), squeeze(seen[salted])))
-    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    out = [(*x, None) for x in out] + [("census", b, *[None] * 7, census.tolist())]
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
     return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in COUNTED.split(", ")])
 
 
@@ -269,18 +303,19 @@ def backs_off(c: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(c == 0, own)
 
 
-def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its probability at this level, and its n-gram's count."""
+def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its probability at this level, its n-gram's count, what that is divided by, and whether the n-gram is alone."""
     chunk.grams(level)
     by = {a["bucket"]: a for a in answers}
     k = len(level.discounts) - 1
     h, low = chunk.h[chunk.order], lower[chunk.at][chunk.order]
-    p, counts = np.empty(len(h)), np.empty(len(h), np.int64)
+    p, counts, wholes, alone = np.empty(len(h)), np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.empty(len(h), bool)
     given = np.empty(len(h), U)
     for b, i, j in slices(chunk.bucket):
         own = runs(h[i:j])
         run = np.diff(np.append(own, j - i))
         c = expand(by[b]["counts"]).astype(np.int64)
+        alone[i:j], c = c & 1, c >> 1
         sums, seen = expand(by[b]["sums"]).astype(np.int64).reshape(k + 1, -1), np.zeros(len(own))
         seen[backs_off(c, own)] = expand(by[b]["lower"])
         if len(level.heavy):
@@ -292,7 +327,7 @@ def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.nda
         d = level.discounts[np.where(c <= k, c, 0)]
         whole = np.repeat(whole, run)
         p[i:j] = np.where(c > 0, d * c / np.maximum(whole, 1), np.repeat(alpha, run) * low[i:j])
-        counts[i:j] = c
+        counts[i:j], wholes[i:j] = c, whole
         if level.number == 1:
             given[i:j] = expand(by[b]["words"])
     if level.number == 1:  # each word is one n-gram here
@@ -301,7 +336,14 @@ def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.nda
     back = np.empty(len(h), np.int64)
     back[chunk.order] = np.arange(len(h))
     token = back[chunk.inverse]
-    return p[token], counts[token]
+    # after a lonely history comes what came after it in training
+    once = np.zeros((k + 1, 1), np.int64)
+    once[:2] = 1
+    one = backoff(once, np.zeros(1), level)[1]
+    out = [np.full(len(chunk.tokens), level.discounts[1] / one[0]), np.ones(len(chunk.tokens), np.int64), np.full(len(chunk.tokens), one[0]), np.ones(len(chunk.tokens), bool)]
+    for every, own in zip(out, (p, counts, wholes, alone)):
+        every[chunk.asks] = own[token]
+    return tuple(out)
 
 
 def backoff(sums: np.ndarray, seen: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -324,15 +366,15 @@ def zero(level: Level, n: int) -> np.ndarray:
     return np.full(n, 1 / (level.types + 1))
 
 
-def walk(row: dict, levels: list[Level], answers: list[dict]) -> tuple[Chunk, np.ndarray, np.ndarray]:
-    """Token probabilities up to the last of the levels, and the counts of single words."""
+def walk(row: dict, levels: list[Level], answers: list[dict]) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token probabilities, counts and what these are divided by at the last of the levels, and the counts of single words."""
     chunk = Chunk(row)
     p, single = zero(levels[0], len(chunk.tokens)), np.zeros(len(chunk.tokens), np.int64)
     for level in levels:
-        p, c = probabilities(chunk, level, [a for a in answers if a["level"] == level.number], p)
+        p, c, whole, alone = probabilities(chunk, level, [a for a in answers if a["level"] == level.number], p)
         single = c if level.number == 1 else single
-        chunk.go_on(level.number)
-    return chunk, p, single
+        chunk.go_on(level, alone)
+    return chunk, p, c, whole, single
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -350,7 +392,8 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     # bucketed by chunk, so that answers come to the chunks and chunks stay where they are
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"chunks_{uuid.uuid4().hex}"
-    chunks(rows, how).write.option("path", f"{shared_folder(spark)}/tables/{name}").option("compression", "none").bucketBy(parts, "chunk").format("parquet").saveAsTable(name)
+    with shuffles_dropped(spark):
+        chunks(rows, how).write.option("path", f"{shared_folder(spark)}/tables/{name}").option("compression", "none").bucketBy(parts, "chunk").format("parquet").saveAsTable(name)
     held = spark.table(name)
     whole = held.agg(F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("train"), F.sum("train_docs").alias("docs")).first()
     tokens, n_train = whole["tokens"] or 0, whole["train"] or 0
@@ -366,15 +409,17 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         level = Level(number, buckets, heavy[order], salts(totals[order]))
         done = list(levels)
         levels.append(level)
+        level.packed = number == 2 and (most + 1) * buckets < 1 << 32  # more than the greatest number of a word
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 if done:
-                    chunk, p, single = walk(row, done, row["answers"])
-                    yield request(row["chunk"], chunk, level, single if level.number == 2 else p)
+                    chunk, _, c, whole, _ = walk(row, done, row["answers"])
+                    yield request(row["chunk"], chunk, level, c, whole)
                 else:
                     chunk = Chunk(row)
-                    yield request(row["chunk"], chunk, level, np.zeros(len(chunk.tokens), np.int64))
+                    none = np.zeros(len(chunk.tokens), np.int64)
+                    yield request(row["chunk"], chunk, level, none, none)
 
         requests = joined(held, answers, parts).mapInArrow(ask, REQUESTS)
         k = how.discounted
@@ -383,8 +428,10 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
             return count(table, levels[-1], levels[-2] if len(levels) > 1 else None, k, limit)
 
         table = store(requests.groupBy("bucket").applyInArrow(add, COUNTED), f"katz-level{number}", "kind")
-        small = table.where(F.col("kind").isin("census", "heavy", "salted")).select("kind", "histories", "counts", "sums", "lower").toArrow().to_pylist()  # counts of counts by bucket, and heavy histories
-        census = np.sum([expand(r["counts"]).astype(np.int64) for r in small if r["kind"] == "census"] or [np.zeros(k + 2, np.int64)], 0)
+        small = table.where(F.col("kind").isin("heavy", "salted")).select("kind", "histories", "counts", "sums", "lower").toArrow().to_pylist()  # heavy histories
+        held_by = [F.get("census", F.lit(i)) for i in range(k + 3)]
+        sums = table.where("kind = 'census'").agg(*(F.coalesce(x, F.lit(0)) for x in (*map(F.sum, held_by[:-1]), F.max(held_by[-1])))).first()  # counts of counts of all buckets
+        census, most = np.array(sums[:-1], np.int64), sums[-1]
         level.discounts, level.types = discounts(census[: k + 1], k), int(census[-1])
         level.sums, level.lower = np.zeros((k + 1, len(level.heavy)), np.int64), np.zeros(len(level.heavy))
         for r in small:
@@ -397,14 +444,14 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         own = [(np.frombuffer(r["histories"], U), expand(r["counts"]).astype(np.int64)) for r in small if r["kind"] == "heavy"]
         heavy, totals = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, U), np.zeros(0, np.int64))
         if (whole["docs"] or 0) > limit:
-            heavy, totals = np.append(heavy, start(number + 1)), np.append(totals, whole["docs"])
+            heavy, totals = np.append(heavy, start(level)), np.append(totals, whole["docs"])
         tables.append(table.where("kind = 'model'").select(F.lit(number).alias("level"), "bucket", "histories", "runs", "words", "counts", "sums", "lower"))
         said = table.where("kind = 'answer'").select(F.lit(number).alias("level"), "bucket", "chunk", "words", "counts", "sums", "lower")
         answers = said if answers is None else answers.unionByName(said)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            chunk, p, c = walk(row, levels, row["answers"])
+            chunk, p, _, _, c = walk(row, levels, row["answers"])
             base = np.log10((c + 0.1) / (n_train + 0.1 * (levels[0].types + 1)))
             sums = [np.add.reduceat(x, chunk.first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
             n = len(chunk.first)
@@ -416,7 +463,9 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     model = tables[0]
     for t in tables[1:]:
         model = model.unionByName(t)
-    return joined(held, answers, parts).mapInArrow(score, SCORES), model, levels
+    scores = store(joined(held, answers, parts).mapInArrow(score, SCORES), "katz-scores")
+    spark.sql(f"drop table {name}")  # its files stay in the shared folder, as all tables do
+    return scores, model, levels
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
