@@ -14,8 +14,10 @@ the anchor words; document frequencies are counted over all files.  Nothing that
 shuffled is as large as a text, and groups are single places in single texts.
 
 Null and empty texts have no words, no labels and score 0.  Equal texts get equal results,
-as do repeated rows.  Ties in IDF are broken by the word and place.  The result has one row for each
-row of the input.
+as do repeated rows; copies of a text are looked up once.  Ties in IDF are broken by the word
+and place.  The result has one row for each row of the input; an empty table gives an empty
+one, and other columns of the input are not looked at, whatever their names.
+A text of any length is one row, whose words one task holds.
 """
 
 from __future__ import annotations
@@ -115,7 +117,8 @@ def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "
     held = files.select(F.explode("present").alias("word")).groupBy("word").count().collect()
     total, df = files.count(), {r["word"]: r["count"] for r in held}
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1e-3 for w in vocabulary}
-    found = files.where("hits is not null").select("key", F.explode("hits").alias("hit")).select("key", "hit.at", "hit.word")
+    texts = store(files.where("hits is not null").groupBy("key").agg(F.first("hits").alias("hits")), "licence-hits")  # copies of a text once
+    found = texts.select("key", F.explode("hits").alias("hit")).select("key", "hit.at", "hit.word")
 
     phrase_index = F.broadcast(spark.createDataFrame(by_phrase, "phrase string, word string, off bigint, length bigint"))
     places = (
@@ -146,7 +149,7 @@ def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "
     verified = (
         phrased.join(template_index, "template")
         .withColumn("at", F.col("start") + F.col("off"))
-        .join(found.distinct(), ["key", "at", "word"])
+        .join(found, ["key", "at", "word"])
         .groupBy("key", "template", "start")
         .agg(F.collect_set(F.struct("off", "idf")).alias("votes"))  # a template's words at most
         .withColumn("agreed", F.aggregate(F.array_sort("votes"), F.lit(0.0), lambda a, x: a + x["idf"]) / share[F.col("template")])
