@@ -8,11 +8,14 @@ All segments of a batch of texts are searched in step, so that each move is one
 operation; a segment starts early enough for no occurrence to be lost.
 
 The benchmark is read in blocks of bounded size, one pass over the documents for each, so
-no more than `block_words` benchmark words are ever sent to the executors at once.
+no more than `block_words` benchmark words are ever sent to the executors at once, as one
+broadcast for each block.  A benchmark of ten million words takes some fifty passes.
 
 Null texts have no words and are clean.  An item without words is no test string; an item
-without id marks words but is not counted.  Equal rows get equal results.  With an empty
-benchmark every document is clean.
+without id marks words but is not counted.  Equal rows get equal results, each its own row.
+With an empty benchmark every document is clean; without documents the result is empty.
+Other columns of the inputs are not looked at, whatever their names.  A text of any length
+is one chunk of a task.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ def word_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Fingerprints of the lower-cased words of a chunk, and their rows."""
     low = bt.LOWER[data]
     start, end, rows = bt.words(low, offsets, bt.NON_ALNUM)
-    return bt.Fingerprints(low).of(start, end), rows
+    return bt.word_prints(low, start, end), rows
 
 
 @dataclass
@@ -126,6 +129,7 @@ def digest(items: list[str]) -> str:
 
 def search(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
     """For each document its word count, the places of hit words, and the items that occur."""
+    sent = docs.sparkSession.sparkContext.broadcast(tables)  # of one block, so of bounded size
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         n_words, hits, items = [], [], []
@@ -135,7 +139,7 @@ def search(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
             first, after = np.searchsorted(rows, np.arange(n)), np.searchsorted(rows, np.arange(n), "right")
             cover = np.zeros(len(prints) + 1, np.int64)
             own: list[set[str]] = [set() for _ in range(n)]
-            for t in tables:
+            for t in sent.value:
                 begin, which = t.find(prints, first, after)
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + t.length, -1)
