@@ -15,7 +15,9 @@ among the pieces of its length.  Those numbers come from counts by length and bu
 task numbers more pieces than a bucket holds, even where all pieces are of one length.
 
 Null texts are empty; an empty text is one end token.  Equal rows are packed each.  Which of
-two pieces of equal length gets which place is decided by bucket, id and piece number.
+two pieces of equal length gets which place is decided by bucket, id and piece number.  An
+empty table gives an empty result.  Other columns of the input are not looked at, whatever
+their names.  A text of any length is encoded by one task, which holds its ids.
 """
 
 from __future__ import annotations
@@ -119,13 +121,40 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-_workers: dict[str, WordTokens] = {}
+class WholeTokens:
+    """Token ids of texts, each encoded whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+
+#: Texts on which a tokenizer shows whether it works word by word.
+PROBES = (
+    "One two  three", "words, with. marks., and... more,", " before and after ", "tab\tand\nline\n\nends", "UPPER Lower mIXed", "don't e.g. U.S.A. x.y,z 1,000.5 7.", "\u00e9t\u00e9. \u00c0 stra\u00dfe, \u00d1o.",
+    "\u65e5\u672c\u8a9e. \u8a9e,", "a.,b ,c .d ... , .", "no\u00a0break \u2014 dash\u2026", "<s> [x] {y} #1 @z $5", "supercalifragilistic.", "",
+)
+
+
+def fitting(path: str, limit: int) -> WordTokens | WholeTokens:
+    """Words one by one where the tokenizer works so, as far as the probes show; whole texts where it does not."""
+    words, whole, texts = WordTokens(path, limit), WholeTokens(path), pa.array(PROBES, pa.large_string())
+    same = all(np.array_equal(a, b) for a, b in zip(words.of(texts), whole.of(texts)))
+    return words if same else whole
+
+
+_workers: dict[str, WordTokens | WholeTokens] = {}
 
 
-def worker_tokens(path: str, limit: int) -> WordTokens:
+def worker_tokens(path: str, limit: int) -> WordTokens | WholeTokens:
     """What this worker has for a tokenizer, from earlier tasks too."""
     if path not in _workers:
-        _workers[path] = WordTokens(path, limit)
+        _workers[path] = fitting(path, limit)
     return _workers[path]
 
 
