@@ -8,7 +8,9 @@ the language.  A text goes to the language whose prototype has the greatest cosi
 Training adds up one vector per language and task, so the driver gets languages x
 dimensions numbers however large the corpus.  Null texts, and those without a letter, are
 `und` with score 0; so is every text where nothing was learned.  Ties go to the first
-language in order.  Each row is judged by its own text.
+language in order.  Each row, repeated or not, is judged by its own text.  An empty table
+gives an empty result.  Other columns of the input are not looked at, whatever their names.
+A text of any length is one chunk of a task.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ def letter_vector(code: int, place: int, dimensions: int) -> np.ndarray:
 def ngram_vectors(codes: np.ndarray, space: Space) -> np.ndarray:
     """Vectors of the n-grams whose letters are the rows of codes."""
     out = np.ones((len(codes), space.dimensions), np.int8)
+    if not len(codes):
+        return out
     for place in range(space.n):
         letters, which = np.unique(codes[:, place], return_inverse=True)
         out *= np.stack([letter_vector(int(c), place, space.dimensions) for c in letters])[which]

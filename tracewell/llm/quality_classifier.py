@@ -11,7 +11,9 @@ only data that the driver gets.
 
 Null texts count as empty and are scored by the same tables.  Labels that are null are
 left out; without any label every score is 0.5.  A document with several labels counts
-with each.  Equal texts get equal scores.
+with each.  Equal texts, and repeated rows, get equal scores.  An empty table gives an empty
+result.  Other columns of the inputs are not looked at, whatever their names.  A text of any
+length is one chunk of a task.
 """
 
 from __future__ import annotations
