@@ -6,16 +6,19 @@ classes into buckets.  Links are confirmed in two steps, by signature and then o
 sets, and always with the exact ratio:
 
 1. In every bucket each member is compared with one pivot, the class with most copies.
-2. Buckets whose members are still in several components are cut into tiles of bounded
-   size, and all members of a tile are compared.  So no link between members of a bucket
-   is lost, no group is gathered in one task, and a tile reports only links that join
-   what was apart: never all pairs.
+2. Where a bucket's members are still in several components, those outside its largest one
+   are compared with all members, in tiles of bounded size.  So no link between members of a
+   bucket is lost, no group is gathered in one task, and a tile reports only links that join
+   what was apart: never all pairs.  A bucket with few such strays, as groups of near copies
+   have them, sends each member to few tiles, however large it is.
 
 Components come from alternating large-star and small-star passes over the links.
 
 A text with fewer words than a shingle has its whole sequence as its one shingle; one
 without words, or null, has an empty set and is linked with nothing.  Repeated rows are in
-one class.  The least id of a component names it; a null id never does if another is there.
+one class; classes are told apart by 128 bits.  The least id of a component names it; a null
+id never does if another is there.  An empty table gives an empty result.  Other columns of
+the input are not looked at, whatever their names.  A text of any length is one chunk of a task.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -39,8 +42,10 @@ class MinHash:
     percent: int = 85  # linked if 100 * intersection >= percent * union
     bands: int = 25
     rows: int = 5
-    tile: int = 128
+    tile: int = 128  # members of a tile's side
+    tile_shingles: int = 400_000  # of a tile's side, where its sets are large; a larger set is alone
     slack: float = 0.19  # six standard deviations of a signature's estimate at 0.85
+    class_bits: int = 64  # of a class's first name
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
         r = np.random.default_rng(5)
@@ -52,7 +57,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     """Distinct shingle fingerprints in order, by row, and the rows."""
     low = bt.LOWER[data]
     start, end, rows = bt.words(low, offsets, bt.SPACE)
-    prints = bt.Fingerprints(low).of(start, end)
+    prints = bt.word_prints(low, start, end)
     n = len(offsets) - 1
     keys, first = bt.windows(prints, rows, n, width)
     of = rows[first]
@@ -92,29 +97,44 @@ def band_keys(signatures: np.ndarray, how: MinHash) -> np.ndarray:
     return out
 
 
-DIGESTS = "doc_id bigint, row bigint, n_shingles bigint, class bigint, bands array<bigint>"
+ROW = ["row", "own"]
+DIGESTS = "doc_id bigint, row bigint, own bigint, n_shingles bigint, class bigint, check bigint, bands array<bigint>"
 
 
 def digests(docs: DataFrame, how: MinHash) -> DataFrame:
-    """Set size, class and band keys of every text."""
+    """Set size, class (two names, 128 bits together) and band keys of every text."""
+    kept = np.uint64(2**how.class_bits - 1)
 
     def step(batch: pa.RecordBatch) -> pa.Table:
-        sizes, classes, bands = [], [], []
-        for _, data, offsets in bt.chunks(batch.column(2)):
+        sizes, classes, checks, bands = [], [], [], []
+        for _, data, offsets in bt.chunks(batch.column(3)):
             n = len(offsets) - 1
             keys, rows = shingle_sets(data, offsets, how.width)
-            size, name = bt.per_row(rows, n), np.zeros(n, np.uint64)
+            size, name, check = bt.per_row(rows, n), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(name, rows, bt.mix(keys + np.uint64(99)))
+            np.add.at(check, rows, bt.mix(keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)))
             own, signatures = minima(keys, rows, how)
             each: list = [None] * n
             for r, b in zip(own.tolist(), band_keys(signatures, how).view(np.int64)):
                 each[r] = b
             sizes.append(size)
-            classes.append(bt.mix(name + size.astype(np.uint64)).view(np.int64))
+            classes.append((bt.mix(name + size.astype(np.uint64)) & kept).view(np.int64))
+            checks.append(check.view(np.int64))
             bands += each
-        return pa.table([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(classes)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "class", "bands"])
+        own = [pa.array(np.concatenate(x)) for x in (sizes, classes, checks)]
+        return pa.table([*batch.columns[:3], *own, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", *ROW, "n_shingles", "class", "check", "bands"])
 
-    return map_batches(docs.select("doc_id", "row", "text"), step, DIGESTS)
+    return map_batches(docs.select("doc_id", *ROW, "text"), step, DIGESTS)
+
+
+def told_apart(every: DataFrame) -> DataFrame:
+    """Different sets that share a class's first name get names of their own; there are next to never any."""
+    named = every.where("n_shingles > 0")
+    shared = named.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("class", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return every
+    own = F.when(F.col("shared"), F.xxhash64("class", "check")).otherwise(F.col("class"))
+    return every.join(shared, "class", "left").withColumn("class", own).drop("shared")
 
 
 SETS = "class bigint, n bigint, signature binary, members binary"
@@ -164,8 +184,9 @@ def confirm(pairs: DataFrame, how: MinHash) -> DataFrame:
 
 
 def tile_links(table: pa.Table, how: MinHash) -> pa.Table:
-    """Links of a tile's members that join components; one link is enough for each."""
+    """Links between strays and members of a tile that join components; one link is enough for each."""
     names, comps = table.column("class").to_numpy(), table.column("comp").to_numpy()
+    strays = np.unique(names[table.column("stray").to_numpy(zero_copy_only=False)])
     names, at = np.unique(names, return_index=True)
     comps = comps[at]
     signatures = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in (table.column("signature")[int(i)] for i in at)])
@@ -173,10 +194,10 @@ def tile_links(table: pa.Table, how: MinHash) -> pa.Table:
     n = len(names)
     sizes = np.array([len(s) for s in sets])
     near = np.zeros((n, n), bool)
-    for i in range(n):
+    for i in np.searchsorted(names, strays).tolist():
         near[i] = (signatures == signatures[i]).sum(1) >= (how.percent / 100 - how.slack) * how.bands * how.rows
     near &= (comps[:, None] != comps[None, :]) & (100 * np.minimum.outer(sizes, sizes) >= how.percent * np.maximum.outer(sizes, sizes))
-    used = np.flatnonzero(near.any(1))
+    used = np.flatnonzero(near.any(0) | near.any(1))
     found = []
     if len(used):
         # shingles that one member has alone cannot be shared
@@ -201,7 +222,7 @@ def tile_links(table: pa.Table, how: MinHash) -> pa.Table:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for i, j in np.argwhere(np.triu(ok)).tolist():
+        for i, j in np.argwhere(ok).tolist():
             p, q = root(int(comps[used[i]])), root(int(comps[used[j]]))
             if p != q:
                 parent[p] = q
@@ -229,18 +250,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (the row's key), n_shingles, component_id and kept for every row."""
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
-    every = store(digests(rows, how), "digests")
+    """doc_id, row and own (the row's key and id, not null), n_shingles, component_id and kept for every row."""
+    ids = F.col(doc).cast("bigint")
+    rows = docs.select(ids.alias("doc_id"), row_key(doc, text).alias("row"), F.coalesce(ids, F.lit(-(2**63))).alias("own"), F.col(text).alias("text"))
+    every = told_apart(store(digests(rows, how), "digests"))
     classes = store(
-        every.where("n_shingles > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        every.where("n_shingles > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(*ROW)).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     dealt = classes.select("class", "n", "copies", F.explode("bands").alias("bucket"))
     buckets = dealt.groupBy("bucket").agg(F.count("*").alias("held"), F.max(F.struct("copies", "class", "n")).alias("pivot")).where("held > 1")
     members = store(dealt.join(buckets, "bucket").select("bucket", "class", "n", "held", F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
-    active = members.select("class").distinct().join(classes.select("class", "row"), "class")
-    texts = rows.join(active, "row").dropDuplicates(["row"])  # repeated rows share a key
+    active = members.select("class").distinct().join(classes.select("class", "at.*"), "class")
+    texts = rows.join(active, ROW).dropDuplicates(ROW)  # repeated rows share a key
     sets = store(full_sets(texts.select("class", "text"), how), "sets")
 
     pairs = members.where("class <> pivot").where(f"100 * least(n, pivot_n) >= {how.percent} * greatest(n, pivot_n)").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -249,17 +271,27 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc: str = "doc_i
     stars = store(confirm(pairs.join(one, "a").join(two, "b"), how), "stars")
     first = components(stars)
 
-    placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class")).select("bucket", "class", "held", "comp")
+    placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "n", F.coalesce("comp", "class").alias("comp"))
     placed = store(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    parts = F.ceil(F.col("held") / how.tile).cast("int")
-    tiles = (
-        placed.join(open_, "bucket")
-        .withColumn("part", F.pmod(F.xxhash64("class", "bucket"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", "comp")
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
+    open_ = (
+        by_comp.groupBy("bucket")
+        .agg(F.count("*").alias("comps"), F.max(F.struct("held", "shingles", "comp")).alias("top"), F.sum("held").alias("held"), F.sum("shingles").alias("shingles"))
+        .where("comps > 1")
+        .select("bucket", F.col("top.comp").alias("main"), "held", "shingles", (F.col("held") - F.col("top.held")).alias("strays"), (F.col("shingles") - F.col("top.shingles")).alias("stray_shingles"))
     )
-    joined = tiles.join(sets.select("class", "signature", "members"), "class")
+
+    def parts(count: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(count) / how.tile), F.ceil(F.col(shingles) / how.tile_shingles)).cast("int")
+
+    def tile(rows: Column, column: Column, stray: bool) -> Column:
+        return F.struct(rows.alias("i"), column.alias("j"), F.lit(stray).alias("stray"))
+
+    i, j = (F.pmod(F.xxhash64(*by), parts(*of)).cast("int") for by, of in ((("class", "bucket"), ("strays", "stray_shingles")), (("bucket", "class"), ("held", "shingles"))))
+    as_member = F.transform(F.sequence(F.lit(0), parts("strays", "stray_shingles") - 1), lambda x: tile(x, j, False))
+    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), parts("held", "shingles") - 1), lambda x: tile(i, x, True))).otherwise(F.array().cast("array<struct<i:int,j:int,stray:boolean>>"))
+    tiles = placed.join(open_, "bucket").select("bucket", "class", "comp", F.explode(F.concat(as_stray, as_member)).alias("tile"))
+    joined = tiles.select("bucket", "class", "comp", "tile.*").join(sets.select("class", "signature", "members"), "class")
     more = joined.groupBy("bucket", "i", "j").applyInArrow(lambda t: tile_links(t, how), LINKS)
     links = stars.unionByName(store(more, "links"))
 
@@ -268,5 +300,5 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc: str = "doc_i
     ids = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = named.join(ids, "comp").select("class", "component")
     empty = F.col("n_shingles") == 0
-    out = every.select("doc_id", "row", "n_shingles", "class").join(named, "class", "left").withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component")))
-    return out.select("doc_id", "row", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = every.select("doc_id", *ROW, "n_shingles", "class").join(named, "class", "left").withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component")))
+    return out.select("doc_id", *ROW, "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_folder, store
+from ..shared import forget, shared_folder, shuffles_dropped, store
 
-__all__ = ["held_out", "map_batches", "row_key", "shared_folder", "store"]
+__all__ = ["forget", "held_out", "map_batches", "row_key", "shared_folder", "shuffles_dropped", "store"]
 
 #: Slice of a text column that one step of a task works on.
 TEXT, DOC = "text", "doc_id"
