@@ -5,11 +5,12 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup
-from tracewell.llm.tables import held_out
+from tracewell.llm import bytetext, decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup
+from tracewell.llm.tables import held_out, row_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, words string, found string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -109,6 +110,22 @@ def test_quality_classifier(spark, none):
     assert {x["score"] for x in quality_classifier.classify(docs, labels.where("false"), F.lit(True)).collect()} == {0.5}
 
 
+def test_quality_classifier_by_brute_force(spark):
+    r = random.Random(2)
+    texts = [t for _, t in ROWS if t is None or len(t) < 4000]
+    for t, x in zip(texts, quality_classifier.features(*next((d, o) for _, d, o in bytetext.chunks(pa.array(texts, pa.string()), 1 << 40)))):
+        assert x.tolist() == pytest.approx(brute.text_features(t))
+    how = quality_classifier.Training(bins=6, pair_bins=3, pairs=4, rounds=12, pair_rounds=8)
+    made_ = [(i, " ".join(r.choices(["word", "Text", "good.", "$$", "<>", "7"], [3, 3, 3, i % 3, i % 2, 1], k=r.randint(1, 60))) + "\n" * (i % 4)) for i in range(120)]
+    labels = [(i, int(i % 3 == 0 or i % 7 == 0)) for i, _ in made_]
+    docs = spark.createDataFrame([(*d, 1, 0.5, "f") for d in made_ + made_[:5]], "doc_id long, text string, row int, score double, features string")
+    got = {(x["doc_id"], x["score"]) for x in quality_classifier.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("doc_id") % 4 != 2, how).collect()}
+    held = [(d, t) for d, t in made_ + made_[:5] if d % 4 != 2]
+    model = brute.additive_model([brute.text_features(t) for _, t in held], [dict(labels)[d] for d, _ in held], how)
+    expected = {d: model(brute.text_features(t)) for d, t in made_}
+    assert len(got) == 120 and all(s == pytest.approx(expected[d], abs=1e-6) for d, s in got)
+
+
 def test_license_scan(docs, none, spark):
     found = license_scan.scan(docs)
     assert rows(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want((d, *brute.licences(t)) for d, t in ROWS)
@@ -124,6 +141,39 @@ def test_license_scan(docs, none, spark):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_labels_by_brute_force(docs, spark):
+    r = random.Random(9)
+    texts = [t for _, t in ROWS[:30]]
+    for _, passage, _ in license_scan.TEMPLATES:  # whole, with words changed, and cut
+        words = passage.split()
+        for k in (0, 1, 2, 4):
+            texts.append("before this " + " ".join("other" if r.random() < k / len(words) else w for w in words) + " and after")
+        texts.append(" ".join(words[len(words) // 4 :]).upper())
+    data = list(enumerate(texts))
+    got = license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()
+    expected = brute.licence_labels(texts, license_scan.TEMPLATES, license_scan.Scan().agree, license_scan.ANCHORS)
+    assert [r["labels"] for r in got] == [x for x, _ in expected]
+    assert [r["score"] for r in got] == pytest.approx([x for _, x in expected], abs=1e-9)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+def test_license_scan_whole_licences(spark):
+    texts = [f"Copyright (c) 2025 A\n\n{MIT}\n\ncode()", f"{MIT}\n-----\n{BSD}", f"/* {BSD} */"]
+    assert len(brute.ALNUM_WORD.findall(texts[1])) > 230
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit", "bsd,mit", "bsd"]
+
+
 def test_license_scan_two_notices(spark):
     pairs = [(a, b) for a in license_scan.TEMPLATES for b in license_scan.TEMPLATES if a != b]
     texts = [f"{a[1]}. And then {b[1]}." for a, b in pairs]
@@ -137,27 +187,24 @@ def test_license_scan_two_notices(spark):
         assert license_scan.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == pytest.approx(1)
 
 
-def test_line_dedup(docs, none, spark):
-    line = "this is a line of eight whole words"
-    texts = [f"Own first text.\n{line}\nmore of it", f"{line.upper()}  \nan other text\n{line}", None, "", f"Here it is. {line} too. This is  A line of eight whole words! End", "short one\nshort one"]
+def test_line_dedup(spark):
+    line = "this is a line of eight whole words here"
+    texts = [f"Own first text.\n{line}\nmore of it", f"{line.upper()}  \nan other text\n{line}", None, "", f"Here it is. {line} too. This is  A line of eight whole words! End", "short one\nshort one\n分かち書きのない行", "分かち書きのない行\nSHORT  one"]
     got = {r["doc_id"]: r for r in line_dedup.remove_units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i]["kept_text"] for i in range(6)] == [texts[0], "an other text\n", "", "", f"Here it is. {line} too. This is  A line of eight whole words! End", texts[5]]
-    # brute force over units
-    how = line_dedup.Units()
-    units = [(d, a, b, x) for d, t in ROWS for a, b, x, _ in line_dedup.cut(t or "", how, __import__("re").compile(how.sentence))]
-    first = {}
-    for d, a, b, x in units:
-        first[x] = min(first.get(x, (d, a)), (d, a))
-    expected = []
-    for d, t in ROWS:
-        t = t or ""
-        gone = set()
-        for e, a, b, x in {u for u in units if u[0] == d}:
-            if (d, a) != first[x] and line_dedup.cut(t, how, __import__("re").compile(how.sentence)):
-                gone.update(range(a, b + (t[b : b + 1] == "\n" and (a == 0 or t[a - 1] == "\n"))))
-        left = "".join(c for i, c in enumerate(t) if i not in gone)
-        expected.append((d, len(t), len(gone), hashlib.sha256(left.encode()).hexdigest()))
-    assert rows(line_dedup.remove_units(docs), "doc_id", "n_chars", "n_removed", "kept_sha256") == want(expected)
+    assert [got[i]["kept_text"] for i in range(7)] == [texts[0], "an other text\n", "", "", texts[4], "short one\n分かち書きのない行", ""]
+    assert [tuple(x) for x in got[1]["spans"]] == [(0, 43), (57, 97)]
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_line_dedup_by_brute_force(docs, none, spark, hot):
+    r = random.Random(12)
+    sentences = ["".join(r.choices("abc de.! é", k=r.randint(3, 90))) for _ in range(60)]
+    made_ = [(r.choice([None, *range(50)]), r.choice([" ", "\n", "\n\n"]).join(r.choices(sentences, k=r.randint(1, 9)))) for _ in range(150)]
+    for data in (ROWS, made_ + made_[:20]):
+        frame = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "0 as row", "1 as rank", "2 as digest")
+        keys = {(x["doc_id"], x["text"]): x["key"] for x in frame.select("doc_id", "text", row_key().alias("key")).collect()}
+        found = line_dedup.remove_units(frame, line_dedup.Units(hot=hot))
+        assert rows(found, "doc_id", "n_chars", "n_removed", "kept_sha256") == want(brute.without_repeated_units(data, lambda d, t: keys[d, t]))
     assert line_dedup.remove_units(none).count() == 0
 
 
@@ -169,6 +216,20 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_quality_bands_by_the_compressor(docs, spark):
+    bands = quality_rules.Bands()
+    r = random.Random(5)
+    made_ = ["".join(r.choices("ab c", k=n)) for n in (63, 64, 300, 2047, 2048, 2049, 5000)] + ["".join(chr(r.randint(33, 1000)) for _ in range(n)) for n in (50, 500, 3000)] + ["same words again " * 300]
+    data = ROWS + [(1000 + i, t) for i, t in enumerate(made_)]
+    got = quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string"))
+    expected = []
+    for d, t in data:
+        ratio, passes = brute.band_verdict(t, bands)
+        expected.append((d, round(ratio, 9), passes and not brute.rules(t)[5]))
+    assert rows(got.select("doc_id", F.round("ratio", 9).alias("ratio"), "kept"), "doc_id", "ratio", "kept") == want(expected)
+    assert len({k for *_, k in expected}) == 2
+
+
 def test_quality_rules_see_the_end(spark):
     r = random.Random(4)
     prose = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if i % 7 else " " for i in range(4096))
@@ -207,6 +268,61 @@ def test_packing(docs, none):
     assert sorted(len(r["ids"]) // 4 for r in whole) == sorted(at.values())
 
 
+def test_packing_fits_the_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    other = TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    assert isinstance(packing.fitting(TOKENIZER, 100), packing.WordTokens) and isinstance(packing.fitting(other, 100), packing.WholeTokens)
+    texts = [t for _, t in ROWS if t is None or len(t) < 500]
+    tokenizer = Tokenizer.from_file(other)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), other, packing.Packing(capacity=4096, bucket_rows=10))
+    expected = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts)]
+    assert rows(got, "doc_id", "length", "ids_crc32") == want(expected)
+
+
+@pytest.mark.parametrize("operator", ["katz", "quality", "rules", "license", "lines", "leaks", "pack", "minhash", "language"])
+def test_a_text_over_a_chunk(spark, operator):
+    """Texts of more than a mebibyte, a chunk's size, get what brute force says."""
+    r = random.Random(31)
+    vocabulary = ["".join(r.choices("abcdeé", k=r.randint(2, 9))) for _ in range(5000)]
+    body = " ".join(r.choices(vocabulary, k=250_000))
+    assert len(body.encode()) > bytetext.CHUNK_BYTES
+    data = [(1, body + "\nreleased under the mit license"), (2, "short and other words"), (3, body + "\nreleased under the mit license too"), (4, None)]
+    docs = spark.createDataFrame([(*d, "x" if d[0] == 2 else "y") for d in data], "doc_id long, text string, lang string")
+    if operator == "katz":
+        model = brute.Katz([brute.Katz.tokens(t) for _, t in data[:2]], 1)
+        got = {x["doc_id"]: x["score"] for x in katz.katz_scores(docs, F.col("doc_id") < 3, katz.Katz(order=1)).collect()}
+        assert all(got[d] == pytest.approx(model.score(t), rel=1e-9) for d, t in data)
+    elif operator == "quality":
+        got = {x["doc_id"]: x["features"] for x in quality_classifier.measure(docs).collect()}
+        assert all(got[d] == pytest.approx(brute.text_features(t)) for d, t in data)
+    elif operator == "rules":
+        names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+        assert rows(quality_rules.quality_rules(docs), *names) == want((d, *brute.rules(t)) for d, t in data)
+    elif operator == "license":
+        got = license_scan.scan(docs)
+        assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want((d, *brute.licences(t)) for d, t in data)
+    elif operator == "lines":
+        got = {x["doc_id"]: x for x in line_dedup.remove_units(docs).collect()}
+        assert [got[d]["n_removed"] for d in (1, 2, 3, 4)] == [0, 0, len(body) + 1, 0]
+    elif operator == "leaks":
+        items = [(7, " ".join(body.split()[200_000:200_012])), (8, "never found here at all")]
+        got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"]) for x in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+        words = len(brute.ALNUM_WORD.findall(body))
+        assert got == {1: (words + 5, 12, 1), 2: (4, 0, 0), 3: (words + 6, 12, 1), 4: (0, 0, 0)}
+    elif operator == "pack":
+        from tokenizers import Tokenizer
+
+        ids = {d: np.array(Tokenizer.from_file(TOKENIZER).encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t in data}
+        got = packing.pack(docs, TOKENIZER).collect()
+        assert {(x["doc_id"], x["start"], x["ids_crc32"]) for x in got} == {(d, k, zlib.crc32(v[k : k + 2048].tobytes())) for d, v in ids.items() for k in range(0, len(v), 2048)}
+    elif operator == "minhash":
+        assert rows(minhash_dedup.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want(brute.components(data))
+    else:
+        got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(docs, language_id.learn(docs, language_id.Space(dimensions=256)), language_id.Space(dimensions=256)).collect()}
+        assert got == {1: "y", 2: "x", 3: "y", 4: "und"}
+
+
 def test_plan_uses_all():
     r = np.random.default_rng(1)
     for top in (40, 300, 2048):
@@ -220,14 +336,39 @@ def test_plan_uses_all():
         assert (used == counts).all() and n <= 1.01 * (counts * np.arange(top)).sum() / top + 2
 
 
-@pytest.mark.parametrize("tile", [128, 2])
-def test_minhash(docs, none, tile):
-    found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(tile=tile))
+@pytest.mark.parametrize("tile,shingles", [(256, 2_000_000), (2, 2_000_000), (256, 300)])
+def test_minhash(docs, none, tile, shingles):
+    found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(tile=tile, tile_shingles=shingles))
     assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(ROWS))
     assert found.where("kept <> (doc_id = component_id)").count() == 0
     assert minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_minhash_group_of_strays(spark):
+    """Texts near one another, few of which are linked with the pivot itself."""
+    r = random.Random(14)
+    base, data = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        words = list(base)
+        for k in r.sample(range(120), r.randint(1, 4)):
+            words[k] = f"x{r.randint(0, 3)}"
+        data.append((i, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for tile in (256, 7):
+        found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(percent=80, bands=37, tile=tile))
+        assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(data, 80))
+
+
+def test_minhash_tells_equal_names_apart(docs, spark):
+    found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(class_bits=3))
+    assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(ROWS))
+    words = thue_morse(10, "ab")
+    assert len({int(x) for w in words for x in bytetext.Fingerprints(np.frombuffer(w.encode(), np.uint8)).of([0], [len(w)])}) == 1
+    data = list(enumerate([words[0], words[1], words[0] + " x", words[1].upper()]))
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows(found, "doc_id", "n_shingles", "component_id") == want([(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 1, 1)])
+
+
 @pytest.mark.parametrize("length", [400, 80])
 def test_suffix_dedup(docs, none, length):
     how = suffix_dedup.Suffixes(length=length, q=32)
@@ -236,6 +377,71 @@ def test_suffix_dedup(docs, none, length):
     assert suffix_dedup.remove_repeats(none, how).count() == 0
 
 
+def test_language_id_by_brute_force(spark):
+    space, r = language_id.Space(dimensions=64), random.Random(3)
+    texts = [t for _, t in ROWS if t is None or len(t) < 1500] + ["a", "ab", " ab ", "İstanbul ıŞ", "日本 語です"]
+    data = [(i, t, r.choice(["a", "b", "c", None]), 1, "x", 0.5) for i, t in enumerate(texts + texts[:3])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, label int, vector string, score double").repartition(3)
+    prototypes = language_id.learn(docs.where("doc_id % 3 <> 1"), space)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(docs, prototypes, space).collect()}
+    vector = lambda code, place: language_id.letter_vector(code, place, 64)
+    expected = brute.languages([(t, x) for i, t, x, *_ in data if i % 3 != 1 and t is not None and x is not None], [t for _, t, *_ in data], 3, vector)
+    for i, (lang, score) in enumerate(expected):
+        assert got[i] == (lang, pytest.approx(score, abs=1e-5))
+
+
+def thue_morse(k, letters):
+    t = [0]
+    for _ in range(k):
+        t += [1 - x for x in t]
+    return "".join(letters[x] for x in t), "".join(letters[1 - x] for x in t)
+
+
+def test_suffix_dedup_tells_equal_64_bit_names_apart(spark):
+    prefix = "".join(random.Random(16 * 100 + 41).choices("cdefgh ", k=41))
+    texts = [prefix + t for t in thue_morse(10, "ab")]  # equal sums of powers modulo 2**64
+    how = suffix_dedup.Suffixes(length=len(texts[0]))
+    names = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        prints = bytetext.Fingerprints(data)
+        names.append(suffix_dedup.identifier(prints, *suffix_dedup.anchors(prints, np.array([0, len(data)]), how)[1:], how.length).tolist())
+    assert names[0] == names[1]
+    rows_ = [(1, texts[0]), (2, texts[1]), (3, texts[0] + " more"), (4, "other " + texts[1])]
+    for n, held in ((2, rows_[:2]), (4, rows_)):
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(held, "doc_id long, text string"), how)
+        assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.repeats(held, how.length)) and len(held) == n
+
+
+def test_suffix_dedup_hot_names(docs):
+    r = random.Random(7)
+    passage = "".join(r.choices("abcdefgh ", k=900))
+    data = [(i, "".join(r.choices("opqrst ", k=r.randint(5, 300))) + passage + "".join(r.choices("opqrst ", k=r.randint(5, 300))) + ("x" * 500 if i % 3 else "")) for i in range(60)]
+    how = suffix_dedup.Suffixes(hot=5)
+    found = suffix_dedup.remove_repeats(docs.sparkSession.createDataFrame(data, "doc_id long, text string"), how)
+    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.repeats(data))
+
+
+@pytest.mark.parametrize("length,report", [(400, 256), (80, 50)])
+def test_suffix_dedup_reports_shorter_strings(docs, none, length, report):
+    how = suffix_dedup.Suffixes(length=length)
+    found = suffix_dedup.remove_repeats(docs, how, report=report)
+    shorter = brute.repeats(ROWS, report)
+    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated") == want((*x, y[2]) for x, y in zip(brute.repeats(ROWS, length), shorter))
+    assert sum(y[2] for y in shorter) > sum(x[2] for x in brute.repeats(ROWS, length)) > 0
+    assert suffix_dedup.remove_repeats(none, how, report=report).count() == 0
+
+
+def test_suffix_dedup_a_long_text(spark):
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefgh ", k=700))
+    long = "".join(r.choices("abcdefghijklmnop ", k=1_300_000))
+    data = [(1, long[:900_000] + passage + long[900_000:]), (2, "before it " + passage), (3, long[1_200_000:1_201_000] + "after")]
+    found = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [(found[i]["n_removed"], found[i]["n_spans"]) for i in (1, 2, 3)] == [(1700, 2), (700, 1), (1000, 1)]
+    assert found[1]["kept_sha256"] == hashlib.sha256((long[:1_200_000] + long[1_201_000:]).encode()).hexdigest()
+
+
 def test_language_id(spark, none):
     r = random.Random(2)
     words = {"a": ["the", "and", "this", "that", "water"], "b": ["le", "les", "une", "eau", "être"], "c": ["der", "und", "straße", "nicht"]}

@@ -32,8 +32,8 @@ def test_pipeline(spark, tmp_path):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     accepted = {d for d, _ in kept[1]}
     assert set(kept[1]) <= set(kept[0]) and np.mean([(d in accepted) == q for d, q in labels.items()]) > 0.9
-    assert [d for d, _ in kept[2]] == sorted(d for d, _, least in brute.components(kept[1]) if d == least)
-    left = {d: n for d, _, n, _, _ in brute.repeats(kept[2])}
+    assert [d for d, _ in kept[2]] == sorted(d for d, _, least in brute.components(kept[1], 80) if d == least)
+    left = {d: n for d, _, n, _, _ in brute.repeats(kept[2], 256)}
     before = dict(kept[2])
     for d, t in kept[3]:
         assert (t == before[d]) == (left[d] == 0) and abs(len(before[d].encode()) - left[d] - len(t.encode())) <= 6 * t.count("") and t.strip()
