@@ -32,7 +32,7 @@ some forty times its size.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .tables import map_batches, row_key, store
+from .tables import forget, map_batches, row_key, store
 
 U = np.uint64
 MOST_HOT = 100_000
@@ -53,6 +53,11 @@ class Suffixes:
     steps: tuple[int, ...] = (64, 16, 4, 1)  # distances in a block at each refinement
     hot: int = 1000  # names in no more blocks than this are not hot, however few blocks there are
 
+    @property
+    def cuts(self) -> tuple[int, ...]:
+        """The steps that leave starts of a part half their length in common at least."""
+        return tuple(s for s in self.steps if 2 * s <= self.length)
+
     @property
     def span(self) -> int:
         """Distances that an anchor can have from a start."""
@@ -114,10 +119,11 @@ def blocks(docs: DataFrame, how: Suffixes) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         keys, own, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-        for base, data, offsets in bt.chunks(batch.column(2)):
+        for base, data, offsets in bt.chunks(batch.column(2), 1 << 18):
             prints = bt.Fingerprints(data)
             row, at, first, last = anchors(prints, offsets, how)
             bucket, name = prints.of(at, at + how.q), identifier(prints, at, first, last, how.length)
+            del prints
             check = bt.FieldPrints(data).of(first, last + how.length)
             begin = offsets[row]
             parts.append([keys[base + row], own[base + row], bucket.view(np.int64), name.view(np.int64), check.view(np.int64), at - begin, first - begin, last - begin])
@@ -203,13 +209,21 @@ def mark(table: DataFrame, names: DataFrame, by: list[str], how: Suffixes, block
     return rest.unionByName(map_batches(table.select("row", "own", "first", "last", *by), step, f"{ROW}, first bigint, last bigint", 1 << 16))
 
 
-def repeated_spans(rows: DataFrame, how: Suffixes) -> DataFrame:
-    """row, own, first, last: starts of strings that start elsewhere too, or that such strings cover."""
+def repeated_spans(rows: DataFrame, how: Suffixes, used: list[DataFrame]) -> DataFrame:
+    """row, own, first, last: starts of strings that start elsewhere too, or that such strings cover.
+
+    used gets the tables from which they are read.
+    """
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        used.append(store(df, name))
+        return used[-1]
+
     name, where = ["name", "check"], ["row", "own", "anchor", "first", "last"]
-    table = store(blocks(rows, how), "blocks")
+    table = stored(blocks(rows, how), "blocks")
     total = table.count()
     names = table.groupBy(*name).agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct(*where)).alias("at"))
-    names = store(names, "names")
+    names = stored(names, "names")
     found = [mark(table, names, name, how, total)]
     mixed = names.groupBy("bucket").agg(F.count("*").alias("names"), F.min("n").alias("least")).where("names > 1 and least = 1").select("bucket")
     open_ = names.join(mixed, "bucket", "left_semi").select("at.*", "bucket", (F.col("n") > 1).alias("settled"))
@@ -224,20 +238,20 @@ def repeated_spans(rows: DataFrame, how: Suffixes) -> DataFrame:
         out = []
         for base, data, offsets in bt.chunks(texts):  # blocks of a text overlap, so they may have more bytes than it
             own = np.flatnonzero((of >= base) & (of < base + len(offsets) - 1))
-            for part in np.array_split(own, max(1, -(-len(own) // 2048))):
+            for part in np.array_split(own, max(1, -(-len(own) // 512))):
                 if len(part):
                     b = {n: flat.field(n).take(pa.array(part)).to_numpy(zero_copy_only=False) for n in ("anchor", "first", "last", "bucket", "settled")}
                     b |= {n: batch.column(n).to_numpy()[of[part]] for n in ("row", "own")}
                     begin = offsets[of[part] - base]
                     raw, at = gather(data, begin + b["first"], begin + b["last"] + how.length)
-                    out.append(refine(b, raw, at[:-1], how, how.steps[0]))
+                    out.append(refine(b, raw, at[:-1], how, how.cuts[0]))
         return pa.concat_tables(out)
 
     level = map_batches(rows.join(around, ["row", "own"]), read, PIECES, 128)
-    for step in (*how.steps[1:], None):
-        level = store(level, "level")
+    for step in (*how.cuts[1:], None):
+        level = stored(level, "level")
         names = level.groupBy("bucket", *name).agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min(F.struct(*where)).alias("at"))
-        names = store(names, "parts")
+        names = stored(names, "parts")
         found.append(mark(level.where("not settled"), names, ["bucket", *name], how, total))
         if step is None:
             break
@@ -245,14 +259,14 @@ def repeated_spans(rows: DataFrame, how: Suffixes) -> DataFrame:
         mixed = names.groupBy("bucket").agg(F.count("*").alias("names"), F.min(done).alias("done")).where("names > 1 and not done").select("bucket")
         keep = names.join(mixed, "bucket", "left_semi").select("bucket", *name, "at.*", done.alias("done"))
         following = level.drop("settled").join(keep, [*where, "bucket", *name]).withColumnRenamed("done", "settled")
-        level = map_batches(following.select(*HELD, "bytes"), lambda b, s=step: refine_again(b, how, s), PIECES)
+        level = map_batches(following.select(*HELD, "bytes"), lambda b, s=step: refine_again(b, how, s), PIECES, 256)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-CUTS = "doc_id bigint, row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept_text string"
+CUTS = "doc_id bigint, row bigint, n_bytes bigint, n_removed bigint, n_repeated bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept_text string"
 
 
 def merged(spans: list[dict], length: int) -> list[list[int]]:
@@ -277,21 +291,68 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def ranges_of(found: DataFrame, length: int) -> DataFrame:
+    """row, own, and the disjoint byte ranges of the repeated strings of each row."""
+    held = found.groupBy("row", "own").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+
+    def step(batch: pa.RecordBatch) -> pa.Table:
+        ranges = [[{"start": a, "end": b} for a, b in merged(x, length)] for x in batch.column(2).to_pylist()]
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table([batch.column(0), batch.column(1), pa.array(ranges, kind)], ["row", "own", "ranges"])
+
+    return map_batches(held, step, f"{ROW}, ranges array<struct<start:bigint,end:bigint>>")
+
+
+def repeated_within(rows: DataFrame, shorter: DataFrame, how: Suffixes, used: list[DataFrame]) -> DataFrame:
+    """Like repeated_spans, looked for only in the ranges of repeated shorter strings: all that a long string consists of repeats with it."""
+    place = F.xxhash64("own", "at.start")  # tells the ranges of a row apart
+    ranges = shorter.select("row", "own", F.explode("ranges").alias("at")).where(F.col("at.end") - F.col("at.start") >= how.length).select("row", "own", place.alias("place"), "at.start", "at.end")
+    ranges = store(ranges.distinct(), "ranges")
+    per_row = ranges.groupBy("row", "own").agg(F.collect_list(F.struct("place", "start", "end")).alias("ranges"))
+
+    def cut_out(batch: pa.RecordBatch) -> pa.Table:
+        row, place, raw = [], [], []
+        for key, text, held in zip(*(batch.column(n).to_pylist() for n in ("row", "text", "ranges"))):
+            whole = text.encode()
+            row += [key] * len(held)
+            place += [x["place"] for x in held]
+            raw += [whole[x["start"] : x["end"]] for x in held]
+        return pa.table([pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["row", "own", "text"])
+
+    parts = store(map_batches(rows.join(per_row, ["row", "own"]), cut_out, f"{ROW}, text binary", 64), "parts-of-texts")
+    used.append(parts)
+    found = repeated_spans(parts, how, used).withColumnRenamed("own", "place")
+    return found.join(ranges, ["row", "place"]).select("row", "own", (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last"))
+
+
+def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), report: int | None = None) -> DataFrame:
     """For every row its removed byte ranges, the hash of the bytes kept, the text that is left, and columns to carry along.
 
     kept_text keeps a character of which a range covers only some bytes; the hash does not.
+    With report, a shorter length, n_repeated is how many bytes lie in strings of that length
+    that also start elsewhere: they are told of, and stay.  Without, it is n_removed.
     """
     ids = F.col(doc).cast("bigint")
     rows = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(-(2**63))).alias("own"), row_key(doc, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
-    found = repeated_spans(rows.select("row", "own", "text").where(F.octet_length("text") >= how.length), how)
-    spans = found.groupBy("row", "own").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    texts, used = rows.select("row", "own", "text"), []
+    if report:
+        short = replace(how, length=report)
+        shorter = store(ranges_of(repeated_spans(texts.where(F.octet_length("text") >= report), short, used), report), "shorter")
+        forget(used)
+        length = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+        spans = ranges_of(repeated_within(texts, shorter, how, used), how.length)
+        spans = shorter.select("row", "own", length.alias("n_repeated")).join(spans, ["row", "own"], "left")
+    else:
+        spans = ranges_of(repeated_spans(texts.where(F.octet_length("text") >= how.length), how, used), how.length)
+        spans = spans.withColumn("n_repeated", F.lit(None).cast("bigint"))
+    spans = store(spans, "spans")
+    forget(used)
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         out = []
-        for doc_id, row, text, held in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row", "text", "found"))):
+        for doc_id, row, text, held, repeated in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "row", "text", "ranges", "n_repeated"))):
             raw = text.encode()
-            ranges = merged(held or [], how.length)
+            ranges = [(x["start"], x["end"]) for x in held or []]
             kept, chars, at, from_ = hashlib.sha256(), [], 0, 0
             for a, b in ranges:
                 kept.update(raw[at:a])
@@ -301,9 +362,10 @@ def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes(), doc: str = "doc_
                 from_ = y
             kept.update(raw[at:])
             chars.append(raw[from_:])
-            out.append((doc_id, row, len(raw), sum(b - a for a, b in ranges), len(ranges), [{"start": a, "end": b} for a, b in ranges], kept.hexdigest(), b"".join(chars).decode()))
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
-        names = ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"]
+            gone = sum(b - a for a, b in ranges)
+            out.append((doc_id, row, len(raw), gone, repeated or gone, len(ranges), [{"start": a, "end": b} for a, b in ranges], kept.hexdigest(), b"".join(chars).decode()))
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
+        names = ["doc_id", "row", "n_bytes", "n_removed", "n_repeated", "n_spans", "spans", "kept_sha256", "kept_text"]
         return pa.table([*(pa.array(list(c), k) for c, k in zip(zip(*out), kinds)), *map(batch.column, carry)], [*names, *carry])
 
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
