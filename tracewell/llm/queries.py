@@ -52,8 +52,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), report=256)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,23 @@ least as (select a as doc_id, min(b) as component_id from reached group by 1)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from docs left join sizes using (doc_id) join least using (doc_id)
 """
 
+SUFFIXES = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+places as (select doc_id, i, hash(substr(h, 2 * i + 1, 800)) as x from (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) as i from docs where length(h) >= 800)),
+again as (select x from places group by x having count(*) > 1),
+starts as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 400, true) as apart from places semi join again using (x)),
+spans as (select doc_id, run, min(i) as a, max(i) + 400 as b from (select doc_id, i, sum(apart::int) over (partition by doc_id order by i) as run from starts) group by 1, 2),
+pieces as (select doc_id, lag(b, 1, 0) over (partition by doc_id order by a) as a, a as b from spans union all select doc_id, max(b), null from spans group by 1),
+kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a) as k from pieces join docs using (doc_id) group by 1),
+removed as (select doc_id, sum(b - a)::bigint as n, count(*) as spans from spans group by 1),
+short as (select doc_id, i, hash(substr(h, 2 * i + 1, 512)) as x from (select doc_id, h, unnest(range(0, length(h) // 2 - 255)) as i from docs where length(h) >= 512)),
+short_again as (select x from short group by x having count(*) > 1),
+covered as (select doc_id, least(256, coalesce(lead(i) over (partition by doc_id order by i) - i, 256)) as c from short semi join short_again using (x)),
+repeated as (select doc_id, sum(c)::bigint as r from covered group by 1)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256, coalesce(r, 0) as n_repeated
+from docs left join kept using (doc_id) left join removed using (doc_id) left join repeated using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES}
+    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": SUFFIXES}
