@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
+from . import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup
 from .tables import held_out
 
 
@@ -63,8 +63,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id, op11_prefix_trie)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,6 +115,29 @@ select doc_id, length(h) // 2 as n_bytes, coalesce(n, 0) as n_removed, coalesce(
 from docs left join kept using (doc_id) left join removed using (doc_id) left join repeated using (doc_id)
 """
 
+#: The register of CRC-32 after the bytes of a short text of ASCII characters.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: ord({0}[i]))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+with placed as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as place, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+lists as (select conv_id, conv_id - conv_id % 20 as base, {CRC32.format("cast(conv_id as varchar)")} % 4 as h from (select distinct conv_id from placed)),
+turns as (select lists.conv_id, 0 as part, place, role, text from lists join placed on placed.conv_id = base and place <= h union all select conv_id, 1, place, role, text from placed join lists using (conv_id) where place > h),
+every as (select conv_id, row_number() over w as depth, text, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, ',') over w) as prefix from turns window w as (partition by conv_id order by part, place)),
+sized as (select lists.conv_id, count(depth) as size from lists left join every using (conv_id) group by 1),
+members as (select conv_id, depth, prefix, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from every union all select conv_id, 0, '', 0 from lists),
+nodes as (select depth, prefix, min(conv_id) as owner, count(*) as n_convs, (count(*) - 1) * max(words) as saved from members group by 1, 2),
+owned as (select conv_id, depth, prefix, owner, n_convs, saved from members join nodes using (depth, prefix)),
+children as (select above.prefix, above.depth, count(*) as n_children from nodes join owned on owned.conv_id = nodes.owner and owned.depth = nodes.depth join owned above on above.conv_id = nodes.owner and above.depth = nodes.depth - 1 group by 1, 2),
+own as (select owned.conv_id, owned.depth, sum(case when owner = owned.conv_id then saved else 0 end) over below as saved, sum(case when owner = owned.conv_id and n_children is null then 1 else 0 end) over below as leaves
+  from owned left join children using (depth, prefix) window below as (partition by owned.conv_id order by owned.depth desc)),
+sums as (select depth, prefix, sum(own.saved) as saved, sum(leaves) as leaves from own join members using (conv_id, depth) group by 1, 2),
+ends as (select depth, prefix, string_agg(conv_id::varchar, ',' order by conv_id) as ids from members join sized using (conv_id) where depth = size group by 1, 2)
+select owner as conv_id, nodes.depth::bigint as depth, (select above.owner from owned above where above.conv_id = nodes.owner and above.depth = nodes.depth - 1) as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children,
+  sums.leaves::bigint as n_leaves, sums.saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes join sums using (depth, prefix) left join children using (depth, prefix) left join ends using (depth, prefix)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": SUFFIXES}
+    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": SUFFIXES, "op11_prefix_trie": PREFIX_TRIE}
