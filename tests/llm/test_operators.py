@@ -169,7 +169,7 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 def test_license_scan_whole_licences(spark):
     texts = [f"Copyright (c) 2025 A\n\n{MIT}\n\ncode()", f"{MIT}\n-----\n{BSD}", f"/* {BSD} */"]
-    assert len(brute.ALNUM_WORD.findall(texts[1])) > 230
+    assert len(brute.ALNUM_WORD.findall(texts[1])) > 150
     got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["labels"] for r in got] == ["mit", "bsd,mit", "bsd"]
 

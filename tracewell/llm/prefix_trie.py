@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from ..operators.scans import running
 from .tables import store
 
-MOST_HOT = 10_000
+MOST_HOT = 10_000  # rows of a broadcast list
+LEAST_HOT = 1000  # that many askers one task can serve
 BLOCK = 4096  # turns or ids in what one row of a join or one string of ids stands for
 
 
@@ -109,7 +110,7 @@ def bottom_up(chains: DataFrame) -> DataFrame:
         total = asked.agg(F.sum("n")).first()[0]
         if not total:
             return table
-        often = F.col("n") > max(1000, total // MOST_HOT)
+        often = F.col("n") > max(LEAST_HOT, total // MOST_HOT)
         above = table.select(F.col("conv_id").alias("up"), F.col("up").alias("next")).join(asked.select("up", "n"), "up")
         gained = table.join(asked.select(F.col("up").alias("conv_id"), "more_saved", "more_leaves"), "conv_id", "left")
         moved = gained.select("conv_id", "up", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("saved", "leaves")))
@@ -156,7 +157,7 @@ def trie(conversations: DataFrame, how: Rebuild = Rebuild()) -> DataFrame:
     longest = lists.agg(F.max("size")).first()[0] or 0
     found = store(first_owned(lists, nodes.select(F.col("owner").alias("conv_id"), "depth"), longest), "first_owned")
     rows = minima.agg(F.sum("n_convs")).first()[0] or 0
-    often = F.col("n_convs") > max(1000, rows // MOST_HOT)
+    often = F.col("n_convs") > max(LEAST_HOT, rows // MOST_HOT)
     asked = found.where("first > 1").select("conv_id", (F.col("first") - 1).alias("depth")).join(every, ["conv_id", "depth"])
     above = look_up(store(asked.select("conv_id", *digest), "asked"), minima.select(*digest, "owner", "n_convs"), digest, often, ~often).select("conv_id", "owner")
     top = found.where("first = 1").crossJoin(F.broadcast(root.select("owner"))).select("conv_id", "owner")  # one row

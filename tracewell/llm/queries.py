@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup
+from . import chat_format, decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup, whitening
 from .tables import held_out
 
 
@@ -67,8 +67,23 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+#: A conversation that is formatted beside those of the table.
+TRYING = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    trying = F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(row, columns))) for row in TRYING)))
+    chats = read(spark, sf_dir, "conversations").select(*columns).unionByName(spark.range(1).select(trying))
+    return chat_format.digests(chat_format.format_chats(chats))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_quality_classifier, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_decontaminate, op7_packing, op8_minhash_dedup, op9_suffix_dedup, op10_language_id, op11_prefix_trie, op12_whitening, op13_chat_format)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,6 +153,15 @@ select owner as conv_id, nodes.depth::bigint as depth, (select above.owner from
 from nodes join sums using (depth, prefix) left join children using (depth, prefix) left join ends using (depth, prefix)
 """
 
+CHAT_FORMAT = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (select *, 4 + length(role) + 2 * len(regexp_extract_all(role, '[%:\n#<\\]')) + 2 + length(text) + len(regexp_extract_all(text, '###|</turn>')) + 9 as chars from turns),
+whole as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as every,
+  coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '') as loss, sum(chars)::bigint as formatted_chars from sized group by 1)
+select conv_id, n_turns, sha256(every) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from whole
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": SUFFIXES, "op11_prefix_trie": PREFIX_TRIE}
+    return {"op6_decontaminate": DECONTAMINATE, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": SUFFIXES, "op11_prefix_trie": PREFIX_TRIE, "op13_chat_format": CHAT_FORMAT}
