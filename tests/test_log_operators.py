@@ -58,6 +58,19 @@ def test_pairing_one_dense_key(spark):
     assert sorted(got, key=repr) == sorted(two_cursors(*sides, 5), key=repr)
 
 
+def test_pairing_an_odd_event_before_many_chunks(spark):
+    """Every pair of a long row depends on the first event; the jobs run do not grow with the chunks that it passes."""
+    jobs = []
+    for n in (10, 1100):
+        sides = [[(0, -1)] + [(4 + 8 * k, k) for k in range(5 * n)], [(8 + 8 * k, k) for k in range(5 * n)]]  # chunks of 40: five of either side in each
+        a, b = (spark.createDataFrame([("x", *e) for e in s], "k string, t long, id long") for s in sides)
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        got = [tuple(x) for x in pairing.pair(a, b, ["k"], 5, 8).select("a_id", "b_id").collect()]
+        assert sorted(got, key=repr) == sorted(two_cursors(*sides, 5), key=repr)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before)
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_log_blocks_and_fields(spark, tmp_path):
     (tmp_path / "x.log").write_text(LOG)
     whole = spark.createDataFrame([("f", LOG), ("g", ""), ("h", "no header")], "file string, text string")

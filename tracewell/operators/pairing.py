@@ -2,13 +2,17 @@
 
 Per key, both sides are walked in time order: if the two next events are no more than the
 tolerance apart they are a pair, else the earlier one stays alone.  So the walk carries a
-queue of events of one side, none older than the tolerance.
-
-A key's time is cut into chunks many tolerances wide, which are walked apart from each
-other, event by event: a key with a third of all events is spread over its chunks.  What
-waits at a chunk's end goes to the next chunk, and the chunks to which something else comes
-than before are walked again, until none is.  As a queue is soon used up or outdated, that
-is a few chunks, and a few rounds.
+queue of events of one side, none older than the tolerance, and these are always the last
+ones of that side: a number m, above zero for the first side and below for the second, tells
+all.  An event bounds m by how many of either side are recent enough, and moves it by one.
+
+A key's time is cut into chunks many tolerances wide, so that a key with a third of all
+events is spread over its chunks.  Each chunk also gets the events that may wait at its
+start.  What it makes of any m is m + shift, bounded from both sides: three numbers, which
+two walks find, from all and from none of either side that may wait.  Such functions are
+composed in a tree over a key's chunks; then it is known with what m each chunk begins, and
+each is walked once more, for its pairs.  There are no rounds: the work does not depend on
+how far an odd event makes itself felt.
 
 An event without a time comes after all of its side that have one.  Once one side's times
 are used up, what is left of both sides is paired by position as long as one of the two has
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from ..shared import store
 
-CHUNK = 1024  # tolerances in a chunk
+CHUNK = 64  # tolerances in a chunk
+FAN, LEVELS = 256, 2  # of the tree over a key's chunks
 PLACES = ["a_id", "b_id", "a_t", "b_t"]
 
 
@@ -53,75 +58,157 @@ def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int, chunk: int
 
 def walked(events: DataFrame, key: list[str], tolerance: int, width: int) -> DataFrame:
     """Pairs and lone events of events that have a time."""
-    at = ["who", "chunk"]
-    timed = events.select(F.struct(*key).alias("who"), F.floor(F.col("t") / width).alias("chunk"), F.col("t").cast("bigint").alias("t"), "side", F.col("id").cast("bigint").alias("id"))
-    said, came = store(walk(timed, tolerance, width), "pairs"), None
-    while True:
-        waits = said.where("waits").select("who", (F.col("chunk") + 1).alias("chunk"), F.coalesce("a_t", "b_t").alias("t"), F.when(F.col("a_id").isNotNull(), 0).otherwise(1).alias("side"), F.coalesce("a_id", "b_id").alias("id"))
-        now = waits.groupBy(*at).agg(F.sum(F.xxhash64("t", "side", "id").cast("decimal(38)")).alias("sum"), F.count("*").alias("n"))
-        if came is None:
-            anew = now.select(*at)
-        else:
-            was = came.withColumnRenamed("sum", "old").withColumnRenamed("n", "held")
-            anew = now.join(was, at, "full").where(~(F.col("sum").eqNullSafe(F.col("old")) & F.col("n").eqNullSafe(F.col("held")))).select(*at)
-        anew, came = store(anew, "anew"), store(now, "came")
-        if anew.isEmpty():
-            break
-        again = timed.join(anew, at, "left_semi").unionByName(waits.join(anew, at, "left_semi"))
-        said = store(said.join(anew, at, "left_anti").unionByName(walk(again, tolerance, width)), "pairs")
-    return said.where("not waits").select("who.*", *PLACES)
+    width = max(width, 2 * tolerance)  # what waits at a chunk's end is settled in the next
+    chunk = F.floor(F.col("t") / width)
+    chunks = F.when(F.col("t") >= (chunk + 1) * width - tolerance, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    rows = events.select(F.struct(*key).alias("who"), F.col("t").cast("bigint").alias("t"), "side", F.col("id").cast("bigint").alias("id"))
+    dealt = rows.select("who", F.explode(chunks).alias("chunk"), "t", "side", "id")
+    begin = starts(store(transfers(dealt, tolerance, width), "transfers"))
+    return walk(dealt.join(begin, ["who", "chunk"]), tolerance, width).select("who.*", *PLACES)
+
+
+def transfers(events: DataFrame, tolerance: int, width: int) -> DataFrame:
+    """who, chunk and shift, low and high: a chunk that begins with m ends with m + shift, but at least low and at most high."""
+    dealt = sorted_chunks(events.select("who", "chunk", "t", "side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: tuple[deque, deque] = deque(), deque()  # of times, by side
+        ends: list = []  # m and queue of the walks
+        shift, heads, off = 0, None, 0
+
+        def close() -> tuple[int, int, int]:
+            return shift, *sorted((at(ends[0]), at(ends[-1])) if ends else (-len(waiting[1]), len(waiting[0])))
+
+        def at(end: list) -> int:
+            return len(end[1]) if end[0] == 0 else -len(end[1])
+
+        for heads, off, early, batch in in_chunks(batches, width):
+            out = []
+            for i, (begins, waits, t, side) in enumerate(zip(*early, *(batch.column(n).to_pylist() for n in ("t", "side")))):
+                if begins:
+                    if i + off:
+                        out.append((i + off - 1, *close()))
+                    waiting, ends, shift = (deque(), deque()), [], 0
+                if waits:
+                    waiting[side].append(t)
+                    continue
+                ends = ends or [[1, waiting[1]], [0, waiting[0]]]
+                shift += 1 if side == 0 else -1
+                for end in ends:
+                    queue = end[1]
+                    while queue and t - queue[0] > tolerance:
+                        queue.popleft()
+                    if queue and end[0] != side:
+                        queue.popleft()
+                    else:
+                        end[0] = side
+                        queue.append(t)
+                if len(ends) == 2 and at(ends[0]) == at(ends[1]):
+                    ends.pop()  # from here on the start makes no difference
+            yield told(heads, out)
+        if heads is not None:
+            yield told(heads, [(len(heads[1]) - 1, *close())])
+
+    def told(heads: tuple, rows: list) -> pa.RecordBatch:
+        where, *values = zip(*rows) if rows else [()] * 4
+        return pa.record_batch([*(h.take(pa.array(where, pa.int64())) for h in heads), *(pa.array(v, pa.int64()) for v in values)], ["who", "chunk", "shift", "low", "high"])
+
+    return dealt.mapInArrow(run, f"who {dict(events.dtypes)['who']}, chunk bigint, shift bigint, low bigint, high bigint")
+
+
+def after(m: Column, f: Column) -> Column:
+    return F.greatest(F.least(m + f["shift"], f["high"]), f["low"])
+
+
+def starts(chunks: DataFrame) -> DataFrame:
+    """who, chunk and m, with which each chunk begins: composed upwards in a tree of FAN, and handed down."""
+    levels, f = [], ["shift", "low", "high"]
+    for level in range(LEVELS + 1):
+        group = ["who", *([F.floor(F.col("chunk") / FAN).alias("parent")] if level < LEVELS else [])]
+        parts = chunks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("chunk", *f))).alias("parts"))
+        levels.append(parts)
+        none = F.struct(*(F.lit(v).cast("bigint").alias(n) for n, v in zip(f, (0, -(2**62), 2**62))))
+        whole = F.aggregate("parts", none, lambda x, p: F.struct((x["shift"] + p["shift"]).alias("shift"), after(x["low"], p).alias("low"), after(x["high"], p).alias("high")))
+        if level < LEVELS:
+            chunks = parts.select("who", F.col("parent").alias("chunk"), whole.alias("f")).select("who", "chunk", "f.*")
+    state = levels[-1].withColumn("m", F.lit(0).cast("bigint"))
+    for level in range(LEVELS, -1, -1):
+        first = F.struct(F.col("m").alias("m"), F.array().cast("array<bigint>").alias("all"))
+        every = F.aggregate("parts", first, lambda x, p: F.struct(after(x["m"], p).alias("m"), F.concat(x["all"], F.array(x["m"])).alias("all")))["all"]
+        state = state.select("who", F.explode(F.arrays_zip(F.col("parts.chunk").alias("chunk"), every.alias("m"))).alias("x")).select("who", "x.*")
+        if level:
+            state = state.withColumnRenamed("chunk", "parent").join(levels[level - 1], ["who", "parent"])
+    return state
+
+
+def sorted_chunks(events: DataFrame) -> DataFrame:
+    order = ["who", "chunk", "t", "side", *(["id"] if "id" in events.columns else [])]
+    return events.repartition("who", "chunk").sortWithinPartitions(*order)
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """Batches with their keys and chunks, those of the row before in front; how many those are; and which rows begin a chunk, and which come from before it."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = batch.column("who"), batch.column("chunk")
+        if last is not None:
+            heads = tuple(pa.concat_arrays([x, y]) for x, y in zip(last, heads))
+        off = len(heads[1]) - batch.num_rows
+        new = np.concatenate([[True], changes(*heads)])[off:]
+        early = batch.column("t").to_numpy() < batch.column("chunk").to_numpy() * width
+        yield heads, off, (new.tolist(), early.tolist()), batch
+        last = tuple(h.slice(len(h) - 1) for h in heads)
 
 
 def walk(events: DataFrame, tolerance: int, width: int) -> DataFrame:
-    """who, chunk, the pair's or lone event's ids and times, and whether an event waits for the next chunk."""
-    kinds = dict(events.dtypes)
-    order = ["who", "chunk", "t", "side", "id"]
-    dealt = events.select(*order).repartition("who", "chunk").sortWithinPartitions(*order)
+    """who and the pair's or lone event's ids and times; an event that waits at a chunk's end is told of by the next chunk."""
+    dealt = sorted_chunks(events.select("who", "chunk", "t", "side", "id", "m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue: deque = deque()  # (t, side, id)
-        last = None  # the key and chunk of the row before, as arrays of one row
-
-        def end(number: int, rows: list, where: int) -> None:
-            for t, side, own in queue:
-                lone = (own, None, t, None) if side == 0 else (None, own, None, t)
-                rows.append((where, *lone, t >= (number + 1) * width - tolerance))
-            queue.clear()
-
-        def table(heads: tuple, rows: list) -> pa.RecordBatch:
-            where, *values, waits = zip(*rows) if rows else [()] * 6
-            index = pa.array(where, pa.int64())
-            return pa.record_batch([*(h.take(index) for h in heads), *(pa.array(v, pa.int64()) for v in values), pa.array(waits, pa.bool_())], ["who", "chunk", *PLACES, "waits"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            heads = batch.column("who"), batch.column("chunk")
-            if last is not None:
-                heads = tuple(pa.concat_arrays([x, y]) for x, y in zip(last, heads))
-            off = len(heads[1]) - batch.num_rows  # heads of the row before come first
-            chunk = heads[1].to_numpy()
-            new = np.concatenate([[True], changes(*heads)])[off:]
+        waiting: tuple[list, list] = [], []
+        queue: deque | None = None  # (t, side, id)
+        heads, start = None, 0
+
+        def begun() -> deque:
+            own = waiting[0] if start > 0 else waiting[1]
+            return deque(own[len(own) - min(abs(start), len(own)) :])
+
+        def lone(where: int, t: int, side: int, own: int) -> tuple:
+            return (where, own, None, t, None) if side == 0 else (where, None, own, None, t)
+
+        def end(where: int) -> list:
+            edge = (heads[1][where].as_py() + 1) * width - tolerance
+            return [lone(where, *e) for e in (begun() if queue is None else queue) if e[0] < edge]
+
+        for heads, off, early, batch in in_chunks(batches, width):
             rows: list = []
-            for i, (begins, t, side, own) in enumerate(zip(new.tolist(), *(batch.column(n).to_pylist() for n in ("t", "side", "id")))):
-                if begins and queue:
-                    end(int(chunk[i + off - 1]), rows, i + off - 1)
+            for i, (begins, waits, t, side, own, m) in enumerate(zip(*early, *(batch.column(n).to_pylist() for n in ("t", "side", "id", "m"))), off):
+                if begins:
+                    if i:
+                        rows += end(i - 1)
+                    waiting, queue, start = ([], []), None, m
+                if waits:
+                    waiting[side].append((t, side, own))
+                    continue
+                queue = begun() if queue is None else queue
                 while queue and t - queue[0][0] > tolerance:
-                    s, other, x = queue.popleft()
-                    rows.append((i + off, *((x, None, s, None) if other == 0 else (None, x, None, s)), False))
+                    rows.append(lone(i, *queue.popleft()))
                 if queue and queue[0][1] != side:
                     s, other, x = queue.popleft()
-                    rows.append((i + off, *((x, own, s, t) if other == 0 else (own, x, t, s)), False))
+                    rows.append((i, x, own, s, t) if other == 0 else (i, own, x, t, s))
                 else:
                     queue.append((t, side, own))
-            yield table(heads, rows)
-            last = tuple(h.slice(len(h) - 1) for h in heads)
-        if queue:
-            rows = []
-            end(last[1][0].as_py(), rows, 0)
-            yield table(last, rows)
-
-    return dealt.mapInArrow(run, f"who {kinds['who']}, chunk bigint, a_id bigint, b_id bigint, a_t bigint, b_t bigint, waits boolean")
+            yield table(heads[0], rows)
+        if heads is not None:
+            yield table(heads[0], end(len(heads[1]) - 1))
+
+    def table(who: pa.StructArray, rows: list) -> pa.RecordBatch:
+        where, *values = zip(*rows) if rows else [()] * 5
+        return pa.record_batch([who.take(pa.array(where, pa.int64())), *(pa.array(v, pa.int64()) for v in values)], ["who", *PLACES])
+
+    return dealt.mapInArrow(run, f"who {dict(events.dtypes)['who']}, a_id bigint, b_id bigint, a_t bigint, b_t bigint")
 
 
 def changes(who: pa.StructArray, chunk: pa.Array) -> np.ndarray:
