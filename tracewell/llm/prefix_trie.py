@@ -149,18 +149,18 @@ def trie(conversations: DataFrame, how: Rebuild = Rebuild()) -> DataFrame:
     every = prefixes(turns)
     digest = ["depth", "s1", "s2"]
     minima = store(every.groupBy(*digest).agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"), F.max("words").alias("words")), "minima")
-    root = lists.agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs")).where("n_convs > 0")
+    least, n, longest = lists.agg(F.min("conv_id"), F.count("*"), F.max("size")).first()
+    root = every.sparkSession.createDataFrame([(least, n)] if n else [], "owner bigint, n_convs bigint")
     nodes = minima.select("owner", "depth", "n_convs", ((F.col("n_convs") - 1) * F.col("words")).alias("saved"))
     zero = F.lit(0).cast("bigint")
     nodes = nodes.unionByName(root.select("owner", zero.alias("depth"), "n_convs", zero.alias("saved")))
 
-    longest = lists.agg(F.max("size")).first()[0] or 0
-    found = store(first_owned(lists, nodes.select(F.col("owner").alias("conv_id"), "depth"), longest), "first_owned")
+    found = store(first_owned(lists, nodes.select(F.col("owner").alias("conv_id"), "depth"), longest or 0), "first_owned")
     rows = minima.agg(F.sum("n_convs")).first()[0] or 0
     often = F.col("n_convs") > max(LEAST_HOT, rows // MOST_HOT)
     asked = found.where("first > 1").select("conv_id", (F.col("first") - 1).alias("depth")).join(every, ["conv_id", "depth"])
     above = look_up(store(asked.select("conv_id", *digest), "asked"), minima.select(*digest, "owner", "n_convs"), digest, often, ~often).select("conv_id", "owner")
-    top = found.where("first = 1").crossJoin(F.broadcast(root.select("owner"))).select("conv_id", "owner")  # one row
+    top = found.where("first = 1").select("conv_id", F.lit(least).cast("bigint").alias("owner"))
     hung = store(found.join(above.unionByName(top), "conv_id", "left").withColumnRenamed("owner", "up"), "hung")  # up: the owner one above the first owned depth
 
     ends = hung.select(F.when(F.col("first") <= F.col("size"), F.col("conv_id")).otherwise(F.col("up")).alias("owner"), F.col("size").alias("depth"), "conv_id")
