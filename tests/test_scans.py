@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import scans
+from tracewell.operators import joins, scans
 
 
 @pytest.mark.parametrize("tasks", [1, 7, 40])
@@ -22,6 +22,10 @@ def test_running_equals_windows(spark, tasks):
         want = frame.withColumn("total", F.sum(F.coalesce("v", F.lit(0))).over(w)).withColumn("nth", F.row_number().over(w))
         assert got.columns == want.columns
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+        before = Window.partitionBy(*key).orderBy(F.col("t").desc(), "id")
+        got = scans.previous(frame, key, [F.col("t").desc(), "id"], {"v0": F.col("v"), "row": F.col("id")}, tasks)
+        want = frame.withColumn("v0", F.lag("v").over(before)).withColumn("row", F.lag("id").over(before))
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
 def test_running_ties_and_empty(spark):
@@ -29,3 +33,29 @@ def test_running_ties_and_empty(spark):
     got = scans.running(frame, ["k"], ["t"], {"nth": F.lit(1)}, 8)
     assert sorted(r["nth"] for r in got.collect()) == list(range(1, 301))
     assert scans.running(frame.limit(0), ["k"], ["t"], {"nth": F.lit(1)}).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_components_and_roots(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "LEAST_HOT", hot)
+    r = random.Random(9)
+    links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(60)] + [(7, 7)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        reach = [node]
+        while reach:
+            x = reach.pop()
+            if x not in want:
+                want[x] = want.get(node, node)
+                reach += near[x]
+    got = {x["node"]: x["root"] for x in joins.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+    up = {k: k if k % 50 == 0 else max(k - r.choice([1, 1, 7, 40]), k // 50 * 50) for k in range(400)}
+    top = lambda k: k if up[k] == k else top(up[k])
+    found = joins.roots(spark.createDataFrame(list(up.items()), "node long, up long")).collect()
+    assert {x["node"]: x["root"] for x in found} == {k: top(k) for k in up}
+    assert joins.components(spark.createDataFrame([], "a long, b long")).collect() == []

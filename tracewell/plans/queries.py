@@ -224,12 +224,36 @@ def identified(spark, sf_dir):
     )
 
 
-@query()
+IDENTIFIED = (
+    "with recursive ids as (select *, case when event_type='click' then distributed + 1000 end radio from (select strftime(ts, '%Y-%m-%d') run, event_id, event_type, case when event_type<>'view' then user_id end central, "
+    "cast(json_extract(props,'$.k') as bigint) distributed from events)), named as (select * from ids where central is not null or distributed is not null or radio is not null), "
+)
+
+
+@query(
+    IDENTIFIED + "pointed as (select *, case when central is not null and event_id > min(event_id) over (partition by run, central) then min(event_id) over (partition by run, central) "
+    "when distributed is not null then lag(event_id) over (partition by run, distributed order by event_id) end up from named), "
+    "reached as (select run, event_id, event_id root from pointed where up is null union all select p.run, p.event_id, root from pointed p join reached r on p.run=r.run and p.up=r.event_id) "
+    "select run, min(event_id) \"first\", arg_min(central, event_id) filter (central is not null) central_id, coalesce(string_agg(distinct distributed::varchar, ',' order by distributed::varchar), '') distributed_ids, "
+    "coalesce(string_agg(distinct radio::varchar, ',' order by radio::varchar), '') radio_ids from reached join pointed using (run, event_id) group by run, root"
+)
 def q25_ordered_clusters(spark, sf_dir):
-    return identity.ordered_clusters(identified(spark, sf_dir), "run", "event_id", "central", "distributed", "radio")
+    found = identity.ordered_clusters(identified(spark, sf_dir), "run", "event_id", "central", "distributed", "radio")
+    text = [F.array_join(F.array_sort(F.col(c).cast("array<string>")), ",").alias(c) for c in ("distributed_ids", "radio_ids")]
+    return found.select("run", "first", "central_id", *text)
 
 
-@query()
+@query(
+    IDENTIFIED + "numbered as (select *, row_number() over (partition by run order by event_id) i from named), "
+    "steps as (select distinct run, 0::bigint i, 0::bigint opened, []::struct(r bigint, c bigint, d bigint, x bigint)[] active, null::bigint \"at\", null::struct(r bigint, c bigint, d bigint, x bigint) told, null::varchar event from named "
+    "union all select run, i, case when opens then opened + 1 else opened end, case when releases then list_filter(active, lambda a: a.r is distinct from hit.r) when opens then list_append(active, held) else list_transform(active, lambda a: case when a.r = hit.r then held else a end) end, "
+    "event_id, case when releases then hit when held is distinct from hit then held end, case when not releases then 'changed' when hit is not null then 'released' end from "
+    "(select *, not releases and (hit is null or event_type='signup') opens, case when not releases and (hit is null or event_type='signup') then {'r': opened, 'c': central, 'd': distributed, 'x': radio} "
+    "else {'r': hit.r, 'c': coalesce(central, hit.c), 'd': coalesce(distributed, hit.d), 'x': coalesce(radio, hit.x)} end held from "
+    "(select e.*, s.opened, s.active, event_type='error' releases, list_filter(s.active, lambda a: coalesce(a.c=e.central, false) or coalesce(a.d=e.distributed, false) or coalesce(a.x=e.radio, false))[1] hit "
+    "from steps s join numbered e on e.run=s.run and e.i=s.i+1))) "
+    "select run, \"at\", told.r record, event, told.c central, told.d distributed, told.x radio from steps where told is not null"
+)
 def q25_lifecycles(spark, sf_dir):
     return identity.lifecycles(identified(spark, sf_dir), "run", "event_id", "event_type", ["central", "distributed", "radio"], {"signup"}, {"error"})
 
