@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import chat_format, prefix_trie, queries, whitening
+from tracewell.operators import joins
 
 CHATS = "conv_id long, turn long, role string, text string, owner long, words string, digest string"
 
@@ -77,7 +78,7 @@ NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves
 
 @pytest.mark.parametrize("seed,deep,hot", [(1, False, 1000), (2, True, 2)])
 def test_prefix_trie(spark, monkeypatch, seed, deep, hot):
-    monkeypatch.setattr(prefix_trie, "LEAST_HOT", hot)
+    monkeypatch.setattr(joins, "LEAST_HOT", hot)
     rows = chats(seed, deep)
     got = prefix_trie.trie(spark.createDataFrame(rows, CHATS).repartition(3))
     assert got.columns == NODE

@@ -9,8 +9,8 @@ A chain hangs on the node above its first one.  What hangs on a chain is summed
 steps of 1, 2, 4, ... chains at once, so a tree of chains of any height takes few rounds, and
 then along each chain.
 
-Nodes that very many conversations share are looked up by broadcast, in a list of at most
-MOST_HOT rows, so that a first turn of a third of all conversations fills no one task; other
+Nodes that very many conversations share are looked up by broadcast, in a list of
+bounded size, so that a first turn of a third of all conversations fills no one task; other
 joins are by keys that are spread.  That a node's members that end there are hashed in one
 stream is SHA-256's nature; it gets their ids in sorted blocks and holds one batch of them.
 
@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import look_up, often_asked
 from ..operators.scans import running
 from .tables import store
 
-MOST_HOT = 10_000  # rows of a broadcast list
-LEAST_HOT = 1000  # that many askers one task can serve
 BLOCK = 4096  # turns or ids in what one row of a join or one string of ids stands for
 
 
@@ -84,12 +83,6 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return running(turns, ["conv_id"], ["depth"], lanes).drop("digest")
 
 
-def look_up(left: DataFrame, right: DataFrame, key: list[str], often: Column, rare: Column) -> DataFrame:
-    """left with right's columns, null where there are none; right has a key once, and often and rare part its rows: no more than MOST_HOT are often asked for."""
-    hot = F.broadcast(right.where(often))
-    return left.join(hot.select(*key), key, "left_semi").join(hot, key).unionByName(left.join(hot.select(*key), key, "left_anti").join(right.where(rare), key, "left"))
-
-
 def first_owned(lists: DataFrame, owned: DataFrame, longest: int) -> DataFrame:
     """lists with first, the least depth that a conversation owns, or its size and one more."""
     state = lists.select("conv_id", "size", F.lit(0).cast("bigint").alias("lo"), (F.col("size") + 1).alias("hi"))
@@ -104,17 +97,14 @@ def first_owned(lists: DataFrame, owned: DataFrame, longest: int) -> DataFrame:
 def bottom_up(chains: DataFrame) -> DataFrame:
     """chains (conv_id, up, saved, leaves) with saved and leaves summed over all chains below, in rounds of double reach."""
     table = store(chains, "chains")
-    while True:
+    total = table.count()
+    while not table.where("up is not null").isEmpty():
         asked = table.where("up is not null").groupBy("up").agg(F.count("*").alias("n"), F.sum("saved").alias("more_saved"), F.sum("leaves").alias("more_leaves"))
-        asked = store(asked, "asked")
-        total = asked.agg(F.sum("n")).first()[0]
-        if not total:
-            return table
-        often = F.col("n") > max(LEAST_HOT, total // MOST_HOT)
         above = table.select(F.col("conv_id").alias("up"), F.col("up").alias("next")).join(asked.select("up", "n"), "up")
         gained = table.join(asked.select(F.col("up").alias("conv_id"), "more_saved", "more_leaves"), "conv_id", "left")
         moved = gained.select("conv_id", "up", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("saved", "leaves")))
-        table = store(look_up(moved, above, ["up"], often, ~often).select("conv_id", F.col("next").alias("up"), "saved", "leaves"), "chains")
+        table = store(look_up(moved, above, ["up"], often_asked("n", total)).select("conv_id", F.col("next").alias("up"), "saved", "leaves"), "chains")
+    return table
 
 
 def hashed_ends(ends: DataFrame) -> DataFrame:
@@ -157,9 +147,8 @@ def trie(conversations: DataFrame, how: Rebuild = Rebuild()) -> DataFrame:
 
     found = store(first_owned(lists, nodes.select(F.col("owner").alias("conv_id"), "depth"), longest or 0), "first_owned")
     rows = minima.agg(F.sum("n_convs")).first()[0] or 0
-    often = F.col("n_convs") > max(LEAST_HOT, rows // MOST_HOT)
     asked = found.where("first > 1").select("conv_id", (F.col("first") - 1).alias("depth")).join(every, ["conv_id", "depth"])
-    above = look_up(store(asked.select("conv_id", *digest), "asked"), minima.select(*digest, "owner", "n_convs"), digest, often, ~often).select("conv_id", "owner")
+    above = look_up(store(asked.select("conv_id", *digest), "asked"), minima.select(*digest, "owner", "n_convs"), digest, often_asked("n_convs", rows)).select("conv_id", "owner")
     top = found.where("first = 1").select("conv_id", F.lit(least).cast("bigint").alias("owner"))
     hung = store(found.join(above.unionByName(top), "conv_id", "left").withColumnRenamed("owner", "up"), "hung")  # up: the owner one above the first owned depth
 
