@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +89,8 @@ def evidence(column: Column, n: int = 80) -> Column:
 def has_field(column: Column, name: str) -> Column:
     """Whether a line gives a field name=..."""
     return F.contains(column, F.lit(f"{name}="))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

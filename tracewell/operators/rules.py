@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+from ..shared import store
+
 #: Scope, metric, least value that is too much (exclusive), message.
 THRESHOLDS = (
     ("gnb", "crc_fails", 100.0, "many CRC failures"),
@@ -33,35 +36,41 @@ def phrases(texts: DataFrame, failure: str, text: str, least: int = 12) -> DataF
     return texts.select(F.col(failure).alias("failure"), F.explode(long).alias("phrase"))
 
 
-def _grams(text: Column, n: int) -> Column:
-    """The runs of n characters of a text."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+LENGTHS = (8, 3, 1)  # of the runs of characters by which issues are looked up
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct runs of n characters of a text; the text is cut into characters once."""
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))
+    every = fn.let(F.filter(F.split(text, ""), lambda x: x != ""), lambda c: F.when(F.size(c) >= n, runs(c)))
+    return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
 def match_issues(failures: DataFrame, issues: DataFrame, top: int = 3) -> DataFrame:
     """Best issues (issue, title, body) for failures (failure, phrase): a phrase in the title is tier 1, in the body tier 2.
 
     Case is ignored, and phrases may begin and end within words.  A failure's ties go to the
-    later issue, the one of greater number.  Each different phrase is matched once: it meets
-    the issues that have the rarest of its inner words (the others may be cut off), or of its
-    runs of three characters where it has no inner word, and is then looked for in them.  What
-    is best for a failure is among the best of each of its phrases.
+    later issue, the one of greater number.  Each different phrase is matched once.  Issues are
+    known by their runs of eight characters (of fewer where phrases are shorter), and only the
+    runs that some phrase asks for are kept; a phrase meets the issues that have the rarest of
+    four of its runs, and is then looked for in them.  What is best for a failure is among the
+    best of each of its phrases.
     """
     phrase = F.col("phrase")
     held = failures.select("failure", F.lower("phrase").alias("phrase")).where("phrase <> ''").distinct()
     texts = issues.select("issue", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
-    both = F.concat_ws("\n", "title", "body")
-    index = texts.select("issue", F.explode(F.array_distinct(F.concat(_words(both), *(_grams(both, n) for n in (1, 2, 3))))).alias("token"))
-    inner = F.slice(_words(phrase), F.lit(2), F.greatest(F.size(_words(phrase)) - 2, F.lit(0)))
-    short = F.when(F.length(phrase) < 3, F.array(phrase)).otherwise(_grams(phrase, 3))
-    tokens = held.select("phrase").distinct().select("phrase", F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(short)).alias("tokens"))
+    length = F.coalesce(*(F.when(F.length(phrase) >= n, n) for n in LENGTHS))
+    last = F.length(phrase) - F.col("length")
+    runs = F.array_distinct(F.array(*(F.substr(phrase, F.floor(last * k / 3).cast("int") + 1, F.col("length")) for k in range(4))))
+    tokens = held.select("phrase", length.alias("length")).distinct().select("phrase", "length", runs.alias("tokens"))
+    tokens = store(tokens.select("phrase", "length", F.size("tokens").alias("all"), F.explode("tokens").alias("token")), "tokens")
+    wanted = tokens.select("token").distinct()
+    lengths = F.array(*(F.lit(r[0]) for r in tokens.select("length").distinct().collect())).cast("array<int>")  # no more than LENGTHS
+    both = texts.select("issue", F.concat_ws("\n", "title", "body").alias("text"), F.explode(lengths).alias("length"))
+    index = both.select("issue", F.explode(_grams(F.col("text"), F.col("length"))).alias("token")).join(wanted, "token", "left_semi")
+    index = store(index, "runs")
     often = index.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = tokens.select("phrase", F.size("tokens").alias("all"), F.explode("tokens").alias("token")).join(often, "token")
-    rarest = rarest.groupBy("phrase", "all").agg(F.count("*").alias("known"), F.min(F.struct("n", "token")).alias("least")).where("known = all")
+    rarest = tokens.select("phrase", "all", "token").join(often, "token").groupBy("phrase", "all").agg(F.count("*").alias("known"), F.min(F.struct("n", "token")).alias("least")).where("known = all")
     near = rarest.select("phrase", F.col("least.token").alias("token")).join(index, "token").join(texts, "issue")
     tier = F.when(F.contains("title", "phrase"), 1).when(F.contains("body", "phrase"), 2)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
+
 
 def matches(*, layer: str | None = None, level: str | None = None, tokens: dict[str, object] | None = None, rnti: int | None = None, pattern: str | None = None, after: str | None = None, before: str | None = None,
             ts: str = "ts", layer_col: str = "layer", level_col: str = "level", text: str = "text", prefix: bool = True) -> Column:
@@ -54,8 +56,7 @@ def within_budget(frame: DataFrame, lines: str, cap: int, order: list[str], key:
 
     Rows are ordered within a key; no key means one ordered report.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    return frame.withColumn("used", F.sum(lines).over(w)).withColumn("nth", F.row_number().over(w)).where((F.col("used") <= cap) | (F.col("nth") == 1)).drop("nth")
+    return running(frame, list(key), order, {"used": F.col(lines), "nth": F.lit(1)}).where((F.col("used") <= cap) | (F.col("nth") == 1)).drop("nth")
 
 
 def first_events(frame: DataFrame, key: list[str], order: list[str], n: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import previous, running
+
 
 def counters(frame: DataFrame, key: list[str], tests: dict[str, Column]) -> DataFrame:
     """How many rows meet each test, in one pass."""
@@ -17,9 +19,8 @@ def span(frame: DataFrame, key: list[str], at: str) -> DataFrame:
 
 def changes(frame: DataFrame, key: list[str], state: str, order: list[str]) -> DataFrame:
     """Rows whose state differs from the one before, by key; the first is a change."""
-    before = F.lag(state).over(Window.partitionBy(*key).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
-    return frame.withColumn("before", before).withColumn("is_first", first).where(F.col("is_first") | ~F.col("before").eqNullSafe(F.col(state))).drop("is_first")
+    held = previous(frame, key, order, {"before": F.col(state), "is_later": F.lit(True)})
+    return held.where(F.col("is_later").isNull() | ~F.col("before").eqNullSafe(F.col(state))).drop("is_later")
 
 
 def final_states(frame: DataFrame, key: list[str], state: str, order: str) -> DataFrame:
@@ -70,16 +71,14 @@ def disjoint(timeline: DataFrame) -> DataFrame:
 
 def run_lengths(frame: DataFrame, key: list[str], test: Column, order: list[str]) -> DataFrame:
     """Runs of rows that meet a test, one after the other, by key: their length and first row's order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    marked = frame.withColumn("hit", F.coalesce(test, F.lit(False))).withColumn("run", F.sum((~F.col("hit")).cast("bigint")).over(w))
+    marked = running(frame.withColumn("hit", F.coalesce(test, F.lit(False))), key, order, {"run": (~F.col("hit")).cast("bigint")})
     return marked.where("hit").groupBy(*key, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("start")).drop("run")
 
 
 def epochs(frame: DataFrame, key: list[str], release: Column, order: list[str]) -> DataFrame:
     """Rows with the number of the life that they belong to; a release ends a life and belongs to it."""
-    w = Window.partitionBy(*key).orderBy(*order)
     ended = F.coalesce(release, F.lit(False)).cast("bigint")
-    return frame.withColumn("epoch", F.sum(ended).over(w) - ended)
+    return running(frame, key, order, {"epoch": ended}).withColumn("epoch", F.col("epoch") - ended)
 
 
 def steps(frame: DataFrame, key: list[str], label: str, order: str, expected: list, chunk: int = 100_000) -> DataFrame:
@@ -116,16 +115,15 @@ def before_events(frame: DataFrame, key: list[str], event: Column, span: int, la
 
 def loops(frame: DataFrame, key: list[str], start: Column, order: list[str]) -> DataFrame:
     """Rows with the number of the loop that they belong to, from 1; rows before the first start are of loop 0."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return frame.withColumn("loop", F.sum(F.coalesce(start, F.lit(False)).cast("bigint")).over(w))
+    return running(frame, key, order, {"loop": F.coalesce(start, F.lit(False)).cast("bigint")})
 
 
 def moves(frame: DataFrame, key: list[str], begin: Column, end: Column, place: str, order: str) -> DataFrame:
     """Begun moves whose next row that ends one is in another place: key, order, place and place_after."""
-    held = frame.withColumn("_begin", F.coalesce(begin, F.lit(False))).where(F.col("_begin") | F.coalesce(end, F.lit(False)))
-    w = Window.partitionBy(*key).orderBy(order)
-    after = held.withColumn("place_after", F.when(~F.lead("_begin").over(w), F.lead(place).over(w)))
-    return after.where(F.col("_begin") & F.col("place_after").isNotNull() & (F.col("place_after") != F.col(place))).select(*key, order, place, "place_after")
+    begun = F.coalesce(begin, F.lit(False))
+    held = frame.withColumn("_begin", begun).where(F.col("_begin") | F.coalesce(end, F.lit(False)))
+    after = previous(held, key, [F.col(order).desc()], {"_next_begins": F.col("_begin"), "place_after": F.col(place)})
+    return after.where(F.col("_begin") & ~F.col("_next_begins") & F.col("place_after").isNotNull() & (F.col("place_after") != F.col(place))).select(*key, order, place, "place_after")
 
 
 def bins(frame: DataFrame, key: list[str], histogram: str, order: str) -> DataFrame:

@@ -554,3 +554,13 @@ def q58_procedure_steps(spark, sf_dir):
     parsed = logs.parse_radio(radio_log(spark, sf_dir)).join(users, "event_id")
     found = sequences.reached(parsed, ["user_id"], "event_id", expected=(("SCHED", r"prach\("), ("NGAP", "NGSetupResponse"), ("CU-CP", ": UE created")))
     return found.select("user_id", "reached", F.array_join(F.col("seen").cast("array<string>"), ",").alias("seen"))
+
+
+@query(
+    "with h as (select user_id, event_id from events where event_type='signup') select h.user_id, h.event_id, min(b.event_id) body_line from h "
+    "left join events b on b.user_id=h.user_id and b.event_type='purchase' and b.event_id between h.event_id+1 and h.event_id+200 group by 1,2"
+)
+def q97_body_within(spark, sf_dir):
+    """Headers with the first body line of their file, no more than 200 lines on."""
+    found = logs.body_within(read(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase")
+    return found.select("user_id", "event_id", "body_line")

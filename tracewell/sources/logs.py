@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import running
+
 #: How the lines of the two kinds of log begin.
 RADIO_HEADER = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}) \[([A-Z][A-Z0-9_ -]*?)\s*\] \[([A-Z])\] (.*)"
 DEVICE_HEADER = r"^(\d\d:\d\d:\d\d\.\d{3}) \[(\w+)\] (\S+)\s+(.*)"
@@ -56,8 +58,9 @@ def metrics_text(message: Column) -> list[Column]:
     pairs = r"([A-Za-z_]\w*)=([^\s\[\]{},]+)"
     bare = F.regexp_replace(message, r"events=\[.*?\]", "")
     found = F.arrays_zip(F.regexp_extract_all(bare, F.lit(pairs), F.lit(1)).alias("k"), F.regexp_extract_all(bare, F.lit(pairs), F.lit(2)).alias("v"))
-    once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["k"] == x["k"]))  # the last of a name wins
-    return [F.map_from_arrays(F.transform(once, lambda x: x["k"]), F.transform(once, lambda x: x["v"])).alias("fields"), F.regexp_extract_all(listed, F.lit(r"\{([^}]*)\}"), F.lit(1)).alias("events")]
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    once = F.aggregate(found, none, lambda held, x: F.concat(F.filter(held, lambda y: y["k"] != x["k"]), F.array(x)))  # the last of a name wins
+    return [F.map_from_entries(once).alias("fields"), F.regexp_extract_all(listed, F.lit(r"\{([^}]*)\}"), F.lit(1)).alias("events")]
 
 
 def blocks(texts: DataFrame, key: list[str], text: str, header: str, drop: str | None = None) -> DataFrame:
@@ -78,10 +81,28 @@ def blocks(texts: DataFrame, key: list[str], text: str, header: str, drop: str |
 
 
 def blocks_of_lines(frame: DataFrame, file: list[str], order: list[str], header: str, value: str = "value") -> DataFrame:
-    """The lines of large files with the number of their block, from 0; those before the first header are dropped."""
-    w = Window.partitionBy(*file).orderBy(*order)
-    numbered = frame.where(F.col(value) != "").withColumn("block", F.sum(F.col(value).rlike(header).cast("bigint")).over(w) - 1)
-    return numbered.where("block >= 0")
+    """The lines of large files with the number of their block, from 0; those before the first header are dropped.
+
+    A file's lines are numbered by as many tasks as there are ranges of them.
+    """
+    numbered = running(frame.where(F.col(value) != ""), file, order, {"block": F.col(value).rlike(header).cast("bigint")})
+    return numbered.withColumn("block", F.col("block") - 1).where("block >= 0")
+
+
+def body_within(frame: DataFrame, file: list[str], line: str, header: Column, body: Column, span: int = 200) -> DataFrame:
+    """Header lines with the first line after them, no more than span lines on, whose text meets `body`: its number as body_line, or null.
+
+    Lines are dealt by file and number in buckets as wide as the span; a header looks into its
+    own and the next one, so that it does not matter where a file is split.
+    """
+    bucket, who = F.floor(F.col(line) / span), F.struct(*file, F.col(line).alias("_from")).alias("_who")  # structs of nulls are equal
+    place = lambda n: F.struct(*file, n.alias("_bucket")).alias("_place")
+    heads = frame.where(header)
+    asked = heads.select(who, F.explode(F.array(bucket, bucket + 1)).alias("_at"), *file).select("_who", place(F.col("_at")))
+    held = frame.where(body).groupBy(place(bucket)).agg(F.array_sort(F.collect_list(line)).alias("_lines"))  # a span's lines at most
+    after = F.filter("_lines", lambda x: (x > F.col("_who._from")) & (x <= F.col("_who._from") + span))
+    first = asked.join(held, "_place").groupBy("_who").agg(F.min(F.array_min(after)).alias("body_line"))
+    return heads.withColumn("_who", who).join(first, "_who", "left").drop("_who")
 
 
 def last_values(frame: DataFrame, key: list[str], name: str, value: str, order: str) -> DataFrame:
