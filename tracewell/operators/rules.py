@@ -50,27 +50,24 @@ def match_issues(failures: DataFrame, issues: DataFrame, top: int = 3) -> DataFr
     """Best issues (issue, title, body) for failures (failure, phrase): a phrase in the title is tier 1, in the body tier 2.
 
     Case is ignored, and phrases may begin and end within words.  A failure's ties go to the
-    later issue, the one of greater number.  Each different phrase is matched once.  Issues are
-    known by their runs of eight characters (of fewer where phrases are shorter), and only the
-    runs that some phrase asks for are kept; a phrase meets the issues that have the rarest of
-    four of its runs, and is then looked for in them.  What is best for a failure is among the
-    best of each of its phrases.
+    later issue, the one of greater number.  Issues are known by their runs of LENGTHS
+    characters, which are listed once.  Phrases whose first run no issue has are left out at
+    once; each other one is matched once, however many failures have it: it meets the issues
+    that have the rarest of four of its runs, and is then looked for in them.  What is best for
+    a failure is among the best of each of its phrases.
     """
     phrase = F.col("phrase")
-    held = failures.select("failure", F.lower("phrase").alias("phrase")).where("phrase <> ''").distinct()
     texts = issues.select("issue", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
+    both = F.concat_ws("\n", "title", "body")
+    index = store(texts.select("issue", F.explode(F.flatten(F.array(*(_grams(both, F.lit(n)) for n in LENGTHS)))).alias("token")), "runs")
+    often = store(index.groupBy("token").agg(F.count("*").alias("n")), "run_counts")
     length = F.coalesce(*(F.when(F.length(phrase) >= n, n) for n in LENGTHS))
-    last = F.length(phrase) - F.col("length")
-    runs = F.array_distinct(F.array(*(F.substr(phrase, F.floor(last * k / 3).cast("int") + 1, F.col("length")) for k in range(4))))
-    tokens = held.select("phrase", length.alias("length")).distinct().select("phrase", "length", runs.alias("tokens"))
-    tokens = store(tokens.select("phrase", "length", F.size("tokens").alias("all"), F.explode("tokens").alias("token")), "tokens")
-    wanted = tokens.select("token").distinct()
-    lengths = F.array(*(F.lit(r[0]) for r in tokens.select("length").distinct().collect())).cast("array<int>")  # no more than LENGTHS
-    both = texts.select("issue", F.concat_ws("\n", "title", "body").alias("text"), F.explode(lengths).alias("length"))
-    index = both.select("issue", F.explode(_grams(F.col("text"), F.col("length"))).alias("token")).join(wanted, "token", "left_semi")
-    index = store(index, "runs")
-    often = index.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = tokens.select("phrase", "all", "token").join(often, "token").groupBy("phrase", "all").agg(F.count("*").alias("known"), F.min(F.struct("n", "token")).alias("least")).where("known = all")
+    lower = failures.select("failure", F.lower("phrase").alias("phrase")).where("phrase <> ''").withColumn("token", F.substr(phrase, F.lit(1), length))
+    held = store(lower.join(often.select("token"), "token", "left_semi").select("failure", "phrase").distinct(), "phrases")
+    last = F.length(phrase) - length
+    runs = F.array_distinct(F.array(*(F.substr(phrase, F.floor(last * k / 3).cast("int") + 1, length) for k in range(4))))
+    tokens = held.select("phrase").distinct().select("phrase", F.size(runs).alias("all"), F.explode(runs).alias("token"))
+    rarest = tokens.join(often, "token").groupBy("phrase", "all").agg(F.count("*").alias("known"), F.min(F.struct("n", "token")).alias("least")).where("known = all")
     near = rarest.select("phrase", F.col("least.token").alias("token")).join(index, "token").join(texts, "issue")
     tier = F.when(F.contains("title", "phrase"), 1).when(F.contains("body", "phrase"), 2)
 
