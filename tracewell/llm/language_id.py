@@ -10,7 +10,9 @@ dimensions numbers however large the corpus.  Null texts, and those without a le
 `und` with score 0; so is every text where nothing was learned.  Ties go to the first
 language in order.  Each row, repeated or not, is judged by its own text.  An empty table
 gives an empty result.  Other columns of the input are not looked at, whatever their names.
-A text of any length is one chunk of a task.
+A text of any length is one chunk of a task.  Vectors of n-grams are made for `block` of them
+at a time, so that texts of many letters, such as Chinese, take memory by their length alone:
+some 50 bytes for each byte of the texts that are bundled at once.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class Space:
     dimensions: int = 1024
     n: int = 3
     rows: int = 64  # texts whose vectors are bundled at once
+    block: int = 16_384  # n-grams whose vectors are held at once
 
 
 @lru_cache(1)
@@ -52,7 +55,7 @@ def letter_table() -> np.ndarray:
     return out
 
 
-@lru_cache(4096)
+@lru_cache(1 << 16)
 def letter_vector(code: int, place: int, dimensions: int) -> np.ndarray:
     """A letter's random vector, permuted by its place in the n-gram; the same in every task."""
     bits = np.random.default_rng([code, 7919]).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
@@ -61,17 +64,27 @@ def letter_vector(code: int, place: int, dimensions: int) -> np.ndarray:
 
 def ngram_vectors(codes: np.ndarray, space: Space) -> np.ndarray:
     """Vectors of the n-grams whose letters are the rows of codes."""
-    out = np.ones((len(codes), space.dimensions), np.int8)
-    if not len(codes):
-        return out
-    for place in range(space.n):
-        letters, which = np.unique(codes[:, place], return_inverse=True)
-        out *= np.stack([letter_vector(int(c), place, space.dimensions) for c in letters])[which]
+    letters, which = np.unique(codes, return_inverse=True)
+    return bound(which.reshape(codes.shape), vectors_by_place(letters, space), space)
+
+
+def vectors_by_place(letters: np.ndarray, space: Space) -> list[np.ndarray]:
+    if not len(letters):
+        return []
+    first = np.stack([letter_vector(int(c), 0, space.dimensions) for c in letters])
+    return [np.roll(first, place * 37 + place, axis=1) for place in range(space.n)]
+
+
+def bound(which: np.ndarray, tables: list[np.ndarray], space: Space) -> np.ndarray:
+    """Products of the vectors of n-grams' letters, given by their numbers in the tables."""
+    out = np.ones((len(which), space.dimensions), np.int8)
+    for place, table in enumerate(tables):
+        out *= table[which[:, place]]
     return out
 
 
-def ngram_counts(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of the distinct n-grams, and a matrix of counts by text and n-gram; which texts have a letter."""
+def ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the distinct n-grams; text and n-gram of every place; which texts have a letter."""
     table, rows, code = letter_table(), [], []
     for at, data, offsets in bt.chunks(texts):
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -90,7 +103,7 @@ def ngram_counts(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     keep = ~gap | ~np.concatenate([[False], gap[:-1]]) | first
     index, rows = index[keep], rows[keep]
     if len(index) < n:
-        return np.zeros((0, n), np.int64), np.zeros((count, 0), np.float32), lettered
+        return np.zeros((0, n), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), lettered
     size, m = len(letters), len(index) - n + 1
     key = np.zeros(m, np.int64)
     for k in range(n):
@@ -104,9 +117,24 @@ def ngram_counts(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
         which = to[key]
     else:
         present, which = np.unique(key, return_inverse=True)
-    counts = np.bincount(own * len(present) + which, minlength=count * len(present)).reshape(count, len(present)).astype(np.float32)
     grams = np.stack([letters[present // size**k % size] for k in reversed(range(n))], 1) if len(present) else np.zeros((0, n), np.int64)
-    return grams, counts, lettered
+    return grams, own, which, lettered
+
+
+def bundles(grams: np.ndarray, own: np.ndarray, which: np.ndarray, count: int, space: Space) -> np.ndarray:
+    """The sums of the vectors of each text's n-grams, block by block; whole numbers."""
+    out = np.zeros((count, space.dimensions))
+    letters, numbers = np.unique(grams, return_inverse=True)
+    numbers, tables = numbers.reshape(grams.shape), vectors_by_place(letters, space)
+    if len(grams) > space.block:
+        order = np.argsort(which, kind="stable")
+        own, which = own[order], which[order]
+    for a in range(0, len(grams), space.block):
+        part = numbers[a : a + space.block]
+        lo, hi = (0, len(own)) if len(grams) <= space.block else np.searchsorted(which, [a, a + space.block])
+        counts = np.bincount(own[lo:hi] * len(part) + (which[lo:hi] - a), minlength=count * len(part)).reshape(count, len(part))
+        out += counts.astype(np.float32) @ bound(part, tables, space).astype(np.float32)
+    return out
 
 
 def learn(docs: DataFrame, space: Space = Space(), text: str = "text", label: str = "lang") -> dict[str, np.ndarray]:
@@ -118,13 +146,11 @@ def learn(docs: DataFrame, space: Space = Space(), text: str = "text", label: st
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                grams, counts, _ = ngram_counts(part.column(0), space.n)
-                labels = np.array(part.column(1).to_pylist())
-                names = np.unique(labels)
-                by = np.stack([counts[labels == x].sum(0) for x in names])
-                vectors = by.astype(np.float32) @ ngram_vectors(grams, space).astype(np.float32)
+            for at in range(0, batch.num_rows, space.rows):
+                part = batch.slice(at, space.rows)
+                grams, own, which, _ = ngrams(part.column(0), space.n)
+                names, of = np.unique(np.array(part.column(1).to_pylist()), return_inverse=True)
+                vectors = bundles(grams, of[own], which, len(names), space)
                 for name, v in zip(names.tolist(), vectors):
                     sums[name] = sums.get(name, 0) + v.astype(np.int64)
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["label", "vector"])
@@ -148,12 +174,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], space: Space =
     def step(batch: pa.RecordBatch) -> pa.Table:
         langs, scores = [], []
         for at in range(0, batch.num_rows, space.rows):
-            grams, counts, lettered = ngram_counts(batch.column(1).slice(at, space.rows), space.n)
+            grams, own, which, lettered = ngrams(batch.column(1).slice(at, space.rows), space.n)
             if matrix is None:
-                langs += [UNKNOWN] * len(counts)
-                scores += [0.0] * len(counts)
+                langs += [UNKNOWN] * len(lettered)
+                scores += [0.0] * len(lettered)
                 continue
-            vectors = counts @ ngram_vectors(grams, space).astype(np.float32)
+            vectors = bundles(grams, own, which, len(lettered), space)
             cosine = (vectors @ matrix.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             best = cosine.argmax(1)
             langs += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
