@@ -363,8 +363,8 @@ def additive_model(xs, ys, how):
     return score
 
 
-def licence_labels(texts, templates, agree, anchors):
-    """(labels, score) of each text: base phrases, and, in files with an anchor word, templates at every place where key phrases and enough weight agree."""
+def licence_labels(texts, templates, agree):
+    """(labels, score) of each text: base phrases, and templates at every place where key phrases and enough weight agree."""
     files = [ALNUM_WORD.findall((t or "").translate(A_TO_Z)) for t in texts]
     df = collections.Counter(w for f in files for w in set(f))
     weight = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1e-3
@@ -372,7 +372,7 @@ def licence_labels(texts, templates, agree, anchors):
     for text, own in zip(texts, files):
         base = licences(text)[4]
         labels, best = set(filter(None, base.split(","))), 1.0 if base else 0.0
-        for label, passage, needs in templates if set(own) & set(anchors) else ():
+        for label, passage, needs in templates:
             words = passage.split()
             for start in range(1 - len(words), len(own)):
                 there = [0 <= start + k < len(own) and own[start + k] == w for k, w in enumerate(words)]

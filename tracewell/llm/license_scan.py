@@ -9,8 +9,8 @@ position.  Only where enough of the template's weight agrees is its label given,
 else the file holds.
 Base phrases are always found, wherever their words stand consecutively.
 
-Texts are read once.  Only words of the index are kept, and only of files that hold one of
-the anchor words; document frequencies are counted over all files.  Nothing that is
+Texts are read once.  Only words of the index are kept, and only of files that hold all words
+of some phrase, without which there is no label; document frequencies are counted over all files.  Nothing that is
 shuffled is as large as a text, and groups are single places in single texts.
 
 Null and empty texts have no words, no labels and score 0.  Equal texts get equal results,
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +61,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
 )
 
-#: Without one of these words a file has no licence notice.
-ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "redistribute", "unencumbered")
-
-
 @dataclass(frozen=True)
 class Scan:
     agree: float = 0.7  # share of a template's weight that must agree on one place
@@ -104,13 +102,14 @@ def scan(docs: DataFrame, how: Scan = Scan(), doc: str = "doc_id", text: str = "
     """n_words, base places, labels and score of every row."""
     spark = docs.sparkSession
     by_phrase, by_template, needs = postings()
-    vocabulary = sorted({w for _, w, *_ in by_phrase} | {w for _, w, _ in by_template} | set(ANCHORS))
+    vocabulary = sorted({w for _, w, *_ in by_phrase} | {w for _, w, _ in by_template})
     known = F.array(*map(F.lit, vocabulary))
 
     one = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), words("text").alias("words"))
     one = one.withColumn("present", F.array_intersect("words", known))
     placed = F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i.cast("bigint"), F.lit("word"), w))
-    hits = F.when(F.arrays_overlap("present", F.array(*map(F.lit, ANCHORS))), F.filter(placed, lambda x: x["word"].isin(vocabulary)))
+    some = reduce(or_, (reduce(and_, (F.array_contains("present", w) for w in sorted(set(p.split())))) for p in dict.fromkeys(p for p, *_ in by_phrase)))
+    hits = F.when(some, F.filter(placed, lambda x: x["word"].isin(vocabulary)))
     files = store(one.select("doc_id", "key", F.size("words").cast("bigint").alias("n_words"), "present", hits.alias("hits")), "licence-words")
 
     # at most as many rows as the index has words
