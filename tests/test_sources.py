@@ -1,5 +1,6 @@
 """Run folders, archives, captures, consoles, summaries, clocks and streams on small inputs."""
 
+import random
 import struct
 import zipfile
 
@@ -55,6 +56,57 @@ def test_frames_of_captures(spark, tmp_path, order, magic, unit):
     assert got == [(k, s * 10**9 + 7 * unit, len(pdu), len(pdu) + 1, "ngap") for k, s in ((1, 5), (2, 6))]
 
 
+def capture(order, magic, link, frames):
+    raw = struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, link)
+    return raw + b"".join(struct.pack(order + "IIII", sec, part, len(data), len(data) + 3) + data for sec, part, data in frames)
+
+
+@pytest.mark.parametrize("size", [1, 500, 20_000, 1 << 26])
+def test_frames_by_range_equal_whole_ones(spark, tmp_path, size):
+    r = random.Random(size)
+    name = b"f1ap"
+    pdu = lambda: struct.pack(">HH", captures.DISSECTOR_NAME, len(name)) + name + struct.pack(">HH", 0, 0) + r.randbytes(r.choice([0, 10, 700]))
+    long = capture("<", 0xA1B2C3D4, captures.EXPORTED_PDU, [(k // 3, k, pdu()) for k in range(60)])
+    wide = capture(">", 0xA1B23C4D, 1, [(100 + k, 0, r.randbytes(400_000 if k % 4 == 0 else 40)) for k in range(9)])
+    damaged = bytearray(long)
+    damaged[24 + 8 : 24 + 12] = struct.pack("<I", 2**31)  # a length beyond the file's end
+    for file, raw in {"a": long, "b": wide, "cut": long[:-5], "head": long[:30], "damaged": bytes(damaged), "none": b"", "other": b"x" * 99, "bare": long[:24]}.items():
+        (tmp_path / f"{file}.pcap").write_bytes(raw)
+    want = sorted(map(tuple, captures.frames(spark, str(tmp_path)).collect()))
+    assert len(want) == 60 + 9 + 59
+    assert sorted(map(tuple, captures.frames_by_range(spark, str(tmp_path), size).collect())) == want
+    some = captures.frames_by_range(spark, str(tmp_path), size, 5 * 10**9, 102 * 10**9)
+    assert sorted(map(tuple, some.collect())) == [x for x in want if 5 * 10**9 <= x[2] < 102 * 10**9]
+
+
+def test_entries_by_parts(spark, tmp_path):
+    line = "2025-01-02 a line of a log, é\n"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x/gnb.log", line * 4_000_000)  # 120 MB
+        z.writestr("y/gnb.log", b"bad \xff byte")
+        z.writestr("z/gnb.log", "")
+        z.writestr("other.log", "no")
+    whole = (tmp_path / "a.zip").read_bytes()
+    with zipfile.ZipFile(tmp_path / "damaged.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("gnb.log", "good line\n" * 100)
+    raw = bytearray((tmp_path / "damaged.zip").read_bytes())
+    raw[200] ^= 1
+    (tmp_path / "damaged.zip").write_bytes(raw)
+    with zipfile.ZipFile(tmp_path / "locked.zip", "w") as z:
+        z.writestr("gnb.log", "secret")
+    raw = bytearray((tmp_path / "locked.zip").read_bytes())
+    raw[raw.rindex(b"PK\x01\x02") + 8] |= 1  # the mark of an encrypted entry
+    (tmp_path / "locked.zip").write_bytes(raw)
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    got = runs.entry_parts(spark, str(tmp_path), r"gnb\.log$").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    sizes = got.where("file = 'a.zip'").groupBy("entry").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("most"), F.bool_and(F.col("text").endswith("\n")).alias("lines"), F.max("part").alias("last"))
+    (x, y) = sorted(map(tuple, sizes.collect()))
+    assert x[0] == "x/gnb.log" and x[2] == 4_000_000 * len(line) and x[1] == x[5] + 1 > 10 and x[3] <= (8 << 20) + 100 and x[4]
+    assert y == ("y/gnb.log", 1, 10, 10, False, 0)
+    rest = sorted((r.file, r.text and r.text[:9], r.error and r.error[:10]) for r in got.where("file <> 'a.zip'").collect())
+    assert rest == [("damaged.zip", None, "BadZipFile"), ("locked.zip", None, "encrypted")] or rest == [("damaged.zip", "good line", "BadZipFile"), ("locked.zip", None, "encrypted")]
+
+
 def test_typed_fields_and_summaries(spark, tmp_path):
     (tmp_path / "f.tsv").write_text("1\t1700000000.000001500\t15\t7\n2\t\t15\t7\n3\t1700000001.5\t\t\textra\n4\t1700000002\t99\n")
     frame = captures.typed(captures.fields(spark, str(tmp_path / "f.tsv"), ["frame", "epoch", "code", "ue"]), "epoch", ("frame", "code", "ue"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import struct
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -409,9 +414,47 @@ def q96_order_by_slot(spark, sf_dir):
     frame = with_k(spark, sf_dir).where(F.col("event_type").isin("view", "click")).withColumn("key", slot)
     both = frame.where("event_type='view'").select("key").intersect(frame.where("event_type='click'").select("key"))
     counts = frame.join(both, "key").groupBy("key").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
 
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each of 10,240 slots
     own = F.row_number().over(Window.partitionBy("key").orderBy(F.col("user_id").cast("string"), F.desc("event_type"), "event_id"))
     placed = frame.join(before, "key").withColumn("place", F.coalesce("before", F.lit(0)) + own)
     return placed.select("event_id", "place")
+
+
+@query(
+    "select conv_id, length(t) n_chars, sha256(t) text_sha256 from (select conv_id, string_agg(coalesce(role,'') || ': ' || coalesce(text,''), chr(10) order by turn) t from conversations group by 1)"
+)
+def q98_archive_entries(spark, sf_dir):
+    """Conversations as logs in archives of fifty, and read back from them."""
+    said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    whole = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "\n").alias("text"))
+
+    def zipped(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for conv, text in zip(group["conv_id"], group["text"]):
+                z.writestr(f"logs/{conv}/gnb.log", text)
+                z.writestr(f"logs/{conv}/notes.txt", "none")
+        return pd.DataFrame({"path": [f"{group['conv_id'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    archives = whole.groupBy(F.floor(F.col("conv_id") / 50)).applyInPandas(zipped, "path string, content binary")
+    found = runs.archive_entries(archives, r"/gnb\.log$")
+    return found.select(F.split("entry", "/")[1].cast("bigint").alias("conv_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"select event_id, row_number() over (partition by event_id // 500 order by event_id) frame, t * 1000 nanos, event_type dissector, length(props)::bigint + 12 + length(event_type) captured from {E}")
+def q99_capture_frames(spark, sf_dir):
+    """Events as frames of captures of five hundred, and read back from them."""
+    def captured(group: pd.DataFrame) -> pd.DataFrame:
+        raw = struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, captures.EXPORTED_PDU)
+        for t, name, data in group.sort_values("event_id")[["t", "event_type", "props"]].itertuples(index=False):
+            kind = name.encode()
+            data = struct.pack(">HH", captures.DISSECTOR_NAME, len(kind)) + kind + struct.pack(">HHI", 0, 0, 0) + data.encode()
+            raw += struct.pack("<IIII", t // 10**6, t % 10**6 * 1000, len(data), len(data)) + data
+        return pd.DataFrame({"path": [f"{group['event_id'].min()}"], "content": [raw]})
+
+    frame = events(spark, sf_dir)
+    found = captures.frames_in(frame.groupBy(F.floor(F.col("event_id") / 500)).applyInPandas(captured, "path string, content binary"))
+    first = (F.floor(F.col("path").cast("bigint") / 500) * 500).alias("first")
+    numbered = frame.withColumn("first", (F.floor(F.col("event_id") / 500) * 500)).withColumn("frame", F.row_number().over(Window.partitionBy("first").orderBy("event_id")))
+    return found.select(first, "frame", "nanos", "dissector", F.col("captured").cast("bigint").alias("captured")).join(numbered.select("first", "frame", "event_id"), ["first", "frame"]).select("event_id", F.col("frame").cast("bigint").alias("frame"), "nanos", "dissector", "captured")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..shared import store
+from . import ranges
+from .ranges import Window, opened
 
 #: Names of procedure codes.
 PROCEDURES = (
@@ -77,26 +81,92 @@ def frames_of(raw: bytes) -> Iterator[tuple]:
         at += 16 + captured
 
 
-def frames(spark: SparkSession, path: str, batch: int = 100_000) -> DataFrame:
-    """The frames of capture files, one task a file; a frame that was cut off ends its file.
+def frames(spark: SparkSession, path: str) -> DataFrame:
+    """The frames of capture files of up to 2 GB, one task a file; a frame that was cut off ends its file."""
+    return frames_in(spark.read.format("binaryFile").load(path))
 
-    Classic captures have no marks at which to split them; files of up to 2 GB are read.
-    """
+
+def frames_in(files: DataFrame, batch: int = 100_000) -> DataFrame:
+    """The frames of captures that are held as rows of path and content."""
 
     def read(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FRAMES.split(", ")]
         for table in tables:
             for name, raw in zip(table["path"], table["content"]):
-                rows = []
-                for row in frames_of(raw):
-                    rows.append((name, *row))
-                    if len(rows) == batch:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, FRAMES)
+                yield from batches(((name, *row) for row in frames_of(raw)), batch)
+
+    return files.select("path", "content").mapInPandas(read, FRAMES)
+
+
+def batches(rows: Iterator[tuple], size: int) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=names)
+
+
+def frames_by_range(spark: SparkSession, path: str, size: int = 64 << 20, since: int | None = None, until: int | None = None, pattern: str = "*") -> DataFrame:
+    """The frames of capture files of any size, several tasks a file; since and until bound their nanos, the second exclusively.
+
+    Captures have no marks at which to split them, so one task a file first goes from header to
+    header, without what the frames hold, and notes every so many bytes where a frame begins
+    and which one it is.  The parts between are then read by a task each; parts whose times are
+    all out of bounds are not.
+    """
+    low, high = -(2**63) if since is None else since, 2**63 - 1 if until is None else until
+
+    def plan(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for name in table["path"]:
+                with opened(name) as file:
+                    parts = [(name, *part) for part in capture_parts(Window(file), size)]
+                yield pd.DataFrame(parts, columns=["path", "start", "end", "frame", "first", "last"])
+
+    parts = ranges.listed(spark, path, pattern).select("path").repartition("path").mapInPandas(plan, "path string, start bigint, end bigint, frame bigint, first bigint, last bigint")
+    parts = store(parts, "capture-parts").where((F.col("last") >= low) & (F.col("first") < high)).drop("first", "last")
+
+    def read(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for name, start, end, frame in table.itertuples(index=False):
+                with opened(name) as file:
+                    window = Window(file)
+                    rows = ((name, *row) for row in capture_frames(window, window.read(0, 24), start, end, frame) if low <= row[1] < high)
+                    yield from batches(rows, 100_000)
+
+    return parts.repartition("path", "start").mapInPandas(read, FRAMES)
+
+
+def capture_headers(window: Window, head: bytes, at: int, end: int) -> Iterator[tuple]:
+    """at, nanos, captured and length of the whole frames from a place on."""
+    order, unit = MAGIC[head[:4]]
+    while at < end and len(raw := window.read(at, 16)) == 16:
+        sec, part, captured, length = struct.unpack(order + "IIII", raw)
+        if at + 16 + captured > window.length:
+            return
+        yield at, sec * 10**9 + part * unit, captured, length
+        at += 16 + captured
+
+
+def capture_parts(window: Window, size: int) -> Iterator[tuple]:
+    """start, end, the number of the first frame, and the least and greatest time, of parts of about so many bytes."""
+    head = window.read(0, 24)
+    if len(head) < 24 or head[:4] not in MAGIC:
+        return
+    start, number, times = 24, 1, []
+    frame = 0
+    for at, nanos, captured, _ in capture_headers(window, head, 24, window.length):
+        frame += 1
+        times = [min(times[0], nanos), max(times[1], nanos)] if times else [nanos, nanos]
+        if (end := at + 16 + captured) - start >= size:
+            yield start, end, number, *times
+            start, number, times = end, frame + 1, []
+    if times:
+        yield start, end, number, *times
+
+
+def capture_frames(window: Window, head: bytes, start: int, end: int, frame: int) -> Iterator[tuple]:
+    """What frames_of gives, for a part of a capture."""
+    link = struct.unpack_from(MAGIC[head[:4]][0] + "I", head, 20)[0] & 0xFFFF
+    for frame, (at, nanos, captured, length) in enumerate(capture_headers(window, head, start, end), frame):
+        yield frame, nanos, captured, length, link, dissector(window.read(at + 16, captured)) if link == EXPORTED_PDU else None
 
 
 def fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

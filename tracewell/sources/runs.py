@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import store
+from . import ranges
+from .ranges import opened
+
 #: What follows a vendor's name in component folders, the first that fits counting, and roles of another name.
 ROLES = ("cu-cp", "cu-up", "cu", "du", "gnb", "odu", "ocu", "ue", "5gc", "mme")
 ROLE_NAMES = {"mme": "5gc"}
@@ -109,8 +117,6 @@ def archive_entries(archives: DataFrame, pattern: str, content: str = "content",
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         wanted = re.compile(pattern)
         for frame in frames:
             for name, raw in zip(frame[path], frame[content]):
@@ -122,3 +128,64 @@ def archive_entries(archives: DataFrame, pattern: str, content: str = "content",
                             yield pd.DataFrame({"path": [name], "entry": [entry], "text": [z.read(entry).decode("utf-8", "replace")]})
 
     return archives.select(path, content).mapInPandas(read, "path string, entry string, text string")
+
+
+PARTS = "path string, entry string, part bigint, text string, error string"
+
+
+def entry_parts(spark: SparkSession, path: str, pattern: str, size: int = 8 << 20, glob: str = "*.zip") -> DataFrame:
+    """The text of archives' entries whose names match, in parts of whole lines: path, entry, part (from 0), text and error.
+
+    One task an archive reads its list of entries; the entries, of all archives, are then dealt
+    to tasks, and each is inflated as a stream, so that neither an archive nor an entry is ever
+    held whole.  Parts are of about so many bytes, and end with a line where one ends.  Entries
+    that are encrypted, and what cannot be read of a damaged one, are told in `error`; files
+    that are no archives have no entries.  Bad bytes are replaced.
+    """
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = re.compile(pattern)
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as file:
+                    try:
+                        found = [x.filename for x in archive(file).infolist() if not x.is_dir() and wanted.search(x.filename)]
+                    except zipfile.BadZipFile:
+                        found = []
+                yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["path", "entry"])
+
+    entries = store(ranges.listed(spark, path, glob).select("path").repartition("path").mapInArrow(plan, "path string, entry string"), "archive-entries")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"path": pa.string(), "entry": pa.string(), "part": pa.int64(), "text": pa.string(), "error": pa.string()}
+        for batch in batches:
+            for name, entry in zip(*(batch.column(n).to_pylist() for n in ("path", "entry"))):
+                with opened(name) as file:
+                    for part, (text, error) in enumerate(inflated(archive(file), entry, size)):
+                        yield pa.record_batch([pa.array([x], k) for x, k in zip((name, entry, part, text, error), kinds.values())], list(kinds))
+
+    return entries.repartition("path", "entry").mapInArrow(read, PARTS)
+
+
+def archive(file) -> zipfile.ZipFile:
+    file.seek(0)
+    return zipfile.ZipFile(file)
+
+
+def inflated(held: zipfile.ZipFile, entry: str, size: int) -> Iterator[tuple[str | None, str | None]]:
+    """Parts of an entry's text, and at last what went wrong."""
+    if held.getinfo(entry).flag_bits & 1:
+        yield None, "encrypted"
+        return
+    decode, rest, error = codecs.getincrementaldecoder("utf-8")("replace").decode, "", None
+    try:
+        with held.open(entry) as stream:
+            while data := stream.read(size):
+                whole, _, tail = (rest + decode(data)).rpartition("\n")
+                if whole or len(tail) >= size:
+                    yield (f"{whole}\n", None) if whole else (tail, None)
+                rest = tail if whole or len(tail) < size else ""
+        rest += decode(b"", True)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as e:
+        error = f"{type(e).__name__}: {e}"
+    if rest or error:
+        yield rest or None, error
