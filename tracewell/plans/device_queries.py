@@ -362,10 +362,13 @@ def q90_issue_filters(spark, sf_dir):
     return ci.issues_like(issues, "opened", ("ci", "bug"), "EN").select("item_id")
 
 
-@query("select page_id, case when page_id%2=0 then 'group/sub' || page_id end project, case when page_id%2=0 then 'group%2Fsub' || page_id end encoded, case when page_id%2=0 then page_id*7 end pipeline, 'git.example.org' as host from pages")
+@query(
+    "with p as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) host, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]+)', 1) project, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]+)', 2) number from pages) "
+    "select page_id, nullif(project, '') project, nullif(replace(project, '/', '%2F'), '') encoded, cast(nullif(number, '') as bigint) pipeline, host from p"
+)
 def q91_pipeline_addresses(spark, sf_dir):
-    p = F.col("page_id").cast("string")
-    url = F.concat(F.lit("https://git.example.org/group/sub"), p, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/-/pipelines/"), (F.col("page_id") * 7).cast("string"), F.lit("?x=1"))).otherwise("/-/issues/5"))
+    """Addresses of pages, their numbers taken as pipelines' numbers."""
+    url = F.regexp_replace("url", r"^(https?://[^/?#]+/[^?#]+?)/([0-9]+)", "$1/-/pipelines/$2")
     return read(spark, sf_dir, "pages").select("page_id", *ci.pipeline_address(url)).select("page_id", "project", "encoded", "pipeline", "host")
 
 
