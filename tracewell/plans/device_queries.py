@@ -363,7 +363,7 @@ def q90_issue_filters(spark, sf_dir):
 
 
 @query(
-    "with p as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) host, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]+)', 1) project, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]+)', 2) number from pages) "
+    "with p as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) host, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]+)', 1) project, regexp_extract(url, '^https?://[^/?#]+/([^?#]+?)/([0-9]{1,18})(?:[/?#]|$)', 2) number from pages) "
     "select page_id, nullif(project, '') project, nullif(replace(project, '/', '%2F'), '') encoded, cast(nullif(number, '') as bigint) pipeline, host from p"
 )
 def q91_pipeline_addresses(spark, sf_dir):
