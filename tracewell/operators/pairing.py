@@ -27,10 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import store
+from .joins import look_up, often_asked
+from .scans import running
 
 CHUNK = 64  # tolerances in a chunk
 FAN, LEVELS = 256, 2  # of the tree over a key's chunks
@@ -51,7 +53,7 @@ def pair(a: DataFrame, b: DataFrame, key: list[str], tolerance: int, chunk: int
     who = F.struct(*key).alias("who")  # structs of nulls are equal
     keys = none.select(who).distinct()
     lone = [F.when(F.col("side") == k, F.col("id")).alias(n) for k, n in enumerate(PLACES[:2])] + [F.lit(None).cast("bigint").alias(n) for n in PLACES[2:]]
-    known = pairs.withColumn("who", who)
+    known = store(pairs.withColumn("who", who), "pairs")
     some = known.join(keys, "who", "left_semi").drop("who").unionByName(none.select(*key, *lone))
     return known.join(keys, "who", "left_anti").drop("who").unionByName(untimed(some, key, tolerance))
 
@@ -228,18 +230,21 @@ def untimed(pairs: DataFrame, key: list[str], tolerance: int) -> DataFrame:
     The walk ends when one side's times are used up; what it has not reached of the other
     side is all that lies no more than the tolerance before that side's last time.
     """
-    whole, has_a, has_b = Window.partitionBy(*key), F.col("a_id").isNotNull(), F.col("b_id").isNotNull()
+    has_a, has_b = F.col("a_id").isNotNull(), F.col("b_id").isNotNull()
     lone_a, lone_b = has_a & ~has_b, has_b & ~has_a
-    known = pairs.withColumn("last_a", F.max("a_t").over(whole)).withColumn("last_b", F.max("b_t").over(whole)).withColumn("open", F.bool_or((has_a & F.col("a_t").isNull()) | (has_b & F.col("b_t").isNull())).over(whole))
+    some = store(pairs.withColumn("who", F.struct(*key)), "untimed")
+    is_open = F.bool_or((has_a & F.col("a_t").isNull()) | (has_b & F.col("b_t").isNull()))
+    lasts = some.groupBy("who").agg(F.max("a_t").alias("last_a"), F.max("b_t").alias("last_b"), is_open.alias("open"), F.count("*").alias("n"))
+    known = look_up(some, lasts, ["who"], often_asked("n", some.count()))
 
     def reached_not(lone: Column, t: Column, last: Column) -> Column:
         return lone & (t.isNull() | last.isNull() | (t >= last - tolerance))
 
     rest = F.col("open") & (reached_not(lone_a, F.col("a_t"), F.col("last_b")) | reached_not(lone_b, F.col("b_t"), F.col("last_a")))
-    side = F.when(~rest, 2).when(lone_a, 0).otherwise(1)
-    place = Window.partitionBy(*key, "side").orderBy(F.coalesce("a_t", "b_t").asc_nulls_last(), F.coalesce("a_id", "b_id"))
-    placed = known.withColumn("side", side).withColumn("place", F.when(F.col("side") == 2, -F.row_number().over(place)).otherwise(F.row_number().over(place)))
-    return placed.groupBy(*key, "place").agg(*(F.max(c).alias(c) for c in ("a_id", "b_id", "a_t", "b_t"))).drop("place")
+    left = known.where(rest).select(*key, *PLACES, F.when(lone_a, 0).otherwise(1).alias("side"))
+    placed = running(left, [*key, "side"], [F.coalesce("a_t", "b_t").asc_nulls_last(), F.coalesce("a_id", "b_id")], {"place": F.lit(1)})
+    paired = placed.groupBy(F.struct(*key).alias("who"), "place").agg(*(F.max(c).alias(c) for c in PLACES))
+    return known.where(~rest).select(*key, *PLACES).unionByName(paired.select("who.*", *PLACES))
 
 
 def near(alone: DataFrame, others: DataFrame, key: list[str], tolerance: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scans import running
@@ -61,9 +61,10 @@ def within_budget(frame: DataFrame, lines: str, cap: int, order: list[str], key:
 
 def first_events(frame: DataFrame, key: list[str], order: list[str], n: int = 20) -> DataFrame:
     """The first n rows of each key, and how many more there are."""
-    w = Window.partitionBy(*key)
-    ranked = frame.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0)))
-    return ranked.where(F.col("nth") <= n)
+    who = F.struct(*key).alias("_who")
+    held = frame.groupBy(who).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    first = running(frame, key, order, {"nth": F.lit(1)}).where(F.col("nth") <= n)
+    return first.withColumn("_who", who).join(held, "_who").drop("_who")
 
 
 def tail(frame: DataFrame, order: str, n: int, stop: Column | None = None) -> DataFrame:
