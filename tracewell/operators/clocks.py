@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import previous, running
+
 DAY = 86_400_000_000
 
 
@@ -15,13 +17,13 @@ def dated(frame: DataFrame, anchors: DataFrame, key: list[str], order: str, time
     whose key has no anchor, or whose time cannot be read, have a null t.
     """
     of_day = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), F.col(time))).cast("timestamp_ntz"))
-    w = Window.partitionBy(*key).orderBy(order)
-    before = F.last("_day_time", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    walked = frame.withColumn("_day_time", of_day).withColumn("_passed", F.coalesce((before - F.col("_day_time") > DAY // 2).cast("bigint"), F.lit(0)))
-    walked = walked.withColumn("_days", F.sum("_passed").over(w))
-    start = F.unix_date("date").cast("bigint") * DAY
-    out = walked.join(anchors.select(*key, F.col("date").cast("date").alias("date")), key, "left")
-    return out.withColumn("t", start + F.col("_days") * DAY + F.col("_day_time")).drop("_day_time", "_passed", "_days", "date")
+    timed = frame.withColumn("_day_time", of_day)
+    before = previous(timed.where("_day_time is not null"), key, [order], {"_before": F.col("_day_time")})
+    passed = (F.col("_before") - F.col("_day_time") > DAY // 2).cast("bigint")
+    walked = running(before, key, [order], {"_days": passed}).join(anchors.select(*key, F.col("date").cast("date").alias("date")), key, "left")
+    t = F.unix_date("date").cast("bigint") * DAY + F.col("_days") * DAY + F.col("_day_time")
+    unread = timed.where("_day_time is null").select(*frame.columns, F.lit(None).cast("bigint").alias("t"))
+    return walked.select(*frame.columns, t.alias("t")).unionByName(unread)
 
 
 def first_times(frame: DataFrame, key: list[str], order: str, time: str = "t") -> DataFrame:

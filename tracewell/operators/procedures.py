@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import look_up, often_asked
+from .scans import previous, running
+
 
 def overview(frame: DataFrame, key: list[str], failed: Column) -> DataFrame:
     """Packets, first and last time, duration and failures of each capture."""
@@ -29,9 +32,10 @@ def ids_by_label(frame: DataFrame, key: list[str], labels: list[str]) -> DataFra
 
 def per_entity(frame: DataFrame, entity: list[str], order: list[str]) -> DataFrame:
     """Rows of entities numbered in order, with how many there are; rows without an entity go."""
-    w = Window.partitionBy(*entity)
-    known = frame.where(F.coalesce(*(F.col(e).cast("string") for e in entity)).isNotNull())
-    return known.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("of", F.count("*").over(w))
+    known = frame.where(F.coalesce(*(F.col(e).cast("string") for e in entity)).isNotNull()).withColumn("_who", F.struct(*entity))
+    counts = known.groupBy("_who").agg(F.count("*").alias("of"))
+    numbered = running(known, entity, order, {"nth": F.lit(1)})
+    return look_up(numbered, counts, ["_who"], often_asked("of", counts.agg(F.sum("of")).first()[0] or 0)).drop("_who")
 
 
 def balance(frame: DataFrame, key: list[str], begun: Column, ended: Column) -> DataFrame:
@@ -85,11 +89,10 @@ def identity_chain(first: DataFrame, *links: DataFrame) -> DataFrame:
 
 def without_answer(frame: DataFrame, key: list[str], order: str, request: Column, answers: Column) -> DataFrame:
     """Requests of a key that no answer follows before the next request."""
-    w = Window.partitionBy(*key).orderBy(order)
     asked, answered = F.coalesce(request, F.lit(False)), F.coalesce(answers, F.lit(False))
     held = frame.withColumn("asked", asked).where(asked | answered)
-    following = F.lead(~F.col("asked")).over(w)
-    return held.withColumn("answered", F.coalesce(following, F.lit(False))).where("asked and not answered").drop("asked", "answered")
+    following = previous(held, key, [F.col(order).desc()], {"answered": ~F.col("asked")})
+    return following.where(F.col("asked") & ~F.coalesce("answered", F.lit(False))).drop("asked", "answered")
 
 
 def reconcile(counts: dict[str, DataFrame], key: list[str]) -> DataFrame:
