@@ -54,7 +54,19 @@ def test_pipeline(spark, tmp_path):
     assert sizes == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in kept[4]}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
+#: Operators of other tables than documents.
+OTHERS = {"op11_prefix_trie", "op12_whitening", "op13_chat_format"}
+
+
+def test_rows_of_other_tables(spark):
+    ids = lambda table, column: {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(column).collect()}
+    got = {name: [tuple(r) for r in entry.queries()[name](spark, SF).select(*columns).collect()] for name, columns in (("op11_prefix_trie", ("conv_id", "depth")), ("op12_whitening", ("vec_id", "component")), ("op13_chat_format", ("conv_id",)))}
+    assert len(set(got["op11_prefix_trie"])) == len(got["op11_prefix_trie"]) and {c for c, _ in got["op11_prefix_trie"]} <= ids("conversations", "conv_id")
+    assert sorted(got["op12_whitening"]) == [(v, k) for v in sorted(ids("embeddings", "vec_id")) for k in range(1, 9)]
+    assert sorted(c for (c,) in got["op13_chat_format"]) == sorted(ids("conversations", "conv_id") | {-7})
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op") and n not in OTHERS))
 def test_one_row_for_each_document(spark, name):
     df = entry.queries()[name](spark, SF)
     ids = sorted({r["doc_id"] for r in df.select("doc_id").collect()})
