@@ -376,6 +376,50 @@ def test_minhash_group_of_strays(spark):
         assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(data, 80))
 
 
+def test_minhash_shared_boilerplate(spark, monkeypatch):
+    """Unlinked texts with most words in common: what is compared at last grows as they do; links among them are found."""
+    r, whole, sent = random.Random(15), minhash_dedup.apart, []
+
+    def apart(*given):
+        out = whole(*given)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "apart", apart)
+    common = [f"w{i}" for i in range(100)]
+    for n in (300, 600):
+        data = [(i, " ".join(common + [f"x{r.randint(0, 10**6)}" for _ in range(40)])) for i in range(n)]
+        for i in range(0, n, 30):  # a chain of two links, whose ends are not linked
+            words = data[i][1].split()
+            for k in (1, 2):
+                words = words[: -4 * k] + [f"y{i}"] * 4 + words[len(words) - 4 * k + 4 :]
+                data.append((n + 2 * i + k, " ".join(words)))
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(tile=32))
+        assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(data))
+    assert sent[1] < 2.5 * sent[0] and sent[1] < 5 * len(data)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_find_all_links(spark, percent):
+    """Whatever is linked across components shares a bucket of rare shingles."""
+    r, how = random.Random(16), minhash_dedup.MinHash(percent=percent)
+    pool = [[f"p{p}w{i}" for i in range(r.randint(5, 30))] for p in range(12)]
+    texts = [" ".join(w for p in r.sample(pool, r.randint(3, 6)) for w in p if r.random() > 0.02) for _ in range(120)]
+    texts += [t + " one more" for t in texts[:30]]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    prints = [minhash_dedup.shingle_sets(x, np.array([0, len(x)]), 5)[0] for x in raw]
+    sets = [(k, k % 50, len(x), x.tobytes()) for k, x in enumerate(prints)]
+    table = spark.createDataFrame(sets, "class long, comp long, n long, members binary")
+    held = {}
+    for b, c in minhash_dedup.by_rare_shingles(table, how).select("bucket", "class").collect():
+        held.setdefault(b, set()).add(c)
+    for a, comp, _, x in sets:
+        for b, other, _, y in sets[:a]:
+            if comp != other and minhash_dedup.linked(x, y, percent):
+                assert any({a, b} <= h for h in held.values())
+
+
 def test_minhash_tells_equal_names_apart(docs, spark):
     found = minhash_dedup.near_duplicates(docs, minhash_dedup.MinHash(class_bits=3))
     assert rows(found, "doc_id", "n_shingles", "component_id") == want(brute.components(ROWS))

@@ -7,10 +7,15 @@ sets, and always with the exact ratio:
 
 1. In every bucket each member is compared with one pivot, the class with most copies.
 2. Where a bucket's members are still in several components, those outside its largest one
-   are compared with all members, in tiles of bounded size.  So no link between members of a
-   bucket is lost, no group is gathered in one task, and a tile reports only links that join
-   what was apart: never all pairs.  A bucket with few such strays, as groups of near copies
-   have them, sends each member to few tiles, however large it is.
+   (strays) are compared with all members, in tiles of bounded size.  So no link between members
+   of a bucket is lost, no group is gathered in one task, and a tile reports only links that join
+   what was apart: never all pairs.  With strays of one tile's side, as groups of near copies
+   have them, each member goes to one tile, however large the bucket is.
+3. Buckets of more strays, such as texts with the same boilerplate, are dealt anew by rare
+   shingles: of sets that are near enough, the rarest n - ceil(n * percent / 100) + 1 shingles
+   of both have one in common, whatever order "rare" is, so members that share none of these are
+   not compared.  Shingles of one component only count as rarest.  Where this would send more
+   rows to tiles than the buckets themselves, the buckets stay; either way is exact.
 
 Components come from alternating large-star and small-star passes over the links.
 
@@ -183,6 +188,81 @@ def confirm(pairs: DataFrame, how: MinHash) -> DataFrame:
     return map_batches(pairs, step, LINKS)
 
 
+TOKENS = "class bigint, comp bigint, n bigint, shingle bigint"
+
+
+def tokens(sets: DataFrame) -> DataFrame:
+    """The shingles of sets (class, comp, n, members), a row each."""
+
+    def step(batch: pa.RecordBatch) -> pa.Table:
+        n = batch.column(2).to_numpy()
+        each = [pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in range(3)]
+        return pa.table([*each, pa.array(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64))], ["class", "comp", "n", "shingle"])
+
+    return map_batches(sets.select("class", "comp", "n", "members"), step, TOKENS, 64)
+
+
+def by_rare_shingles(sets: DataFrame, how: MinHash) -> DataFrame:
+    """bucket, class, n and comp of sets (class, comp, n, members) that share one of their rarest shingles with another component's."""
+    every = tokens(sets)
+    seen = every.groupBy("shingle").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    common = store(seen.where("low <> high").select("shingle", "held"), "common")
+    of = every.join(common, "shingle").groupBy("class", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    # the shingles of one component only are the first of the order
+    left = (F.expr(f"n - ceil(n * {how.percent} / 100) + 1") - (F.col("n") - F.size("shared"))).cast("int")
+    index = of.withColumn("left", left).where("left > 0").select("class", "comp", "n", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("s"))
+    index = store(index.select(F.col("s.shingle").alias("bucket"), "class", "n", "comp"), "index")
+    # shingles with the same members, those of a passage, are one bucket
+    same = [F.expr("bit_xor(xxhash64(class))").alias("x"), F.expr("bit_xor(xxhash64(class, 1))").alias("y")]
+    members = index.groupBy("bucket").agg(F.count("*").alias("held"), *same, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return store(index.join(members.groupBy("held", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket").select("bucket", "class", "n", "comp"), "rare")
+
+
+def opened(placed: DataFrame, how: MinHash) -> DataFrame:
+    """The buckets whose members (bucket, class, n, comp) are in several components, and the sides of their tiles."""
+
+    def parts(count: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(count / how.tile), F.ceil(shingles / how.tile_shingles)).cast("int")
+
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
+    whole = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("held", "shingles", "comp")).alias("top"), F.sum("held").alias("held"), F.sum("shingles").alias("shingles"))
+    held, shingles = F.col("held"), F.col("shingles")
+    strays = held - F.col("top.held")
+    sides = (F.col("top.comp").alias("main"), held, strays.alias("strays"), parts(strays, shingles - F.col("top.shingles")).alias("down"), parts(held, shingles).alias("across"))
+    return whole.where("comps > 1").select("bucket", *sides)
+
+
+#: Rows that a bucket sends to its tiles.
+SENT = "held * down + strays * across"
+
+
+def tiled(placed: DataFrame, open_: DataFrame) -> DataFrame:
+    """bucket, class, comp and tile (i, j, whether as a stray) of members of open buckets: each stray meets each member in one tile."""
+
+    def tile(rows: Column, column: Column, stray: bool) -> Column:
+        return F.struct(rows.alias("i"), column.alias("j"), F.lit(stray).alias("stray"))
+
+    i, j = (F.pmod(F.xxhash64(*by), F.col(of)).cast("int") for by, of in ((("class", "bucket"), "down"), (("bucket", "class"), "across")))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda x: tile(x, j, False))
+    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: tile(i, x, True))).otherwise(F.array().cast("array<struct<i:int,j:int,stray:boolean>>"))
+    return placed.join(open_, "bucket").select("bucket", "class", "comp", F.explode(F.concat(as_stray, as_member)).alias("tile")).select("bucket", "class", "comp", "tile.*")
+
+
+def apart(placed: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """Tiles of what is still apart in buckets (bucket, class, n, comp)."""
+    open_ = store(opened(placed, how), "open")
+    many = open_.where("down > 1")
+    sent = many.agg(F.sum(F.expr(SENT))).first()[0]
+    if not sent:
+        return tiled(placed, open_)
+    loose = placed.join(many.select("bucket"), "bucket", "left_semi").select("class", "comp").distinct()
+    rare = by_rare_shingles(sets.join(loose, "class"), how)
+    again = store(opened(rare, how), "open")
+    if (again.agg(F.sum(F.expr(SENT))).first()[0] or 0) >= sent:
+        return tiled(placed, open_)
+    return tiled(placed, open_.where("down = 1")).unionByName(tiled(rare, again))
+
+
 def tile_links(table: pa.Table, how: MinHash) -> pa.Table:
     """Links between strays and members of a tile that join components; one link is enough for each."""
     names, comps = table.column("class").to_numpy(), table.column("comp").to_numpy()
@@ -273,25 +353,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), doc: str = "doc_i
 
     placed = members.join(first.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "n", F.coalesce("comp", "class").alias("comp"))
     placed = store(placed, "placed")
-    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
-    open_ = (
-        by_comp.groupBy("bucket")
-        .agg(F.count("*").alias("comps"), F.max(F.struct("held", "shingles", "comp")).alias("top"), F.sum("held").alias("held"), F.sum("shingles").alias("shingles"))
-        .where("comps > 1")
-        .select("bucket", F.col("top.comp").alias("main"), "held", "shingles", (F.col("held") - F.col("top.held")).alias("strays"), (F.col("shingles") - F.col("top.shingles")).alias("stray_shingles"))
-    )
-
-    def parts(count: str, shingles: str) -> Column:
-        return F.greatest(F.ceil(F.col(count) / how.tile), F.ceil(F.col(shingles) / how.tile_shingles)).cast("int")
-
-    def tile(rows: Column, column: Column, stray: bool) -> Column:
-        return F.struct(rows.alias("i"), column.alias("j"), F.lit(stray).alias("stray"))
-
-    i, j = (F.pmod(F.xxhash64(*by), parts(*of)).cast("int") for by, of in ((("class", "bucket"), ("strays", "stray_shingles")), (("bucket", "class"), ("held", "shingles"))))
-    as_member = F.transform(F.sequence(F.lit(0), parts("strays", "stray_shingles") - 1), lambda x: tile(x, j, False))
-    as_stray = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), parts("held", "shingles") - 1), lambda x: tile(i, x, True))).otherwise(F.array().cast("array<struct<i:int,j:int,stray:boolean>>"))
-    tiles = placed.join(open_, "bucket").select("bucket", "class", "comp", F.explode(F.concat(as_stray, as_member)).alias("tile"))
-    joined = tiles.select("bucket", "class", "comp", "tile.*").join(sets.select("class", "signature", "members"), "class")
+    joined = apart(placed, sets, how).join(sets.select("class", "signature", "members"), "class")
     more = joined.groupBy("bucket", "i", "j").applyInArrow(lambda t: tile_links(t, how), LINKS)
     links = stars.unionByName(store(more, "links"))
 
