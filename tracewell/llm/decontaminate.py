@@ -7,9 +7,10 @@ strings' last blocks, and each string found there is compared with the text word
 All segments of a batch of texts are searched in step, so that each move is one array
 operation; a segment starts early enough for no occurrence to be lost.
 
-The benchmark is read in blocks of bounded size, one pass over the documents for each, so
-no more than `block_words` benchmark words are ever sent to the executors at once, as one
-broadcast for each block.  A benchmark of ten million words takes some fifty passes.
+The benchmark's items are dealt to blocks of some `block_words` words, by true counts, one
+pass over the documents and one broadcast for each; an item is in one block, so a block holds
+no more than about that and its longest item.  A benchmark of ten million words takes twenty
+passes.  Words are compared by their 64-bit fingerprints.
 
 Null texts have no words and are clean.  An item without words is no test string; an item
 without id marks words but is not counted.  Equal rows get equal results, each its own row.
@@ -32,6 +33,7 @@ from . import bytetext as bt
 from .tables import map_batches, row_key, store
 
 SEGMENT = 512
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # letters not lower-cased yet
 
 
 def word_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +50,13 @@ class Patterns:
     words: np.ndarray  # strings x length
     items: list[list[str]]
 
-    BITS = 18
+    LEAST_BITS, MOST_BITS = 18, 24  # of the shift table, which has four slots for each of the strings' blocks where it may
 
     def __post_init__(self):
         n, self.length = self.words.shape
         self.block = min(2, self.length)
-        self.shifts = np.full(1 << self.BITS, self.length - self.block + 1, np.int32)
+        self.bits = min(self.MOST_BITS, max(self.LEAST_BITS, (4 * n * self.length).bit_length()))
+        self.shifts = np.full(1 << self.bits, self.length - self.block + 1, np.int8 if self.length < 128 else np.int32)
         for end in range(self.block - 1, self.length):
             np.minimum.at(self.shifts, self.slot(self.keys(self.words, end)), self.length - 1 - end)
         last = self.keys(self.words, self.length - 1)
@@ -68,7 +71,7 @@ class Patterns:
         return bt.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, text: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and string numbers of all occurrences in rows of words that begin at first and end before after."""
@@ -159,17 +162,17 @@ def search(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 200_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """How many words of each document lie in windows of benchmark items, and of how many items; row is the row's key."""
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), row_key(doc, text).alias("row"), F.col(text).alias("text"))
     tests = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_words)))  # a word and what parts it take two characters at least
+    size = tests.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    blocks = max(1, -(-size // block_words))
     place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     parts = None
     for b in range(blocks):
-        held = [(r["item"], r["text"]) for r in tests.where(place == b).collect()]  # bounded by block_words
+        held = [(r["item"], r["text"]) for r in tests.where(place == b).collect()]  # about block_words words
         part = search(rows, build(held, width))
         parts = part if parts is None else parts.unionByName(part)
     if blocks > 1:
