@@ -24,6 +24,12 @@ def hex_display(column: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(column)))
 
 
+def hex_padded(column: Column, least: int = 4) -> Column:
+    """An identifier in hexadecimal of that many digits, or all it has where it has more; lpad alone would cut it."""
+    digits = F.lower(F.hex(column))
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(least)), F.lit("0"))
+
+
 def slot_key(column: Column) -> Column:
     """'frame.slot' as a struct of integers; anything else is null."""
     parts = F.regexp_extract(column, r"^(\d{1,9})\.(\d{1,9})$", 1), F.regexp_extract(column, r"^(\d{1,9})\.(\d{1,9})$", 2)
