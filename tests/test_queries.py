@@ -61,6 +61,6 @@ def equals_sql_on(spark, folder, name):
     assert Counter(tuple(cell(r[c]) for c in columns) for r in got.collect()) == Counter(tuple(cell(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q59_device_fields", "q60_device_places", "q62_device_phy"])
+@pytest.mark.parametrize("name", ["q59_device_fields", "q60_device_places", "q61_device_summary", "q62_device_phy"])
 def test_wide_identifiers_in_device_logs(spark, wide, name):
     equals_sql_on(spark, wide, name)

@@ -14,6 +14,10 @@ def micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
 
 
+#: Fixed value: an identifier as logs print it, of four hexadecimal digits; greater ones have more, without zeros before them.
+HEX_ID = "(?:[0-9a-fA-F]{4}|[1-9a-fA-F][0-9a-fA-F]{4,})"
+
+
 def hex_id(column: Column) -> Column:
     """An identifier written in hexadecimal, with or without 0x, as an integer; anything else is null."""
     digits = F.regexp_replace(F.lower(F.trim(column)), "^0x", "")

@@ -143,7 +143,7 @@ def device_summary(lines: DataFrame, key: list[str], order: str, value: str = "v
         F.count("*").alias("lines"), F.min_by("ts", F.when(timed, F.col(order))).alias("first_ts"), F.max_by("ts", F.when(timed, F.col(order))).alias("last_ts"),
         *(F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()),
         *(last_where(_got(v, rf"{w} on {date}"), v.startswith("#") & v.rlike(rf"{w} on {date}"), order).alias(n) for w, n in (("Started", "started_on"), ("Ended", "ended_on"))),
-        F.array_sort(F.collect_set(F.when(F.col("state_ue").rlike("^[0-9a-fA-F]{4}$"), F.col("state_ue")))).alias("ues"),
+        F.array_sort(F.collect_set(F.when(F.col("state_ue").rlike(f"^{fn.HEX_ID}$"), F.col("state_ue")))).alias("ues"),
         F.array_sort(F.collect_set(F.when(F.col("cell").rlike("^[0-9]{2}$"), F.col("cell")))).alias("cells"),
     )
 
