@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import bytetext, decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup
+from tracewell.llm import bytetext, decontaminate, katz, language_id, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, queries, suffix_dedup, tables
 from tracewell.llm.tables import held_out, row_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, words string, found string"
@@ -90,6 +90,18 @@ def test_registered_katz_is_a_trigram_model(spark, docs, tmp_path):
         assert r["score"] == pytest.approx(x, rel=1e-9, abs=1e-9)
 
 
+def test_katz_scores_store_no_model(docs, monkeypatch):
+    how, stored = katz.Katz(order=3, chunk_bytes=4000, bucket_grams=500), []
+    monkeypatch.setattr(katz, "store", lambda *a: stored.append(katz_store(*a)) or stored[-1])
+    katz_store = tables.store
+    kept, model, _ = katz.train(docs, ~held_out(10, 0), how)
+    assert model.count() > 0
+    stored.clear()
+    got = katz.katz_scores(docs, ~held_out(10, 0), how)
+    assert sum(t.where("kind = 'model'").count() for t in stored if "kind" in t.columns) == 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, kept.collect()))
+
+
 def test_katz_sums_to_one(docs):
     words = sorted({w for _, t in ROWS for w in brute.Katz.tokens(t) if w})[:60]
     model = brute.Katz([brute.Katz.tokens(" ".join(words[i:] + words[:9])) for i in range(0, 50, 3)], 2)

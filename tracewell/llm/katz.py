@@ -9,7 +9,7 @@ to one.  A word that was never seen is one more event of the shortest, empty his
   list of distinct fingerprints.
 * Level by level, each chunk sends its distinct n-grams, with counts and with the counts that
   tell the next lower level's probabilities, to buckets.  A bucket has all n-grams of a history.  It adds them up,
-  writes its part of the model table, and answers every chunk with counts and with the sums
+  writes its part of the model table, where that is asked for, and answers every chunk with counts and with the sums
   that the backoff weights are made of.  Discounts are known when all buckets have counted.
   Single words are given short numbers, which name them from then on.
 * A history that occurs once in training, and in no text that is only scored, is lonely: one
@@ -240,8 +240,8 @@ def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray, whole: n
 COUNTED = "kind string, bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, sums binary, lower binary, census array<bigint>"
 
 
-def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int) -> pa.Table:
-    """One bucket: its part of the model, an answer to every request, counts of counts, and what is heavy."""
+def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int, keep_model: bool) -> pa.Table:
+    """One bucket: its part of the model, if that is kept, an answer to every request, counts of counts, and what is heavy."""
     rows = table.to_pylist()
     length = [expand(r["runs"]).astype(np.int64) for r in rows]
     names = [np.cumsum(expand(r["histories"]), dtype=U) for r in rows]
@@ -276,7 +276,7 @@ def count(table: pa.Table, level: Level, below: Level | None, k: int, limit: int
         out.append(("answer", b, r["chunk"], None, None, given, squeeze(2 * c + alone[gram[place : place + m.sum()]]), squeeze(sums[:, which].ravel()), squeeze(seen[which[back]])))
         place += m.sum()
     known = total > 0
-    if known.any():
+    if keep_model and known.any():
         lead = runs(h[known])
         mine = np.searchsorted(h[own], h[known][lead])
         out.append(("model", b, None, squeeze(np.diff(h[known][lead], prepend=U(0))), squeeze(np.diff(np.append(lead, known.sum()))), squeeze(steps(w[known], lead)), squeeze(total[known]), squeeze(sums[:, mine].ravel()), squeeze(seen[mine])))
@@ -381,12 +381,15 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 
 def katz_scores(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of all rows by a model that learns from those where learn_from holds."""
-    return train(docs, learn_from, how, doc, text)[0]
+    """Scores of all rows by a model that learns from those where learn_from holds; the model table is not written."""
+    return train(docs, learn_from, how, doc, text, keep_model=False)[0]
 
 
-def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, list[Level]]:
-    """The scores, the model table (partitioned by level) and the levels' discounts."""
+def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id", text: str = "text", keep_model: bool = True) -> tuple[DataFrame, DataFrame, list[Level]]:
+    """The scores, the model table (partitioned by level; empty unless it is to be kept) and the levels' discounts.
+
+    The scores come of the answers to the chunks, the model table is for other uses.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), (~F.coalesce(learn_from, F.lit(False))).alias("held"), F.col(text).alias("text"))
     # bucketed by chunk, so that answers come to the chunks and chunks stay where they are
@@ -425,7 +428,7 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         k = how.discounted
 
         def add(table: pa.Table) -> pa.Table:
-            return count(table, levels[-1], levels[-2] if len(levels) > 1 else None, k, limit)
+            return count(table, levels[-1], levels[-2] if len(levels) > 1 else None, k, limit, keep_model)
 
         table = store(requests.groupBy("bucket").applyInArrow(add, COUNTED), f"katz-level{number}", "kind")
         small = table.where(F.col("kind").isin("heavy", "salted")).select("kind", "histories", "counts", "sums", "lower").toArrow().to_pylist()  # heavy histories
