@@ -59,3 +59,21 @@ def test_components_and_roots(spark, monkeypatch, hot):
     found = joins.roots(spark.createDataFrame(list(up.items()), "node long, up long")).collect()
     assert {x["node"]: x["root"] for x in found} == {k: top(k) for k in up}
     assert joins.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_links_are_contracted_to_nodes(spark, at_once):
+    draw = random.Random(at_once)
+    pairs = [(g * 100 + draw.randrange(60), g * 100 + draw.randrange(60)) for g in range(-3, 3) for _ in range(400)] + [(999, 999)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(2)
+    got = joins.contracted(links, at_once).collect()
+    nodes = {x for p in pairs for x in p}
+    assert {r.a for r in got} == nodes and all(r.b <= r.a for r in got)
+    if at_once > len(pairs):
+        assert len(got) <= 2 * len(nodes) < len(set(pairs))  # a node once a task
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    few = {(r.node, r.root) for r in joins.components(spark.createDataFrame(got)).collect()}
+    assert few == set(root.items()) == {(r.node, r.root) for r in joins.components(links).collect()}

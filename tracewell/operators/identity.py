@@ -68,8 +68,8 @@ def lifecycles(frame: DataFrame, run: str, order: str, message: str, ids: list[s
     names = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.xxhash64(run, F.lit(n), n)) for n in ids)))  # ids of one hash only make a component larger
     rows = frame.select(F.col(run).alias("run"), F.col(order).alias("at"), F.col(message).alias("message"), *ids, names.alias("names")).where(F.size("names") > 0)
     rows = store(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("node", F.col("names")[0]), "rows")
-    links = rows.select(F.col("node").alias("a"), F.explode("names").alias("b")).distinct()
-    asked = store(rows.groupBy("node").agg(F.count("*").alias("n")).join(components(store(links, "links")), "node"), "components")
+    links = rows.select(F.col("node").alias("a"), F.explode("names").alias("b"))
+    asked = store(rows.groupBy("node").agg(F.count("*").alias("n")).join(components(links), "node"), "components")
     total = asked.agg(F.sum("n")).first()[0] or 0
     placed = look_up(rows.drop("names"), asked, ["node"], often_asked("n", total))
     dealt = placed.repartition("run", "root").sortWithinPartitions("run", "root", "at", "row").select("run", "root", "at", "row", "message", *ids)

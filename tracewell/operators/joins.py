@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +44,42 @@ def roots(pointers: DataFrame) -> DataFrame:
             return table.withColumnRenamed("up", "root")
 
 
+def contracted(links: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """Links with the same components, of each node to the least one it is connected with, within so many links of a task at once."""
+
+    def least(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        root = np.arange(len(nodes))
+        while (root[x] != root[y]).any():
+            u, v = root[x], root[y]
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while (root != root[root]).any():
+                root = root[root]
+        return pa.record_batch([pa.array(nodes), pa.array(nodes[root])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= at_once:
+                yield least(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield least(*map(np.concatenate, zip(*held)))
+
+    return links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node and root, its component's least node, of links (a, b) between whole numbers, by alternating large and small stars."""
+    """node and root, its component's least node, of links (a, b) between whole numbers, by alternating large and small stars.
+
+    Links are contracted first where they are read, so that rounds go over nodes rather than links.
+    """
     downward = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = store(links.where("a <> b").select(*downward).distinct(), "links")
+    links = store(contracted(links), "links")
+    edges = links.where("a <> b").select(*downward)
     total = 2 * edges.count()  # a star has no more links than it is made of
 
     def star(near: DataFrame, large: bool) -> DataFrame:
