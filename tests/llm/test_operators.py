@@ -102,6 +102,25 @@ def test_katz_scores_store_no_model(docs, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, kept.collect()))
 
 
+def test_katz_answers_are_dealt_to_chunks_once(docs, monkeypatch):
+    """No level deals out again what the levels below have answered, and words alone make no more buckets than they need."""
+    plans, asked, katz_store, request = {}, [], tables.store, katz.Level
+    monkeypatch.setattr(katz, "Level", lambda *a, **b: asked.append(request(*a, **b)) or asked[-1])
+    monkeypatch.setattr(katz, "store", lambda df, name, *a: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or katz_store(df, name, *a))
+    katz.katz_scores(docs, ~held_out(10, 0), katz.Katz(order=3, chunk_bytes=20_000, bucket_grams=500))
+    assert [plans[f"katz-level{n}"].count("Exchange hashpartitioning") for n in (1, 2, 3)] == [1, 1, 1]
+    assert "Exchange" not in plans["katz-scores"]
+    assert asked[0].buckets < asked[1].buckets == asked[2].buckets
+
+
+@pytest.mark.parametrize("bound", [50, 1 << 40, 1 << 62])
+def test_katz_distinct_numbers(bound):
+    keys = np.random.default_rng(5).integers(0, bound, 3000, dtype=np.uint64)
+    keys[1000:2000] = keys[:1000]
+    got, at, which = katz.distinct(keys.copy(), bound)
+    assert (got == np.unique(keys)).all() and (keys[at] == got).all() and (got[which] == keys).all()
+
+
 def test_katz_sums_to_one(docs):
     words = sorted({w for _, t in ROWS for w in brute.Katz.tokens(t) if w})[:60]
     model = brute.Katz([brute.Katz.tokens(" ".join(words[i:] + words[:9])) for i in range(0, 50, 3)], 2)

@@ -12,6 +12,8 @@ to one.  A word that was never seen is one more event of the shortest, empty his
   writes its part of the model table, where that is asked for, and answers every chunk with counts and with the sums
   that the backoff weights are made of.  Discounts are known when all buckets have counted.
   Single words are given short numbers, which name them from then on.
+  Answers are dealt to the chunks once, into a table that lies by chunk as the chunks do.
+  Histories of two words are dealt by the first, so that near names are sent together.
 * A history that occurs once in training, and in no text that is only scored, is lonely: one
   token has it, whose n-gram occurs once too.  Its chunk knows that from the level below and
   asks nothing; such n-grams are counted, and stay in the chunks, which have them.
@@ -44,9 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .tables import shared_folder, shuffles_dropped, store
+from .tables import forget, shared_folder, shuffles_dropped, store
 
 U = np.uint64
+I = np.int32  # of places in a chunk
+SQUEEZER, EXPANDER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 END, ROOT, STRIDE = U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D1)
 
 
@@ -55,7 +59,7 @@ class Katz:
     order: int = 2
     discounted: int = 5  # counts up to this are discounted
     chunk_bytes: int = 6 << 20
-    bucket_grams: int = 600_000
+    bucket_grams: int = 1_200_000
     heavy: int = 200_000
     most_heavy: int = 65_536
 
@@ -65,16 +69,16 @@ def squeeze(x: np.ndarray) -> bytes:
     if x.dtype.kind in "ui":
         x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
     planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T  # bytes of one weight together
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return x.dtype.char.encode() + SQUEEZER.compress(planes.tobytes())
 
 
 def expand(b: bytes) -> np.ndarray:
     kind = np.dtype(b[:1].decode())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    planes = np.frombuffer(EXPANDER.decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-CHUNKS = "chunk bigint, docs array<bigint>, held array<boolean>, sizes binary, words binary, tokens binary, n_tokens bigint, train_tokens bigint, train_docs bigint"
+CHUNKS = "chunk bigint, docs array<bigint>, held array<boolean>, sizes binary, words binary, tokens binary, n_tokens bigint, n_words bigint, train_tokens bigint, train_docs bigint"
 
 
 def chunks(docs: DataFrame, how: Katz) -> DataFrame:
@@ -82,10 +86,12 @@ def chunks(docs: DataFrame, how: Katz) -> DataFrame:
 
     def row(number: int, ids: list, held: list, sizes: list, tokens: list) -> pa.RecordBatch:
         size, words = np.concatenate(sizes), np.concatenate(tokens)
-        names, which = np.unique(words, return_inverse=True)
+        coded = pa.array(words).dictionary_encode()
+        names, place = np.unique(coded.dictionary.to_numpy(zero_copy_only=False), return_inverse=True)
+        which = place[coded.indices.to_numpy(zero_copy_only=False)]
         train = ~np.array(held, bool)
-        cells = [number, ids, held, squeeze(size), squeeze(np.diff(names, prepend=U(0))), squeeze(which), len(words), int(size[train].sum()), int(train.sum())]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3, *[pa.int64()] * 3]
+        cells = [number, ids, held, squeeze(size), squeeze(np.diff(names, prepend=U(0))), squeeze(which), len(words), len(names), int(size[train].sum()), int(train.sum())]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3, *[pa.int64()] * 4]
         return pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds)], [x.split()[0] for x in CHUNKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +135,22 @@ class Level:
     lower: np.ndarray = field(default_factory=lambda: np.zeros(0))
     types: int = 0
     packed: bool = False  # its n-grams, as histories, are named by two numbers of words side by side
+    leads: Level | None = None  # the level below, if histories are so named: they are dealt by the first word
 
     def deal(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        dealt = history
+        if self.leads:  # so that those of a word, which have near names, are sent together
+            lead = history >> U(32)
+            dealt = bt.mix(lead + self.leads.salt(lead, history) * STRIDE)
+        return (bt.mix(dealt + self.salt(history, word) * STRIDE) % U(self.buckets)).astype(np.int64)
+
+    def salt(self, history: np.ndarray, by: np.ndarray) -> np.ndarray:
         salt = np.zeros(len(history), U)
         if len(self.heavy):
             at = np.minimum(np.searchsorted(self.heavy, history), len(self.heavy) - 1)
             own = self.heavy[at] == history
-            salt[own] = bt.mix(word[own] + STRIDE) % self.salts[at[own]]
-        return (bt.mix(history + salt * STRIDE) % U(self.buckets)).astype(np.int64)
+            salt[own] = bt.mix(by[own] + STRIDE) % self.salts[at[own]]
+        return salt
 
 
 def discounts(census: np.ndarray, k: int) -> np.ndarray:
@@ -150,39 +164,82 @@ def discounts(census: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([[1.0], 1 - 0.5 / np.arange(1, k + 1)])
 
 
+def distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of numbers below bound, in order, a place of each, and which one each is; the numbers are overwritten."""
+    bits = len(keys).bit_length()
+    if bound.bit_length() + bits > 64:
+        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        return keys, at.astype(I), which.astype(I)
+    keys <<= U(bits)
+    keys |= np.arange(len(keys), dtype=U)
+    keys.sort()  # numbers with their places: much faster than to sort places by numbers
+    place = (keys & U((1 << bits) - 1)).astype(I)
+    keys >>= U(bits)
+    lead = runs(keys)
+    which = np.empty(len(keys), I)
+    which[place] = np.repeat(np.arange(len(lead), dtype=I), np.diff(np.append(lead, len(keys))))
+    return keys[lead], place[lead], which
+
+
+@dataclass
+class Known:
+    """What is known of a chunk's tokens at a level: of tells each token's n-gram, the last one stands for all that follow lonely histories."""
+
+    of: np.ndarray
+    p: np.ndarray
+    count: np.ndarray
+    whole: np.ndarray  # what the count is divided by
+    alone: np.ndarray
+
+
 class Chunk:
     """A chunk's tokens, and its distinct n-grams level by level."""
 
     def __init__(self, row: dict):
-        self.size, self.words, self.tokens = expand(row["sizes"]).astype(np.int64), np.cumsum(expand(row["words"]), dtype=U), expand(row["tokens"]).astype(np.int64)
+        self.size, self.names, self.tokens = expand(row["sizes"]).astype(np.int64), np.cumsum(expand(row["words"]), dtype=U), expand(row["tokens"]).astype(I)
         self.first = np.cumsum(self.size) - self.size
         self.train = np.repeat(~np.array(row["held"], bool), self.size)
-        self.history = np.full(len(self.tokens), ROOT)
+        self.histories = np.array([ROOT])  # names of the chunk's histories, and which one each token has
+        self.history = np.zeros(len(self.tokens), I)
         self.lonely = np.zeros(len(self.tokens), bool)  # whether a token's history occurs nowhere else
-        self.names = self.words  # of the words, at the level at hand
 
     def grams(self, level: Level) -> None:
-        """The distinct n-grams, but for those of lonely histories, sorted by bucket, history and word."""
-        self.asks = np.flatnonzero(~self.lonely)
-        names, which = np.unique(self.history[self.asks], return_inverse=True)
-        n = len(self.words)
-        by_name = np.argsort(self.names)
-        place = np.empty(n, np.int64)
-        place[by_name] = np.arange(n)
-        keys, at, self.inverse = np.unique(which * n + place[self.tokens[self.asks]], return_index=True, return_inverse=True)
-        self.at = self.asks[at]
-        self.h, self.w = names[keys // n], self.names[by_name[keys % n]]
-        bucket = level.deal(self.h, self.w)
-        self.order = np.argsort(bucket, kind="stable")
+        """The distinct n-grams, but for those of lonely histories, in the order of history and word; order sorts them by bucket."""
+        n = len(self.names)
+        if level.number == 1:  # words are distinct as they are
+            self.asks, self.which, self.word, self.inverse = np.arange(len(self.tokens), dtype=I), np.zeros(n, I), np.arange(n, dtype=I), self.tokens
+            self.at = np.empty(n, I)
+            self.at[self.tokens] = self.asks
+        else:
+            self.asks = np.flatnonzero(~self.lonely).astype(I)
+            keys = self.history[self.asks].astype(U)
+            keys *= U(n)
+            keys += self.tokens[self.asks].astype(U)
+            keys, at, self.inverse = distinct(keys, len(self.histories) * n)
+            self.at = self.asks[at]
+            self.which = (keys // U(n)).astype(I)
+            self.word = (keys - self.which.astype(U) * U(n)).astype(I)
+        bucket = level.deal(self.histories[self.which], self.names[self.word]).astype(np.min_scalar_type(level.buckets))
+        self.order = np.argsort(bucket, kind="stable").astype(I)
         self.bucket = bucket[self.order]
 
-    def go_on(self, level: Level, alone: np.ndarray) -> None:
+    def go_on(self, level: Level, known: Known) -> None:
         """Histories of the next level: each token's n-gram is the next token's history, lonely if the n-gram is alone."""
-        self.lonely = np.concatenate([alone[:1], alone[:-1]])
+        alone = known.alone[known.of]
+        self.lonely = np.append(alone[:1], alone[:-1])
         self.lonely[self.first] = False
-        gram = follow(self.history, self.names[self.tokens], level)
-        self.history = np.concatenate([gram[:1], gram[:-1]])
-        self.history[self.first] = start(level)
+        names, gram = follow(self.histories[self.which], self.names[self.word], level), known.of
+        if (names[1:] < names[:-1]).any():  # histories and words stand in the order of their names
+            by_name = np.argsort(names)
+            place = np.zeros(len(names) + 1, I)
+            place[by_name] = np.arange(len(names), dtype=I)
+            names, gram = names[by_name], place[gram]
+        if level.number == 1:
+            self.names, self.tokens = names, gram
+        self.histories = np.append(start(level), names)
+        self.history = np.append(gram[:1], gram[:-1])  # after a lonely history it is not looked at
+        self.history += I(1)
+        self.history[self.first] = 0
 
 
 def follow(history: np.ndarray, word: np.ndarray, level: Level) -> np.ndarray:
@@ -221,14 +278,18 @@ def runs(h: np.ndarray) -> np.ndarray:
 REQUESTS = "bucket int, chunk bigint, histories binary, runs binary, words binary, counts binary, lower binary, whole binary, lonely bigint"
 
 
-def request(number: int, chunk: Chunk, level: Level, lower: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-    """The chunk's n-grams for each bucket; lower and whole: the counts that tell its tokens' probabilities at the level below."""
+def request(number: int, chunk: Chunk, level: Level, below: Known | None) -> pa.RecordBatch:
+    """The chunk's n-grams for each bucket, with the counts that tell its tokens' probabilities at the level below."""
     chunk.grams(level)
     train = chunk.train[chunk.asks]
     count = np.bincount(chunk.inverse, train, len(chunk.at)).astype(np.int64) * 2
     count[chunk.inverse[~train]] |= 1  # an n-gram of a text that is only scored
     count, lonely = count[chunk.order], int(chunk.lonely.sum())
-    h, w, low, all_ = (x[chunk.order] for x in (chunk.h, chunk.w, lower[chunk.at], whole[chunk.at]))
+    h, w = chunk.histories[chunk.which[chunk.order]], chunk.names[chunk.word[chunk.order]]
+    low = all_ = np.zeros(len(h), np.uint8)
+    if below:
+        gram = below.of[chunk.at[chunk.order]]
+        low, all_ = below.count[gram], below.whole[gram]
     out = []
     for b, i, j in slices(chunk.bucket):
         own = runs(h[i:j])  # ascending
@@ -303,47 +364,44 @@ def backs_off(c: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(c == 0, own)
 
 
-def probabilities(chunk: Chunk, level: Level, answers: list[dict], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its probability at this level, its n-gram's count, what that is divided by, and whether the n-gram is alone."""
+def probabilities(chunk: Chunk, level: Level, answers: list[dict], below: Known | None) -> Known:
+    """What is known of the chunk's n-grams at this level."""
     chunk.grams(level)
     by = {a["bucket"]: a for a in answers}
-    k = len(level.discounts) - 1
-    h, low = chunk.h[chunk.order], lower[chunk.at][chunk.order]
-    p, counts, wholes, alone = np.empty(len(h)), np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.empty(len(h), bool)
-    given = np.empty(len(h), U)
+    k, n = len(level.discounts) - 1, len(chunk.at)
+    # after a lonely history comes what came after it in training
+    once = np.zeros((k + 1, 1), np.int64)
+    once[:2] = 1
+    one = backoff(once, np.zeros(1), level)[1][0]
+    of = np.full(len(chunk.tokens), n, I)
+    of[chunk.asks] = chunk.inverse
+    out = Known(of, np.full(n + 1, level.discounts[1] / one), np.ones(n + 1, np.int64), np.full(n + 1, one, np.int64), np.ones(n + 1, bool))
+    given = np.empty(n, U)
     for b, i, j in slices(chunk.bucket):
-        own = runs(h[i:j])
+        at = chunk.order[i:j]
+        h = chunk.which[at]
+        own = runs(h)
         run = np.diff(np.append(own, j - i))
         c = expand(by[b]["counts"]).astype(np.int64)
-        alone[i:j], c = c & 1, c >> 1
+        out.alone[at], c = c & 1, c >> 1
         sums, seen = expand(by[b]["sums"]).astype(np.int64).reshape(k + 1, -1), np.zeros(len(own))
         seen[backs_off(c, own)] = expand(by[b]["lower"])
         if len(level.heavy):
-            name = h[i:j][own]
-            at = np.minimum(np.searchsorted(level.heavy, name), len(level.heavy) - 1)
-            salted = level.heavy[at] == name
-            sums[:, salted], seen[salted] = level.sums[:, at[salted]], level.lower[at[salted]]
+            name = chunk.histories[h[own]]
+            big = np.minimum(np.searchsorted(level.heavy, name), len(level.heavy) - 1)
+            salted = level.heavy[big] == name
+            sums[:, salted], seen[salted] = level.sums[:, big[salted]], level.lower[big[salted]]
         alpha, whole = backoff(sums, seen, level)
         d = level.discounts[np.where(c <= k, c, 0)]
         whole = np.repeat(whole, run)
-        p[i:j] = np.where(c > 0, d * c / np.maximum(whole, 1), np.repeat(alpha, run) * low[i:j])
-        counts[i:j], wholes[i:j] = c, whole
+        low = below.p[below.of[chunk.at[at]]] if below else 1 / (level.types + 1)
+        out.p[at] = np.where(c > 0, d * c / np.maximum(whole, 1), np.repeat(alpha, run) * low)
+        out.count[at], out.whole[at] = c, whole
         if level.number == 1:
-            given[i:j] = expand(by[b]["words"])
+            given[at] = expand(by[b]["words"])
     if level.number == 1:  # each word is one n-gram here
-        chunk.names = np.empty(len(chunk.words), U)
-        chunk.names[chunk.tokens[chunk.at[chunk.order]]] = given
-    back = np.empty(len(h), np.int64)
-    back[chunk.order] = np.arange(len(h))
-    token = back[chunk.inverse]
-    # after a lonely history comes what came after it in training
-    once = np.zeros((k + 1, 1), np.int64)
-    once[:2] = 1
-    one = backoff(once, np.zeros(1), level)[1]
-    out = [np.full(len(chunk.tokens), level.discounts[1] / one[0]), np.ones(len(chunk.tokens), np.int64), np.full(len(chunk.tokens), one[0]), np.ones(len(chunk.tokens), bool)]
-    for every, own in zip(out, (p, counts, wholes, alone)):
-        every[chunk.asks] = own[token]
-    return tuple(out)
+        chunk.names = given
+    return out
 
 
 def backoff(sums: np.ndarray, seen: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -361,20 +419,14 @@ def backoff(sums: np.ndarray, seen: np.ndarray, level: Level) -> tuple[np.ndarra
     return alpha, whole
 
 
-def zero(level: Level, n: int) -> np.ndarray:
-    """Every word's probability below the empty history, as one of the known words or the unknown one."""
-    return np.full(n, 1 / (level.types + 1))
-
-
-def walk(row: dict, levels: list[Level], answers: list[dict]) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token probabilities, counts and what these are divided by at the last of the levels, and the counts of single words."""
-    chunk = Chunk(row)
-    p, single = zero(levels[0], len(chunk.tokens)), np.zeros(len(chunk.tokens), np.int64)
+def walk(row: dict, levels: list[Level], answers: list[dict], last: bool = False) -> tuple[Chunk, Known, Known]:
+    """The chunk, ready for the next level if there is one, and what is known at the first and at the last of the levels."""
+    chunk, known = Chunk(row), []
     for level in levels:
-        p, c, whole, alone = probabilities(chunk, level, [a for a in answers if a["level"] == level.number], p)
-        single = c if level.number == 1 else single
-        chunk.go_on(level, alone)
-    return chunk, p, c, whole, single
+        known = [*known[:1], probabilities(chunk, level, [a for a in answers if a["level"] == level.number], known[-1] if known else None)]
+        if not last or level is not levels[-1]:
+            chunk.go_on(level, known[-1])
+    return chunk, known[0], known[-1]
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -394,13 +446,21 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), (~F.coalesce(learn_from, F.lit(False))).alias("held"), F.col(text).alias("text"))
     # bucketed by chunk, so that answers come to the chunks and chunks stay where they are
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"chunks_{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
-        chunks(rows, how).write.option("path", f"{shared_folder(spark)}/tables/{name}").option("compression", "none").bucketBy(parts, "chunk").format("parquet").saveAsTable(name)
-    held = spark.table(name)
-    whole = held.agg(F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("train"), F.sum("train_docs").alias("docs")).first()
+    made = uuid.uuid4().hex
+
+    def by_chunk(df: DataFrame, name: str) -> DataFrame:
+        """The rows added to a table, and the whole of it."""
+        with shuffles_dropped(spark):
+            df.write.mode("append").option("path", f"{shared_folder(spark)}/tables/{name}_{made}").option("compression", "none").bucketBy(parts, "chunk").format("parquet").saveAsTable(f"{name}_{made}")
+        return spark.table(f"{name}_{made}")
+
+    held = by_chunk(chunks(rows, how), "chunks")
+    whole = held.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), F.sum("train_tokens").alias("train"), F.sum("train_docs").alias("docs")).first()
     tokens, n_train = whole["tokens"] or 0, whole["train"] or 0
-    buckets, limit = max(1, -(-tokens // how.bucket_grams)), max(how.heavy, n_train // how.most_heavy)
+    limit = max(how.heavy, n_train // how.most_heavy)
+
+    def buckets(asked: int | None) -> int:
+        return max(1, -(-(asked or 0) // how.bucket_grams))
 
     def salts(total: np.ndarray) -> np.ndarray:
         return np.maximum(1, -(-total.astype(np.int64) // limit)).astype(U)
@@ -409,22 +469,21 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     heavy, totals = np.array([ROOT]), np.array([max(tokens, 1)])
     for number in range(1, how.order + 1):
         order = np.argsort(heavy)
-        level = Level(number, buckets, heavy[order], salts(totals[order]))
+        level = Level(number, buckets(whole["words"] if number == 1 else tokens), heavy[order], salts(totals[order]))
         done = list(levels)
         levels.append(level)
-        level.packed = number == 2 and (most + 1) * buckets < 1 << 32  # more than the greatest number of a word
+        level.leads = done[-1] if done and done[-1].packed else None
+        level.packed = number == 2 and (most + 1) * levels[0].buckets < 1 << 32  # more than the greatest number of a word
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 if done:
-                    chunk, _, c, whole, _ = walk(row, done, row["answers"])
-                    yield request(row["chunk"], chunk, level, c, whole)
+                    chunk, _, known = walk(row, done, row.pop("answers"))
+                    yield request(row["chunk"], chunk, level, known)
                 else:
-                    chunk = Chunk(row)
-                    none = np.zeros(len(chunk.tokens), np.int64)
-                    yield request(row["chunk"], chunk, level, none, none)
+                    yield request(row["chunk"], Chunk(row), level, None)
 
-        requests = joined(held, answers, parts).mapInArrow(ask, REQUESTS)
+        requests = joined(held, answers).mapInArrow(ask, REQUESTS)
         k = how.discounted
 
         def add(table: pa.Table) -> pa.Table:
@@ -449,14 +508,16 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
         if (whole["docs"] or 0) > limit:
             heavy, totals = np.append(heavy, start(level)), np.append(totals, whole["docs"])
         tables.append(table.where("kind = 'model'").select(F.lit(number).alias("level"), "bucket", "histories", "runs", "words", "counts", "sums", "lower"))
-        said = table.where("kind = 'answer'").select(F.lit(number).alias("level"), "bucket", "chunk", "words", "counts", "sums", "lower")
-        answers = said if answers is None else answers.unionByName(said)
+        said = table.where("kind = 'answer'").select(F.lit(number).alias("level"), "bucket", "chunk", "words", "counts", "sums", "lower").repartition(parts, "chunk")
+        answers = by_chunk(said, "answers")  # dealt to the chunks once, for all levels above
+        if not keep_model:
+            forget([table])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            chunk, p, _, _, c = walk(row, levels, row["answers"])
-            base = np.log10((c + 0.1) / (n_train + 0.1 * (levels[0].types + 1)))
-            sums = [np.add.reduceat(x, chunk.first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+            chunk, single, known = walk(row, levels, row.pop("answers"), last=True)
+            base = np.log10((single.count + 0.1) / (n_train + 0.1 * (levels[0].types + 1)))
+            sums = [np.add.reduceat(x[of], chunk.first) for x, of in (((single.count > 0).astype(np.int64), single.of), (base, single.of), (np.log10(known.p), known.of))]
             n = len(chunk.first)
             yield pa.record_batch(
                 [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.size), pa.array(sums[0]), pa.array(np.full(n, n_train)), pa.array(sums[1]), pa.array(sums[2])],
@@ -466,8 +527,9 @@ def train(docs: DataFrame, learn_from, how: Katz = Katz(), doc: str = "doc_id",
     model = tables[0]
     for t in tables[1:]:
         model = model.unionByName(t)
-    scores = store(joined(held, answers, parts).mapInArrow(score, SCORES), "katz-scores")
-    spark.sql(f"drop table {name}")  # its files stay in the shared folder, as all tables do
+    scores = store(joined(held, answers).mapInArrow(score, SCORES), "katz-scores")
+    for name in ("chunks", "answers"):
+        spark.sql(f"drop table {name}_{made}")  # its files stay in the shared folder, as all tables do
     return scores, model, levels
 
 
@@ -477,9 +539,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(at, 1).to_pylist()[0]
 
 
-def joined(held: DataFrame, answers: DataFrame | None, parts: int) -> DataFrame:
+def joined(held: DataFrame, answers: DataFrame | None) -> DataFrame:
     """Chunks with the answers that they have got; no more than a chunk's own."""
     if answers is None:
         return held.select("chunk", "held", "sizes", "words", "tokens")
-    own = answers.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "words", "counts", "sums", "lower")).alias("answers"))
+    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "words", "counts", "sums", "lower")).alias("answers"))
     return held.select("chunk", "docs", "held", "sizes", "words", "tokens").join(own.hint("shuffle_hash"), "chunk")
